@@ -17,6 +17,9 @@ ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +33,7 @@ from seqloom.llm.common import table, written
 LENGTH = 2048
 END_ID = 1
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 250_000
 
 
 def default_vocabulary() -> str:
@@ -39,43 +42,93 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Where a letter meets a mark other than an apostrophe, the vocabulary always begins another token.
+EDGE = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
+LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit numbers. The vocabulary drops white space and never joins
-    across it, so a text's ids are those of its parts between spaces and line ends, and parts that come
-    again are looked up."""
+    """Ids of texts as little-endian 16-bit numbers.
+
+    The vocabulary lowers case, drops white space and never joins across it or across an EDGE, so a
+    text's ids are those of its parts, and parts that come again are looked up. New words of plain
+    letters are encoded many at a time; the ids that end a word tell them apart. Texts that may hold a
+    special token are encoded whole."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
+            raise ValueError("ids are kept as 16-bit numbers")
+        self.ends = np.zeros(size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
         self.known: dict[str, bytes] = {"": b""}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.known) + len(new) > KEPT_WORDS:  # words that came early are the frequent ones
+            self.known = dict(itertools.islice(self.known.items(), KEPT_WORDS // 2))
+        plain = [w for w in new if LETTERS.fullmatch(w)]
+        other = [w for w in new if not LETTERS.fullmatch(w)]
+        groups = [plain[k : k + 100] for k in range(0, len(plain), 100)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups]), strict=True):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(group):
+                other += group
+                continue
+            raw, start = ids.tobytes(), 0
+            for word, stop in zip(group, (2 * stops).tolist(), strict=True):
+                self.known[word] = raw[start:stop]
+                start = stop
+        for word, ids in zip(other, self._ids(other), strict=True):
+            self.known[word] = ids.tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts) - self.known.keys()) if parts else []
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {"": b""}
-            new = list(set().union(*parts) - {""})
-        for k in range(0, len(new), 10_000):
-            some = new[k : k + 10_000]
-            for word, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+        parts: list[list[str] | None] = []
+        for t in texts:
+            t = t or ""
+            if "<|" in t:
+                parts.append(None)
+                continue
+            low = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII letters only
+            parts.append(EDGE.sub(" ", low.replace("\n", " ")).split(" "))
+        words = set().union(*(p for p in parts if p))
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+            if missing := [w for w in words if w not in self.known]:  # the table was cut
+                self._learn(missing)
         get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+        return [self._ids([t])[0].tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which Spark uses for many tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenized(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """part (the input partition), before (tokens before the document in it), doc_id, doc_tokens, ids;
     written."""
-    end = np.array([END_ID], "<u4").tobytes()
+    end = np.array([END_ID], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, part = Encoder(vocabulary), 0, TaskContext.get().partitionId()
+        before, part = 0, TaskContext.get().partitionId()
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                some = batch.slice(k, 500)
-                ids = [x + end for x in encoder.encode(some.column(1).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            for k in range(0, batch.num_rows, 250):
+                some = batch.slice(k, 250)
+                ids = [x + end for x in encoder(vocabulary).encode(some.column(1).to_pylist())]
+                n = np.array([len(x) // 2 for x in ids], np.int64)
                 at = before + np.concatenate([[0], np.cumsum(n)[:-1]])
                 before += int(n.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(at), some.column(0), pa.array(n), pa.array(ids, pa.binary())], names=["part", "before", "doc_id", "doc_tokens", "ids"])
@@ -109,11 +162,11 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -
             start, size = begin - first[row], stop - begin
             ids = batch.column(4)
             held = [memoryview(x.as_buffer()) for x in ids]
-            slices = [held[r][4 * a : 4 * (a + b)] for r, a, b in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
-            for k in range(0, len(row), 20_000):
-                to = slice(k, k + 20_000)
+            for k in range(0, len(row), 1000):
+                to = slice(k, k + 1000)
+                slices = [np.frombuffer(held[r], "<u2")[a : a + b].astype("<u4").tobytes() for r, a, b in zip(row[to].tolist(), start[to].tolist(), size[to].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [doc.take(pa.array(row[to])), pa.array(start[to]), pa.array(size[to]), pa.array(n[row[to]]), pa.array(sequence[to]), pa.array(begin[to] - sequence[to] * length), pa.array([bytes(x) for x in slices[to]], pa.binary())], names=names
+                    [doc.take(pa.array(row[to])), pa.array(start[to]), pa.array(size[to]), pa.array(n[row[to]]), pa.array(sequence[to]), pa.array(begin[to] - sequence[to] * length), pa.array(slices, pa.binary())], names=names
                 )
 
     return rows.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
