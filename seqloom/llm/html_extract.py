@@ -327,7 +327,8 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
                 if page:
                     w = wrapper_of(parse(page))
                     held[host] = align(held[host], w) if host in held else w
-        yield pd.DataFrame({"host": list(held), "w": [json.dumps(w) for w in held.values()]})
+        if held:  # an empty frame has no types
+            yield pd.DataFrame({"host": list(held), "w": [json.dumps(w) for w in held.values()]})
 
     def fold(batch: pd.DataFrame) -> list:
         total = None
