@@ -1,15 +1,16 @@
 """Chat formatting with budgeted windows, in DataFrame functions only.
 
 Prefix sums of turn tokens choose turn-aligned spans; every window begins with the conversation's
-leading system turns, repeats a limited number of earlier turns as history and then carries the new
+system turn (its first turn, if that is one), repeats a limited number of earlier turns as history and then carries the new
 turns of its span. Repeated turns are masked, so each assistant text is a target exactly once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside texts, ``<|`` is escaped by a
 backslash between the two characters (and ``<\\|`` by one more), so no text can hold a marker and
 unescaping gives back every text exactly. Roles are URL-encoded, which leaves ordinary names alone.
 
-Plan: one shuffle by conversation. A conversation is the unit of work because its output is one
-unit too; its turns are sorted and folded inside the task.
+Plan: one shuffle by conversation, then window functions over its sorted turns, which spill and take
+time in proportion to their number; what is folded at once is one window of the output. Reading back
+whole conversations keeps that partitioning.
 
 Defined results. Null text or role: empty. Null conv_id: one conversation of that null id. Null turn:
 first. Ties in turn: by role, then text. Repeated rows: each is a turn. A turn larger than the budget:
@@ -19,8 +20,11 @@ a window of its own, never cut or dropped. Empty table: no window. Extra columns
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seqloom.functions.bind import let
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens that the template adds to a turn.
 TURN_OVERHEAD = 4
@@ -35,80 +39,72 @@ def unescape(text: Column) -> Column:
 
 
 def windows(turns: DataFrame, budget: int = 1024, history: int = 2, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row for each window: conv_id, window long, formatted string, n_context int (turns repeated
-    at its head), n_turns int, n_tokens long, and loss array<struct<start, length>> in code points of
-    `formatted`, one entry for each assistant text that is a target in this window.
-
-    A token is a word here; the spans depend on prefix sums of these counts only. The budget covers the
-    new turns and what is repeated: a span takes what `budget` leaves after system turns and history,
-    a quarter of it at least.
+    """One row for each window: conv_id, window long (rising, with gaps), formatted string, n_context
+    int (turns repeated at its head), n_turns int, n_tokens long, and loss array<struct<start, length>>
+    in code points of `formatted`, one entry for each assistant text that is a target in this window.
+
+    A token is a word here; the spans depend on prefix sums of these counts only. The budget holds the
+    system turn, history and new turns: new turns that begin in the same half of what the system turn
+    leaves (a quarter of the budget at least) are a span, so with the turn that crosses its end and the
+    history, which takes what is left, only a single large turn can go over.
     """
     words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = turns.select(
-        F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).select("conv_id", F.struct("turn", "role", "text", (words + TURN_OVERHEAD).cast("long").alias("tokens")).alias("t"))
-    convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    # the system turns at the head
-    first_other = F.array_position(F.transform("ts", lambda t: F.when(t["role"] == "system", 0).otherwise(1)), 1)
-    n_system = F.when(first_other > 0, first_other - 1).otherwise(F.size("ts")).cast("int")
-    convs = convs.withColumn("n_system", n_system)
-    system_tokens = F.aggregate(F.slice("ts", 1, F.col("n_system")), F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
-    convs = convs.withColumn("room", F.greatest(F.lit(budget) - system_tokens, F.lit(max(1, budget // 4))).cast("long"))
-    # prefix sums: before[i] is what the turns after the system turns and before i hold
-    prefix = F.aggregate(
-        F.slice("ts", F.col("n_system") + 1, F.greatest(F.size("ts") - F.col("n_system"), F.lit(0))),
-        F.array(F.lit(0).cast("long")),
-        lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t["tokens"])),
-    )
-    convs = convs.withColumn("before", prefix)
-    # half the room is the stride of spans; the rest is for the turn that crosses its end and for history
-    stride = F.greatest(F.floor(F.col("room") / 2), F.lit(1))
-    spans = F.transform(F.slice("before", 1, F.greatest(F.size("before") - 1, F.lit(1))), lambda b: F.floor(b / stride))
-    convs = convs.withColumn("span", spans)
-    cuts = F.filter(F.transform("span", lambda s, i: F.when((i == 0) | (s != F.get("span", i - 1)), i).otherwise(-1)), lambda i: i >= 0)
-    convs = convs.withColumn("cuts", cuts)
-    per = convs.select("conv_id", "ts", "n_system", "before", "room", "cuts", F.posexplode("cuts").alias("window", "first"))
-    last = F.coalesce(F.get("cuts", F.col("window") + 1), F.size("ts") - F.col("n_system"))
-    per = per.withColumn("last", last)
-    # history: the nearest earlier turns that fit in the rest of the room
-    new_tokens = F.get("before", F.col("last")) - F.get("before", F.col("first"))
-    back = F.filter(
-        F.sequence(F.lit(0), F.lit(history)),
-        lambda h: (h <= F.col("first")) & (F.get("before", F.col("first")) - F.get("before", F.col("first") - h) + new_tokens <= F.col("room")),
-    )
-    per = per.withColumn("back", F.when(F.size(back) > 0, F.array_max(back)).otherwise(0))
-    head = F.slice("ts", 1, F.col("n_system"))
-    n_head_new = F.when(F.col("window") == 0, 0).otherwise(F.col("n_system"))  # repeated system turns
-    body = F.slice("ts", F.col("n_system") + F.col("first") - F.col("back") + 1, F.col("last") - F.col("first") + F.col("back"))
-    per = per.withColumn("shown", F.concat(head, body)).withColumn("n_context", (n_head_new + F.col("back")).cast("int"))
-    pieces = F.transform(
-        "shown",
-        lambda t, i: F.struct(
-            F.concat(F.lit(START), F.url_encode(t["role"]), F.lit("\n")).alias("h"),
-            escape(t["text"]).alias("x"),
-            ((t["role"] == "assistant") & (i >= F.col("n_context"))).alias("y"),
-            t["tokens"].alias("n"),
-        ),
+    rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("t", F.struct("role", "text", (words + TURN_OVERHEAD).cast("long").alias("tokens"))).drop("role", "text")
+    order = W.partitionBy("conv_id").orderBy("turn", "t.role", "t.text")
+    place = F.row_number().over(order)
+    rows = rows.select("conv_id", "turn", "t", place.alias("place"), F.first("t").over(order).alias("lead"))
+    has_system = F.col("lead")["role"] == "system"
+    rows = rows.withColumn("is_system", has_system & (F.col("place") == 1)).withColumn("room", F.greatest(F.lit(budget) - F.when(has_system, F.col("lead")["tokens"]).otherwise(0), F.lit(max(1, budget // 4))).cast("long"))
+    counted = F.when(F.col("is_system"), 0).otherwise(F.col("t")["tokens"])
+    before = F.coalesce(F.sum(counted).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    span = F.floor(before / F.greatest(F.floor(F.col("room") / 2), F.lit(1)))
+    earlier = [F.when(~F.lag("is_system", k).over(order), F.lag("t", k).over(order)) for k in range(1, history + 1)]
+    rows = rows.select("*", F.when(F.col("is_system"), 0).otherwise(span).alias("window"), F.array(*earlier).alias("earlier") if history else F.array().cast("array<struct<role:string,text:string,tokens:bigint>>").alias("earlier"))
+    per = rows.groupBy("conv_id", "window").agg(
+        F.sort_array(F.collect_list(F.struct("place", "t"))).alias("new"),  # about a budget of tokens, or one turn
+        F.min_by("earlier", "place").alias("earlier"),
+        F.first("room").alias("room"),
+        F.first("lead").alias("lead"),
+        F.min("place").alias("first"),
     )
-    per = per.select("conv_id", F.col("window").cast("long").alias("window"), "n_context", pieces.alias("p"))
-    step = F.aggregate(
-        F.col("p"),
-        F.struct(F.lit(1).cast("int").alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss")),
-        lambda a, q: F.struct(
-            (a["at"] + F.length(q["h"]) + F.length(q["x"]) + len(END)).cast("int").alias("at"),
-            F.when(q["y"], F.concat(a["loss"], F.array(F.struct((a["at"] + F.length(q["h"])).cast("int").alias("start"), F.length(q["x"]).cast("int").alias("length"))))).otherwise(a["loss"]).alias("loss"),
+    new_tokens = F.aggregate("new", F.lit(0).cast("long"), lambda a, x: a + x["t"]["tokens"])
+    # history: the nearest earlier turns that fit, as a run
+    fit = F.aggregate(
+        F.filter("earlier", lambda e: e.isNotNull()),
+        F.struct(new_tokens.alias("used"), F.lit(True).alias("open"), F.array().cast("array<struct<role:string,text:string,tokens:bigint>>").alias("kept")),
+        lambda a, e: F.when(a["open"] & (a["used"] + e["tokens"] <= F.col("room")), F.struct((a["used"] + e["tokens"]).alias("used"), F.lit(True).alias("open"), F.concat(F.array(e), a["kept"]).alias("kept"))).otherwise(
+            F.struct(a["used"].alias("used"), F.lit(False).alias("open"), a["kept"].alias("kept"))
         ),
-    )
-    formatted = F.array_join(F.transform("p", lambda q: F.concat(q["h"], q["x"], F.lit(END))), "")
-    return per.select(
-        "conv_id",
-        "window",
-        formatted.alias("formatted"),
-        "n_context",
-        F.size("p").alias("n_turns"),
-        F.aggregate("p", F.lit(0).cast("long"), lambda a, q: a + q["n"]).alias("n_tokens"),
-        step["loss"].alias("loss"),
-    )
+    )["kept"]
+    system = F.when((F.col("lead")["role"] == "system") & (F.col("first") > 1), F.array("lead")).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>"))
+    context = F.concat(system, F.when(F.col("first") > 1, fit).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>")))
+
+    def shown(x: Column, repeated: bool) -> Column:
+        return F.struct(F.concat(F.lit(START), F.url_encode(x["role"]), F.lit("\n")).alias("h"), escape(x["text"]).alias("x"), (F.lit(not repeated) & (x["role"] == "assistant")).alias("y"), x["tokens"].alias("n"))
+
+    def window_of(p: Column) -> Column:
+        step = F.aggregate(
+            p,
+            F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("loss")),
+            lambda a, q: let(
+                a["at"] + F.length(q["h"]),
+                lambda start: F.struct(
+                    (start + F.length(q["x"]) + len(END)).alias("at"),
+                    F.when(q["y"], F.concat(a["loss"], F.array(F.struct(start.alias("start"), F.length(q["x"]).alias("length"))))).otherwise(a["loss"]).alias("loss"),
+                ),
+            ),
+        )
+        return F.struct(
+            F.array_join(F.transform(p, lambda q: F.concat(q["h"], q["x"], F.lit(END))), "").alias("formatted"),
+            F.size(p).alias("n_turns"),
+            F.aggregate(p, F.lit(0).cast("long"), lambda a, q: a + q["n"]).alias("n_tokens"),
+            step["loss"].alias("loss"),
+        )
+
+    made = let(context, lambda c: F.struct(F.size(c).alias("n_context"), let(F.concat(F.transform(c, lambda x: shown(x, True)), F.transform("new", lambda x: shown(x["t"], False))), window_of).alias("w")))
+    out = per.select("conv_id", F.col("window").cast("long").alias("window"), made.alias("m"))
+    return out.select("conv_id", "window", "m.w.formatted", "m.n_context", "m.w.n_turns", "m.w.n_tokens", "m.w.loss")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
