@@ -31,13 +31,14 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import bucket_of, cut, table
 
-M = 64
-THRESHOLD = 40
+M = 48
+THRESHOLD = 30
 #: Chance that one line has the k-th neighbour in its window when the search ends: then it is past the
-#: threshold with a chance of over 0.95.
-CATCH = 0.72
-BLOCK, QUERY_BLOCK = 32_768, 2_048
-WIDTHS = [0.02 * 1.35**i for i in range(16)]
+#: threshold with a chance of about 0.97.
+CATCH = 0.74
+BLOCK, QUERY_BLOCK = 32_768, 1_024
+#: Widths tried until there are k candidates.
+WIDTHS = np.array([0.05 * 1.7**i for i in range(8)])
 
 
 def usable(embedding: Column) -> Column:
@@ -54,48 +55,51 @@ class Block:
         rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
         self.lines = np.random.default_rng([seed, vectors.shape[1]]).standard_normal((M, vectors.shape[1] + 1))
         projected = x @ self.lines[:, :-1].T + rest[:, None] * self.lines[:, -1]
-        self.order = np.ascontiguousarray(projected.argsort(0).T.astype(np.int32))
+        self.order = np.ascontiguousarray(projected.argsort(0).T)
+        self.rough = (vectors / largest).astype(np.float32)
         self.sorted = np.ascontiguousarray(np.take_along_axis(projected.T, self.order, 1))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         n, catch = len(self.ids), NormalDist().inv_cdf(0.5 + CATCH / 2)
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        at = unit @ self.lines[:, :-1].T  # query, line
-        widths = np.array([*WIDTHS, np.inf])
-        low = np.stack([np.searchsorted(self.sorted[j], at[:, j, None] - widths) for j in range(M)], 1)
-        high = np.stack([np.searchsorted(self.sorted[j], at[:, j, None] + widths, side="right") for j in range(M)], 1)
         norms = np.linalg.norm(queries, axis=1)
+        at = (queries / norms[:, None]) @ self.lines[:, :-1].T  # query, line
+        low = np.stack([np.searchsorted(self.sorted[j], at[:, j, None] - WIDTHS) for j in range(M)], 1)
+        high = np.stack([np.searchsorted(self.sorted[j], at[:, j, None] + WIDTHS, side="right") for j in range(M)], 1)
         for q in range(len(queries)):
-            counts, done = np.zeros(n, np.int32), np.zeros(n, bool)
-            found_i, found_s = np.empty(0, np.int64), np.empty(0)
-            lo, hi = low[q], high[q]
-            for step, width in enumerate(widths):
-                if width == np.inf:
-                    new = np.flatnonzero(~done)
-                else:
-                    fresh = []
-                    for j in range(M):
-                        if step == 0:
-                            fresh.append(self.order[j, lo[j, 0] : hi[j, 0]])
-                        else:
-                            fresh.append(self.order[j, lo[j, step] : lo[j, step - 1]])
-                            fresh.append(self.order[j, hi[j, step - 1] : hi[j, step]])
-                    counts += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int32)
-                    new = np.flatnonzero((counts >= THRESHOLD) & ~done)
-                done[new] = True
+            counts, done = np.zeros(n, np.int64), np.zeros(n, bool)
+            rough, slack = queries[q].astype(np.float32), 1e-5 * norms[q]
+            found_i, found_s = np.empty(0, np.int64), np.empty(0, np.float32)
+            step, width, lo, hi = 0, WIDTHS[0], low[q, :, 0], high[q, :, 0]
+            fresh = [self.order[j, a:b] for j, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True))]
+            while True:
+                counts += np.bincount(np.concatenate(fresh), minlength=n)
+                new = np.flatnonzero((counts >= THRESHOLD) & ~done)
                 if len(new):
-                    scores = self.vectors[new] @ queries[q]
+                    done[new] = True
+                    scores = self.rough[new] @ rough  # single precision sorts out, double decides
                     own = self.ids[new] != query_ids[q]
                     found_i, found_s = np.concatenate([found_i, new[own]]), np.concatenate([found_s, scores[own]])
-                    if len(found_s) > 4 * k:
-                        kth = np.partition(found_s, -k)[-k]
-                        near = found_s >= kth - 1e-9 * (1 + abs(kth))
-                        found_i, found_s = found_i[near], found_s[near]
+                goal = np.inf  # the width at which the k-th best so far would have been caught
                 if len(found_s) >= k:
                     kth = np.partition(found_s, -k)[-k]
-                    distance = np.sqrt(max(0.0, 2 - 2 * kth / (norms[q] * self.largest)))
-                    if width >= catch * distance:
-                        break
+                    near = found_s >= kth - slack
+                    found_i, found_s = found_i[near], found_s[near]
+                    goal = catch * np.sqrt(max(0.0, 2 - 2 * float(kth) / norms[q]))
+                if width >= goal or width == np.inf:
+                    break
+                # virtual rehashing: the next width, or at once the one that is enough
+                step += 1
+                if goal < np.inf or step == len(WIDTHS):
+                    width = goal if goal < np.inf else np.inf
+                    lo2 = np.array([np.searchsorted(self.sorted[j], at[q, j] - width) for j in range(M)])
+                    hi2 = np.array([np.searchsorted(self.sorted[j], at[q, j] + width, side="right") for j in range(M)])
+                else:
+                    width, lo2, hi2 = WIDTHS[step], low[q, :, step], high[q, :, step]
+                fresh = []
+                for j, (a, b, c, d) in enumerate(zip(lo2.tolist(), lo.tolist(), hi.tolist(), hi2.tolist(), strict=True)):
+                    fresh.append(self.order[j, a:b])
+                    fresh.append(self.order[j, c:d])
+                lo, hi = lo2, hi2
             exact = (self.vectors[found_i] * queries[q]).sum(1)  # the same sum for equal vectors
             best = np.lexsort((self.ids[found_i], -exact))[:k]
             yield int(query_ids[q]), self.ids[found_i[best]], exact[best]
