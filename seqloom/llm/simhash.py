@@ -208,11 +208,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-def cluster(prints: DataFrame) -> DataFrame:
-    """prints: (doc_id, fp, ...), best already cut. Adds root: the smallest fingerprint, as a signed
-    number, of the class that a row's fingerprint belongs to."""
-    found = components(links(prints.select("fp").distinct()))
-    return prints.join(found, prints["fp"] == found["node"], "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+#: Parts that a class of many different fingerprints is dealt to.
+SPREAD = 32
+
+
+def classes(prints: DataFrame, value: Column) -> DataFrame:
+    """prints: (fp, ...), best already cut. (fp, root, best): for each distinct fingerprint the smallest
+    one, as a signed number, of its class and the smallest `value` of all rows of the class. Rows
+    collapse to fingerprints by partial aggregation before anything is joined; only linked fingerprints
+    take part in joins on the class, each class dealt to SPREAD parts."""
+    per = cut(prints.groupBy("fp").agg(F.min(value).alias("own")))
+    linked = cut(components(links(per.select("fp"))).join(per, F.col("node") == F.col("fp")).select("node", "root", "own"))
+    best = linked.groupBy("root").agg(F.min("own").alias("best"))
+    spread = best.select("root", "best", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    told = linked.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(spread, ["root", "part"]).select("node", "root", "best")
+    joined = per.join(told, per["fp"] == told["node"], "left")
+    return cut(joined.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("best")).alias("best")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
@@ -220,8 +231,8 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     where the class has no other), and of rows alike in that too, one."""
     key = F.xxhash64("doc_id", "text").alias("_near_key")
     prints = cut(docs.select("doc_id", key, fingerprint_column(F.col("text")).alias("fp")))
-    best = cluster(prints).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_near_key")).alias("b"))
-    keep = best.select(F.col("b._near_key").alias("_near_key")).distinct()
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_near_key")
+    keep = classes(prints, row).filter("fp = root").select(F.col("best._near_key").alias("_near_key")).distinct()
     return docs.withColumn("_near_key", F.xxhash64("doc_id", "text")).join(keep, "_near_key").dropDuplicates(["_near_key"]).select(*docs.columns)
 
 
@@ -230,6 +241,5 @@ def op9(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = cut(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")))
-    classes = cut(cluster(prints))
-    first = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return classes.join(first, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = classes(prints, F.col("doc_id")).select(F.col("fp").alias("_fp"), F.col("best").alias("component_id"))
+    return prints.join(found, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
