@@ -62,6 +62,8 @@ MARKS = re.compile(
 )
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story)(?:$|[\s_-])")
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+#: A tag with a quote that never ends: up to the next sign.
+OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TEXT = "#text"
 
@@ -110,7 +112,7 @@ def parse(page: str) -> Node:
             break
         if lt > at:
             stack[-1].parts.append(page[at:lt])
-        m = TAG.match(page, lt)
+        m = TAG.match(page, lt) or OPEN_QUOTE.match(page, lt)
         if not m:  # a bare sign
             stack[-1].parts.append("<")
             at = lt + 1
