@@ -122,20 +122,20 @@ def feature_column(text: Column) -> Column:
 def fit(counts: dict[str, int], rounds: int = 100, tolerance: float = 1e-9) -> dict[str, float]:
     """EM over vote patterns: posterior probability of good quality by pattern.
 
-    Each rule has, for either quality, a distribution over its three votes (Dawid and Skene), started
-    as right far more often than wrong, which also settles which of the two hidden classes is called
-    good; a small prior count keeps rules that never voted finite.
+    Each rule has an accuracy for either hidden quality: how often, where it votes at all, it says bad
+    (Dawid and Skene). Abstaining says nothing. The accuracies start where clean documents hardly ever
+    get a bad vote while bad ones pass most rules, which also settles which of the two hidden classes is
+    called good; a small prior count keeps rules that never voted finite.
     """
     if not counts:
         return {}
     patterns = sorted(counts)
     weight = np.array([counts[p] for p in patterns], float)
-    votes = np.array([["-0+".index(v) for v in p] for p in patterns])
-    onehot = np.eye(3)[votes]  # pattern, rule, vote
-    like = np.log(np.array([[0.6, 0.3, 0.1], [0.05, 0.25, 0.7]]))  # class, vote
-    score = np.einsum("prv,cv->pc", onehot, like) + np.log([0.2, 0.8])
+    onehot = np.array([[(v == "-", v == "+") for v in p] for p in patterns], float)  # pattern, rule, vote
+    like = np.array([[0.45, 0.55], [0.04, 0.96]])  # class, vote
+    score = np.einsum("prv,cv->pc", onehot, np.log(like)) + np.log([0.2, 0.8])
     good = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -700, 700)))
-    prior_counts = np.exp(like)[:, None, :] * 0.02 * weight.sum() + 1e-3
+    prior_counts = like[:, None, :] * (0.02 * weight.sum() + 1e-3)
     for _ in range(rounds):
         q = np.stack([1 - good, good]) * weight  # class, pattern
         theta = np.einsum("cp,prv->crv", q, onehot) + prior_counts
