@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions.bind import let
+from seqloom.functions.patterns import regex_hits
 from seqloom.llm.common import cut, table
 
 # Fixed patterns of the base kinds.
@@ -45,26 +47,6 @@ DISCLOSURE = 0.9
 TERM = r"[^\x20\x09-\x0D]+"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>>, code points, end exclusive: the texts between matches and the
-    matches themselves give the places."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    between = F.split(text, pattern, -1)
-    step = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-        lambda a, m: F.struct(
-            (a["at"] + F.length(F.get(between, a["i"])) + F.length(m)).alias("at"),
-            (a["i"] + 1).alias("i"),
-            F.concat(
-                a["out"],
-                F.array(F.struct((a["at"] + F.length(F.get(between, a["i"]))).alias("start"), (a["at"] + F.length(F.get(between, a["i"])) + F.length(m)).alias("end"), m.alias("value"))),
-            ).alias("out"),
-        ),
-    )
-    return step["out"]
-
-
 def _luhn(digits: Column) -> Column:
     backwards = F.reverse(digits)
     total = F.aggregate(
@@ -97,7 +79,7 @@ def base_spans(text: Column) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     def of_kind(kind: str) -> Column:
         may = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.rlike(text, F.lit("[0-9][ -]?[0-9]"))
-        got = F.filter(F.when(may, matches(text, PATTERNS[kind])).otherwise(empty), lambda s: _passes(kind, s["value"]))
+        got = F.filter(F.when(may, regex_hits(text, PATTERNS[kind])).otherwise(empty), lambda s: _passes(kind, s["value"]))
         return F.transform(got, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     return F.concat(*map(of_kind, KINDS))
@@ -117,21 +99,23 @@ def near_terms(text: Column, spans: Column) -> Column:
     """array<struct<entity, term, start, end>>: the whole words within CONTEXT of each span, other than
     those that touch a span."""
 
-    def around(s: Column) -> Column:
+    def around(s: Column, n: Column, spans: Column) -> Column:
         a = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        piece = F.substr(text, a + 1, s["end"] - a + CONTEXT)
-        words = matches(piece, TERM)
-        n = F.length(text)
-        whole = F.filter(
-            words,
-            lambda w: ((w["start"] > 0) | (a == 0))
-            & ((w["end"] < F.length(piece)) | (a + w["end"] == n))
-            & ~F.exists(spans, lambda o: (o["start"] < a + w["end"]) & (a + w["start"] < o["end"])),
-        )
-        terms = F.transform(whole, lambda w: F.struct(entity(s["kind"], s["value"]).alias("entity"), normal(w["value"]).alias("term"), (a + w["start"]).alias("start"), (a + w["end"]).alias("end")))
-        return F.filter(terms, lambda t: F.length(t["term"]) >= 2)
-
-    return F.flatten(F.transform(spans, around))
+
+        def of_piece(p: Column) -> Column:
+            words = regex_hits(p["text"], TERM)
+            whole = F.filter(
+                words,
+                lambda w: ((w["start"] > 0) | (p["at"] == 0))
+                & ((w["end"] < p["size"]) | (p["at"] + w["end"] == n))
+                & ~F.exists(spans, lambda o: (o["start"] < p["at"] + w["end"]) & (p["at"] + w["start"] < o["end"])),
+            )
+            return F.transform(whole, lambda w: F.struct(entity(s["kind"], s["value"]).alias("entity"), normal(w["value"]).alias("term"), (p["at"] + w["start"]).alias("start"), (p["at"] + w["end"]).alias("end")))
+
+        piece = let(F.substr(text, a + 1, s["end"] - a + CONTEXT), lambda t: F.struct(a.alias("at"), t.alias("text"), F.length(t).alias("size")))
+        return F.filter(let(piece, of_piece), lambda t: F.length(t["term"]) >= 2)
+
+    return let(F.length(text), lambda n: let(spans, lambda all_spans: F.flatten(F.transform(all_spans, lambda s: around(s, n, all_spans)))))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
