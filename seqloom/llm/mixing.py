@@ -66,7 +66,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
 def fraction(*parts: Column) -> Column:
     """A reproducible number from 0 to 1."""
-    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x01")) for p in parts])), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def copies(base: DataFrame, seed: int = 1, **shares) -> DataFrame:
