@@ -55,6 +55,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bucket_of(columns: list[Column], n: int | Column) -> Column:
     """A bucket from 0 to n - 1 by hash of the columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(n).cast("long") if isinstance(n, int) else n)

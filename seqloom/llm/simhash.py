@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import cut
+from seqloom.llm.common import cut, fresh
 
 #: Points that one key's partition expands at once: 16 bytes each while they are sorted.
 POINTS = 2_000_000
@@ -178,14 +178,32 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return dealt.groupBy("key").applyInPandas(meet, "a long, b long").distinct()
 
 
+#: Parts that what belongs to one node or class is dealt to in joins.
+SPREAD = 32
+
+
+def _spread(df: DataFrame, parts: int = SPREAD) -> DataFrame:
+    """One row for each part, to meet rows that _part deals out."""
+    return df.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+
+
+def _part(column: str, parts: int = SPREAD) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the smallest node. Alternating large-star
-    and small-star rounds until every component is a star; few rounds, logarithmic in its size."""
+    and small-star rounds until every component is a star; few rounds, logarithmic in its size. Joins are
+    by merge, as the size of a checkpointed table is only guessed, and a node with many neighbours is
+    dealt to parts."""
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
         return tuple(r)
 
+    def with_least(e: DataFrame, least: DataFrame) -> DataFrame:
+        return e.withColumn("part", _part("v", 8)).join(_spread(least, 8).hint("merge"), ["u", "part"])
+
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = mark(e)
     for _ in range(rounds):
@@ -194,10 +212,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u go to the smallest around u
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = with_least(both.filter("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: u and its smaller neighbours go to the smallest of them (v < u always holds here)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
+        small = with_least(large, least).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("s"))
         e = cut(small.select("s.u", "s.v").filter("u <> v").distinct())
         now = mark(e)
         if now == seen:
@@ -208,32 +226,27 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
 
 
-#: Parts that a class of many different fingerprints is dealt to.
-SPREAD = 32
-
-
 def classes(prints: DataFrame, value: Column) -> DataFrame:
     """prints: (fp, ...), best already cut. (fp, root, best): for each distinct fingerprint the smallest
     one, as a signed number, of its class and the smallest `value` of all rows of the class. Rows
     collapse to fingerprints by partial aggregation before anything is joined; only linked fingerprints
     take part in joins on the class, each class dealt to SPREAD parts."""
     per = cut(prints.groupBy("fp").agg(F.min(value).alias("own")))
-    linked = cut(components(links(per.select("fp"))).join(per, F.col("node") == F.col("fp")).select("node", "root", "own"))
+    linked = cut(components(links(per.select("fp"))).join(per.hint("merge"), F.col("node") == F.col("fp")).select("node", "root", "own"))
     best = linked.groupBy("root").agg(F.min("own").alias("best"))
-    spread = best.select("root", "best", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    told = linked.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int")).join(spread, ["root", "part"]).select("node", "root", "best")
-    joined = per.join(told, per["fp"] == told["node"], "left")
+    told = linked.withColumn("part", _part("node")).join(_spread(best).hint("merge"), ["root", "part"]).select("node", "root", "best")
+    joined = per.join(told.hint("merge"), per["fp"] == told["node"], "left")
     return cut(joined.select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("own")).otherwise(F.col("best")).alias("best")))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """docs without near copies: of each class the row with the smallest doc_id stays (a null id only
     where the class has no other), and of rows alike in that too, one."""
-    key = F.xxhash64("doc_id", "text").alias("_near_key")
-    prints = cut(docs.select("doc_id", key, fingerprint_column(F.col("text")).alias("fp")))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_near_key")
-    keep = classes(prints, row).filter("fp = root").select(F.col("best._near_key").alias("_near_key")).distinct()
-    return docs.withColumn("_near_key", F.xxhash64("doc_id", "text")).join(keep, "_near_key").dropDuplicates(["_near_key"]).select(*docs.columns)
+    key, name = F.xxhash64("doc_id", "text"), fresh(docs, "_near_key")
+    prints = cut(docs.select("doc_id", key.alias("_key"), fingerprint_column(F.col("text")).alias("fp")))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    keep = classes(prints, row).filter("fp = root").select(F.col("best._key").alias(name)).distinct()
+    return docs.withColumn(name, key).join(keep.hint("merge"), name).dropDuplicates([name]).select(*docs.columns)
 
 
 def op9(spark, sf_dir):
@@ -242,4 +255,4 @@ def op9(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = cut(docs.select("doc_id", fingerprint_column(F.col("text")).alias("fp")))
     found = classes(prints, F.col("doc_id")).select(F.col("fp").alias("_fp"), F.col("best").alias("component_id"))
-    return prints.join(found, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(found.hint("merge"), F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
