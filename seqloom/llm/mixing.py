@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import WORD, cut
+from seqloom.llm.common import WORD, cut, fresh
 
 #: Rows that one cell of the ranking holds on average, at most, when a third of all rows are alike.
 CELL_ROWS = 50_000
@@ -106,11 +106,12 @@ def copies(base: DataFrame, seed: int = 1, **shares) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 1, **shares) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of docs. Rows alike in
     doc_id, source and text are one document here that is taken as often as they are together."""
-    keys = [F.xxhash64("doc_id", "source", "text").alias("_mix_a"), F.coalesce("doc_id", F.lit(-1)).alias("_mix_b")]
+    a, b, n, one = (fresh(docs, x) for x in ("_mix_a", "_mix_b", "_mix_n", "_mix_copy"))
+    keys = [F.xxhash64("doc_id", "source", "text").alias(a), F.coalesce("doc_id", F.lit(-1)).alias(b)]
     base = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), *keys))
-    taken = copies(base, seed, **shares).groupBy("_mix_a", "_mix_b").agg(F.sum("copies").cast("int").alias("_mix_n")).filter("_mix_n > 0")
-    once = docs.select("*", *keys).dropDuplicates(["_mix_a", "_mix_b"])
-    return once.join(taken, ["_mix_a", "_mix_b"]).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*docs.columns)
+    taken = copies(base, seed, **shares).groupBy(a, b).agg(F.sum("copies").cast("int").alias(n)).filter(F.col(n) > 0)
+    once = docs.select("*", *keys).dropDuplicates([a, b])
+    return once.join(taken.hint("merge"), [a, b]).withColumn(one, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op10(spark, sf_dir):

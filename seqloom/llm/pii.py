@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.bind import let
 from seqloom.functions.patterns import regex_hits
-from seqloom.llm.common import cut, table
+from seqloom.llm.common import cut, fresh, table
 
 # Fixed patterns of the base kinds.
 PATTERNS = {
@@ -130,20 +130,20 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     of_entity = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
     near = told.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
     pairs = near.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
-    pairs = cut(pairs.join(of_entity, "entity"))
+    pairs = cut(pairs.join(of_entity.hint("merge"), "entity"))
     terms = pairs.select("term").distinct()
     # in how many documents each of these terms stands: the words of all texts, counted task by task
     # before the shuffle
     words = base.select("key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)), normal))).alias("term"))
     rows_of = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     n_docs = told.count()
-    judged = pairs.join(rows_of.join(terms, "term", "left_semi"), "term")
+    judged = pairs.join(rows_of.join(terms.hint("merge"), "term", "left_semi").hint("merge"), "term")
     information = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
     mutual = F.log2(F.col("n_te") * F.lit(float(max(n_docs, 1))) / (F.col("n_e") * F.greatest(F.col("n_t"), F.col("n_te"))))
     risky = cut(judged.filter((information > 0) & (mutual >= threshold * information)).select("entity", "term"))
-    hits = near.join(risky, ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    hits = near.join(risky.hint("merge"), ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return told.select("doc_id", "key", "spans").join(hits, "key", "left").withColumn("terms", F.coalesce("terms", none))
+    return told.select("doc_id", "key", "spans").join(hits.hint("merge"), "key", "left").withColumn("terms", F.coalesce("terms", none))
 
 
 def span_list(spans: Column) -> Column:
@@ -158,10 +158,11 @@ def with_terms(spans: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with entities replaced by their kind in brackets and disclosing terms by [term]. Where
     spans overlap, the union of them becomes the kind that begins first."""
-    spans = find(docs, **options).select(F.col("key").alias("_pii_key"), with_terms(F.col("spans"), F.col("terms")).alias("_pii_spans")).filter(F.size("_pii_spans") > 0).dropDuplicates(["_pii_key"])
-    keyed = docs.withColumn("_pii_key", F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))).join(spans, "_pii_key", "left")
-    by_start = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    step = F.aggregate(
+    key, found, step = (fresh(docs, n) for n in ("_pii_key", "_pii_spans", "_pii_step"))
+    spans = find(docs, **options).select(F.col("key").alias(key), with_terms(F.col("spans"), F.col("terms")).alias(found)).filter(F.size(found) > 0).dropDuplicates([key])
+    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))).join(spans.hint("merge"), key, "left")
+    by_start = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    rebuilt = F.aggregate(
         by_start,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, s: F.struct(
@@ -169,8 +170,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
             F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"),
         ),
     )
-    keyed = keyed.withColumn("_pii_step", F.when(F.col("_pii_spans").isNotNull(), step))
-    clean = F.when(F.col("_pii_step").isNotNull(), F.concat(F.col("_pii_step")["out"], F.substr(F.col("text"), F.col("_pii_step")["at"] + 1, F.length("text")))).otherwise(F.col("text"))
+    keyed = keyed.withColumn(step, F.when(F.col(found).isNotNull(), rebuilt))
+    clean = F.when(F.col(step).isNotNull(), F.concat(F.col(step)["out"], F.substr(F.col("text"), F.col(step)["at"] + 1, F.length("text")))).otherwise(F.col("text"))
     return keyed.withColumn("text", clean).select(*docs.columns)
 
 

@@ -21,3 +21,24 @@ def test_stages(spark, docs, prose, tmp_path):
     assert sum(r["length"] for r in rows) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
     assert {r["doc_id"] for r in rows} <= set(range(30))
     del k
+
+
+NAMES = "size fp root key spans terms copies rank shard slot kept votes posterior n start end length ids part before _quality _near_key _pii_key _pii_spans _pii_step _mix_a _mix_b _mix_n _mix_copy node best own target weight bucket salt".split()
+
+
+def test_stages_pass_columns_with_clashing_names(spark, docs, prose):
+    rows = [(i, prose(i, 100) + " a@b.org", None, None, None) for i in range(12)] + [(None, None, None, None, None), (3, prose(3, 100) + " a@b.org", None, None, None)]
+    table = docs(rows)
+    for n in NAMES:
+        table = table.withColumn(n, table["doc_id"].cast("string"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, "")
+        assert out.columns == table.columns, name
+        got = out.collect()
+        assert got and all(r[n] == (None if r["doc_id"] is None else str(r["doc_id"])) for r in got for n in NAMES), name
+    assert corpus_pipeline.STAGES[-1][1](spark, table, "").count() >= 14
+
+
+def test_stages_on_an_empty_table(spark, docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs([]), "").count() == 0
