@@ -7,14 +7,16 @@ last return the columns of documents. No stage reads anything but docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seqloom.llm import mixing, packing, pii, quality_rules, simhash
-from seqloom.llm.common import table, written
+from seqloom.llm.common import fresh, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules' posterior rejects go."""
-    return quality_rules.judge(docs, "_quality").filter("_quality.kept").select(*docs.columns)
+    verdict = fresh(docs, "_quality")
+    return quality_rules.judge(docs, verdict).filter(F.col(verdict)["kept"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
