@@ -146,3 +146,13 @@ def test_bloom(spark):
     for i in range(100):
         g.add(str(i))
     assert all(g.contains(str(i)) for i in range(100)) and len(g.filters) > 1
+
+
+def test_matcher_and_validator(ev):
+    from seqloom.functions.matcher import SequenceMatcher, SequenceValidator, has_pattern
+
+    m = SequenceMatcher("ACG")
+    assert ev(m.find_all(s("ACGACG"))) == [0, 3] and ev(m.find_first(s("TACG"))) == 1 and ev(m.find_first(s("TTT"))) is None and ev(m.count(s("ACGACG"))) == 2
+    assert ev(SequenceMatcher("ACR", ambiguous=True).find_all(s("ACATACC"))) == [0] and ev(SequenceMatcher("acg", ignore_case=True).test(s("ACG"))) and ev(has_pattern(s("ACC"), "ACG", 1))
+    v = SequenceValidator("strict", "dna")
+    assert not ev(v.validate(s("ACN"))) and ev(v.clean(s("ACX"))) == "ACN" and ev(v.with_settings(mode="normal").validate(s("ACN"))) and ev(v.with_settings("permissive").validate(s("xyz")))
