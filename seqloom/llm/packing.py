@@ -33,7 +33,7 @@ from seqloom.llm.common import table, written
 LENGTH = 2048
 END_ID = 1
 #: Words whose ids a Python worker keeps.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 
 
 def default_vocabulary() -> str:
@@ -44,6 +44,8 @@ def default_vocabulary() -> str:
 
 #: Where a letter meets a mark other than an apostrophe, the vocabulary always begins another token.
 EDGE = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
+#: Texts of these characters alone, without runs of marks, have an edge before every mark.
+SIMPLE, RUNS = b"abcdefghijklmnopqrstuvwxyz0123456789 \n,.", (b",,", b"..", b",.", b".,")
 LETTERS = re.compile(r"[a-zà-öø-ÿ]+")
 
 
@@ -89,22 +91,25 @@ class Encoder:
         for word, ids in zip(other, self._ids(other), strict=True):
             self.known[word] = ids.tobytes()
 
+    @staticmethod
+    def _parts(text: str) -> list[str] | None:
+        if "<|" in text:
+            return None
+        low = text.encode("utf-8", "surrogatepass").lower()  # ASCII letters only
+        if not low.translate(None, SIMPLE) and not any(run in low for run in RUNS):
+            return low.replace(b"\n", b" ").replace(b",", b" ,").replace(b".", b" .").decode("ascii").split(" ")
+        return EDGE.sub(" ", low.decode("utf-8", "surrogatepass").replace("\n", " ")).split(" ")
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for t in texts:
-            t = t or ""
-            if "<|" in t:
-                parts.append(None)
-                continue
-            low = t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")  # ASCII letters only
-            parts.append(EDGE.sub(" ", low.replace("\n", " ")).split(" "))
-        words = set().union(*(p for p in parts if p))
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-            if missing := [w for w in words if w not in self.known]:  # the table was cut
-                self._learn(missing)
-        get = self.known.__getitem__
-        return [self._ids([t])[0].tobytes() if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+        parts = [self._parts(t or "") for t in texts]
+        found = [p and list(map(self.known.get, p)) for p in parts]
+        gaps = [[i for i, x in enumerate(f) if x is None] if f and None in f else () for f in found]
+        if new := {p[i] for p, g in zip(parts, gaps, strict=True) for i in g}:
+            self._learn(list(new))
+        for p, f, g in zip(parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = self.known[p[i]]
+        return [self._ids([t])[0].tobytes() if f is None else b"".join(f) for t, f in zip(texts, found, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
