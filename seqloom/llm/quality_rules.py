@@ -109,12 +109,25 @@ def _case_tables() -> list[np.ndarray]:
     return _TABLES
 
 
-def feature_column(text: Column) -> Column:
-    @F.pandas_udf(FEATURES)
+VERDICT = f"{FEATURES}, posterior double, kept boolean"
+
+
+def feature_column(text: Column, posterior: dict[str, float] | None = None, threshold: float = 0.5) -> Column:
+    """FEATURES of a text; with the posteriors of all vote patterns, VERDICT."""
+    kind = FEATURES if posterior is None else VERDICT
+    names = [x.split()[0] for x in kind.split(", ")]
+
+    def told(text: str | None) -> tuple:
+        f = features(text)
+        if posterior is None:
+            return f
+        p = posterior.get(f[-1], 0.0)
+        return *f, p, not f[-2] and p >= threshold
+
+    @F.pandas_udf(kind)
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in FEATURES.split(", ")]
         for texts in batches:
-            yield pd.DataFrame([features(t) for t in texts], columns=names)
+            yield pd.DataFrame([told(t) for t in texts], columns=names)
 
     return measure(text)
 
@@ -152,17 +165,9 @@ def fit(counts: dict[str, int], rounds: int = 100, tolerance: float = 1e-9) -> d
 
 def judge(docs: DataFrame, result: str, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs with one more struct column: the base features, votes, posterior and kept."""
-    measured = feature_column(F.col(text))
-    counted = docs.select(measured.alias("f")).groupBy("f.votes").count()
+    counted = docs.select(feature_column(F.col(text)).alias("f")).groupBy("f.votes").count()
     posterior = fit({r["votes"]: r["count"] for r in counted.collect()})  # at most 3 ** len(RULES) rows
-    if posterior:
-        known = F.create_map(*[F.lit(x) for pair in posterior.items() for x in pair])
-        p = F.coalesce(F.element_at(known, F.col(result)["votes"]), F.lit(0.0))
-    else:
-        p = F.lit(0.0)
-    out = docs.withColumn(result, measured)
-    kept = ~F.col(result)["base_failed"] & (p >= threshold)
-    return out.withColumn(result, F.col(result).withField("posterior", p).withField("kept", kept))
+    return docs.withColumn(result, feature_column(F.col(text), posterior, threshold))
 
 
 def op1(spark, sf_dir):
