@@ -54,6 +54,8 @@ ENDS = {
 ENDS_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "option", "legend", "summary"}
 #: Elements that are never main text.
 APART = frozenset("nav header footer aside form script style noscript template iframe svg math button select textarea input label head title dialog menu object embed canvas".split())
+#: Elements whose classes speak of the page.
+WHOLE = frozenset({"html", "body", "main", "article"})
 #: Words in class, id or role that mark such parts.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|footer|sidebar|aside|widget|"
@@ -77,16 +79,17 @@ class Node:
 
 
 def signature(tag: str, attributes: str) -> str:
-    """The tag with a sign for what its class, id and role say: '!' a part that is no main text, '*' one
-    that says it is, and class names without digits."""
+    """The tag with a sign for what its class, id and role say: '*' main text (a word says so and is no
+    mark of another part itself), '!' a part that is none, and names without digits."""
     if not attributes or "=" not in attributes:
         return tag
-    said = " ".join(f"{b}{c}{d}" for _, b, c, d in ATTRIBUTE.findall(attributes)).lower()
+    said = " ".join(f"{b}{c}{d}" for _, b, c, d in ATTRIBUTE.findall(attributes)).lower().split()
     if not said:
         return tag
-    sign = "!" if MARKS.search(said) else "*" if ARTICLE.search(said) else "."
-    words = [w for w in re.split(r"\s+", said) if w and not re.search(r"\d", w)]
-    return f"{tag}{sign}{'.'.join(words[:4])}"
+    marked = [bool(MARKS.search(w)) for w in said]
+    main = any(ARTICLE.search(w) and not m for w, m in zip(said, marked, strict=True))
+    sign = "*" if main else "!" if any(marked) and tag not in WHOLE else "."
+    return f"{tag}{sign}{'.'.join([w for w in said if not re.search(r'[0-9]', w)][:4])}"
 
 
 def tag_of(name: str) -> str:

@@ -47,3 +47,8 @@ def test_deep_and_broken():
 
 def test_empty(spark):
     assert h.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_classes_of_the_page_and_of_content():
+    page = "<body class='sidebar-right comments-open'><div class='entry-content comments-open'><p>Main words here.</p><div class='post-header'>no</div></div><div class='comments'><p>Reader words here and more of them, really many of them.</p></div></body>"
+    assert h.text_of(page, None) == "Main words here."
