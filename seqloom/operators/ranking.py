@@ -75,9 +75,18 @@ def sort_records(df: DataFrame, by: str | Column = "length", order: str | None =
     return df.orderBy(key.desc_nulls_last() if order == "desc" else key.asc_nulls_last(), ORD)
 
 
+def first_n(df: DataFrame, n: int, key: Column, descending: bool = False) -> DataFrame:
+    """The first n by key, then _ord. The key is a column before the sort, so that sort and limit meet
+    in the plan and each task keeps a bounded heap instead of sorting all its rows."""
+    named = df.withColumn("_first_key", key)
+    order = F.col("_first_key").desc_nulls_last() if descending else F.col("_first_key").asc_nulls_last()
+    return named.orderBy(order, ORD).limit(n).drop("_first_key")
+
+
 def top_n(df: DataFrame, n: int, by: str | Column = "length", order: str = "desc") -> DataFrame:
-    """The first n in that order: a bounded heap in each task."""
-    return sort_records(df, by, order).limit(n)
+    """The first n in that order."""
+    require(order in ("asc", "desc"), "order is asc or desc")
+    return first_n(df, n, sort_key(by), order == "desc")
 
 
 def uniform(seed: int = 42, *columns: str) -> Column:
@@ -99,7 +108,7 @@ def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, s
         total = df.count()
         every = max(1, total // n) if n else 1
         return with_rank(df, "_rank").filter(((F.col("_rank") - 1) % every == 0) & (F.col("_rank") <= n * every)).drop("_rank")
-    return df.orderBy(uniform(seed), ORD).limit(n)
+    return first_n(df, n, uniform(seed))
 
 
 def sample_stratified(df: DataFrame, stratum: Column, n: int, seed: int = 42) -> DataFrame:
@@ -111,7 +120,7 @@ def sample_stratified(df: DataFrame, stratum: Column, n: int, seed: int = 42) ->
 
 def sample_weighted(df: DataFrame, n: int, weight: Column, seed: int = 42) -> DataFrame:
     """n rows without replacement by weight: the largest u ** (1 / weight)."""
-    return df.withColumn("_k", F.when(weight > 0, F.log(F.greatest(uniform(seed), F.lit(1e-300))) / weight)).filter("_k is not null").orderBy(F.col("_k").desc(), ORD).limit(n).drop("_k")
+    return first_n(df.filter(weight > 0), n, F.log(F.greatest(uniform(seed), F.lit(1e-300))) / weight, descending=True)
 
 
 def sample_bernoulli(df: DataFrame, p: float, seed: int = 42) -> DataFrame:

@@ -503,7 +503,8 @@ def concat_suffix(spark, sf_dir):
 def top_gc(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    t = ranking.top_n(reads(spark, sf_dir), 50, "gc").select("id", ORD, bases.gc_fraction("sequence").alias("g"))
+    scored = reads(spark, sf_dir).select("id", ORD, bases.gc_fraction("sequence").alias("g"))
+    t = ranking.top_n(scored, 50, F.col("g"))
     return t.select("id", _r("g").alias("gc"), _long(F.row_number().over(W.orderBy(F.col("g").desc(), ORD))).alias("place"))
 
 
