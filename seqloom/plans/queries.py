@@ -47,6 +47,19 @@ READS = f"""reads AS (SELECT event_id AS o, 'read_' || CAST(event_id AS VARCHAR)
  substr(translate(md5(CAST(event_id AS VARCHAR) || 'q') || md5(CAST(event_id AS VARCHAR) || 'r'), '{HEX}', '{SCORES}'), 1, CAST(30 + event_id % 35 AS INTEGER)) AS q FROM events)"""
 
 
+def order_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other reads with some ids and some sequences in common with reads()."""
+    n = F.col("o_orderkey")
+    key = 350 + n % 1000
+    o = _table(spark, sf_dir, "orders").select("o_orderkey")
+    length = (30 + key % 35).cast("int")
+    return conform(o.select(n.alias(ORD), F.concat(F.lit("read_"), n.cast("string")).alias("id"), F.substr(_digest(key, LETTERS, "a", "b"), F.lit(1), length).alias("sequence"), F.repeat(F.lit("I"), length).alias("quality"), F.lit("phred33").alias("quality_encoding")))
+
+
+OTHERS = f"""others AS (SELECT o_orderkey AS o, 'read_' || CAST(o_orderkey AS VARCHAR) AS id,
+ substr(translate(md5(CAST(350 + o_orderkey % 1000 AS VARCHAR) || 'a') || md5(CAST(350 + o_orderkey % 1000 AS VARCHAR) || 'b'), '{HEX}', '{LETTERS}'), 1, CAST(30 + (350 + o_orderkey % 1000) % 35 AS INTEGER)) AS s FROM orders)"""
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Reads with T for N."""
     return df.withColumn("sequence", F.translate("sequence", "N", "T"))
@@ -90,16 +103,16 @@ CONTIGS = f"""contigs AS (SELECT p_partkey AS o, 'part_' || CAST(p_partkey AS VA
 
 
 def _mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """First mates from orders, second ones from first line items of two thirds of them."""
+    """First mates from orders, second ones from their first line items, where these were returned or accepted."""
     o = _table(spark, sf_dir, "orders").select("o_orderkey")
     a = o.select(F.col("o_orderkey").alias(ORD), F.concat(F.lit("p"), F.col("o_orderkey").cast("string"), F.lit("/1")).alias("id"), _digest(F.col("o_orderkey"), LETTERS.replace("N", "A"), "a", "b").alias("sequence"))
-    li = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 3 <> 0").select("l_orderkey").distinct()
+    li = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_returnflag <> 'N'").select("l_orderkey").distinct()
     b = li.select(F.col("l_orderkey").alias(ORD), F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("/2")).alias("id"), _digest(F.col("l_orderkey"), LETTERS.replace("N", "A"), "b", "c").alias("sequence"))
     with_q = lambda d: conform(d.withColumns({"quality": F.repeat(F.lit("I"), F.length("sequence")), "quality_encoding": F.lit("phred33")}))
     return with_q(a), with_q(b)
 
 
-MATES = "m1 AS (SELECT o_orderkey AS k FROM orders), m2 AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 <> 0)"
+MATES = "m1 AS (SELECT o_orderkey AS k FROM orders), m2 AS (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_linenumber = 1 AND l_returnflag <> 'N')"
 
 
 def query(name: str, sql: str | None = None):
@@ -419,12 +432,12 @@ def replace_number(spark, sf_dir):
 
 @query(
     "replace_key_value",
-    "SELECT c_custkey AS ord, CASE WHEN r_name IS NULL THEN 'nation' || CAST(c_nationkey AS VARCHAR) ELSE r_name END || '.' || CAST(c_custkey AS VARCHAR) AS id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey",
+    "SELECT c_custkey AS ord, CASE WHEN r_name IS NULL THEN 'nation' || CAST(c_nationkey AS VARCHAR) ELSE r_name END || '.' || CAST(c_custkey AS VARCHAR) AS id FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_name < 'M' LEFT JOIN region ON n_regionkey = r_regionkey",
 )
 def replace_key_value(spark, sf_dir):
     c = _table(spark, sf_dir, "customer")
     seqs = conform(c.select(F.col("c_custkey").alias(ORD), F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("."), F.col("c_custkey").cast("string")).alias("id"), F.lit("ACGT").alias("sequence")))
-    kv = _table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("key"), F.col("r_name").alias("value"))
+    kv = _table(spark, sf_dir, "nation").filter("n_name < 'M'").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("key"), F.col("r_name").alias("value"))
     return records.replace(seqs, r"(nation[0-9]+)", "{kv}", kv=kv, keep_key=True).select(F.col(ORD).alias("ord"), "id")
 
 
@@ -458,45 +471,42 @@ def dedup_stats(spark, sf_dir):
     return sets.dedup_stats(reads(spark, sf_dir)).select("total", "unique", "duplicates", _r("duplicate_rate").alias("duplicate_rate"))
 
 
-def _halves(spark, sf_dir):
-    r = reads(spark, sf_dir)
-    return r.filter(F.col(ORD) % 700 < 400), r.filter(F.col(ORD) % 700 >= 300)
+def _both(spark, sf_dir):
+    return reads(spark, sf_dir), order_reads(spark, sf_dir)
 
 
-HALVES = READS + ", a AS (SELECT min(o) AS o, s FROM reads WHERE o % 700 < 400 GROUP BY s), b AS (SELECT min(o) AS o, s FROM reads WHERE o % 700 >= 300 GROUP BY s)"
+BOTH = READS + ", " + OTHERS + ", a AS (SELECT min(o) AS o, s FROM reads GROUP BY s), b AS (SELECT min(o) AS o, s FROM others GROUP BY s)"
 
 
-@query("set_union", f"WITH {HALVES} SELECT o AS ord, s AS sequence FROM a UNION ALL SELECT o, s FROM b WHERE s NOT IN (SELECT s FROM a)")
+@query("set_union", f"WITH {BOTH} SELECT o AS ord, s AS sequence FROM a UNION ALL SELECT o, s FROM b WHERE s NOT IN (SELECT s FROM a)")
 def set_union(spark, sf_dir):
-    return sets.union(*_halves(spark, sf_dir)).select(F.col(ORD).alias("ord"), "sequence")
+    return sets.union(*_both(spark, sf_dir)).select(F.col(ORD).alias("ord"), "sequence")
 
 
-@query("set_intersection", f"WITH {HALVES} SELECT o AS ord, s AS sequence FROM a WHERE s IN (SELECT s FROM b)")
+@query("set_intersection", f"WITH {BOTH} SELECT o AS ord, s AS sequence FROM a WHERE s IN (SELECT s FROM b)")
 def set_intersection(spark, sf_dir):
-    return sets.intersection(*_halves(spark, sf_dir)).select(F.col(ORD).alias("ord"), "sequence")
+    return sets.intersection(*_both(spark, sf_dir)).select(F.col(ORD).alias("ord"), "sequence")
 
 
-@query("set_symmetric_difference", f"WITH {HALVES} SELECT o AS ord, s AS sequence FROM a WHERE s NOT IN (SELECT s FROM b) UNION ALL SELECT o, s FROM b WHERE s NOT IN (SELECT s FROM a)")
+@query("set_symmetric_difference", f"WITH {BOTH} SELECT o AS ord, s AS sequence FROM a WHERE s NOT IN (SELECT s FROM b) UNION ALL SELECT o, s FROM b WHERE s NOT IN (SELECT s FROM a)")
 def set_symmetric_difference(spark, sf_dir):
-    return sets.symmetric_difference(*_halves(spark, sf_dir)).select(F.col(ORD).alias("ord"), "sequence")
+    return sets.symmetric_difference(*_both(spark, sf_dir)).select(F.col(ORD).alias("ord"), "sequence")
 
 
-@query("set_metrics", f"WITH {HALVES}, n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM a WHERE s IN (SELECT s FROM b)) AS c) SELECT CAST(na AS BIGINT) AS size_a, CAST(nb AS BIGINT) AS size_b, round(CAST(c AS DOUBLE) / (na + nb - c), 6) AS jaccard, round(CAST(c AS DOUBLE) / na, 6) AS containment, round(CAST(c AS DOUBLE) / least(na, nb), 6) AS overlap, c = 0 AS is_disjoint FROM n")
+@query("set_metrics", f"WITH {BOTH}, n AS (SELECT (SELECT count(*) FROM a) AS na, (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM a WHERE s IN (SELECT s FROM b)) AS c) SELECT CAST(na AS BIGINT) AS size_a, CAST(nb AS BIGINT) AS size_b, round(CAST(c AS DOUBLE) / (na + nb - c), 6) AS jaccard, round(CAST(c AS DOUBLE) / na, 6) AS containment, round(CAST(c AS DOUBLE) / least(na, nb), 6) AS overlap, c = 0 AS is_disjoint FROM n")
 def set_metrics(spark, sf_dir):
-    m = sets.set_metrics(*_halves(spark, sf_dir))
+    m = sets.set_metrics(*_both(spark, sf_dir))
     return m.select(_long("size_a").alias("size_a"), _long("size_b").alias("size_b"), _r("jaccard").alias("jaccard"), _r("containment").alias("containment"), _r("overlap").alias("overlap"), "is_disjoint")
 
 
-@query("filter_by_set", f"WITH {READS} SELECT id FROM reads WHERE s NOT IN (SELECT s FROM reads WHERE o % 700 < 350)")
+@query("filter_by_set", f"WITH {READS}, {OTHERS} SELECT id FROM reads WHERE s NOT IN (SELECT s FROM others)")
 def filter_by_set(spark, sf_dir):
-    r = reads(spark, sf_dir)
-    return sets.filter_by_set(r, r.filter(F.col(ORD) % 700 < 350), exclude=True).select("id")
+    return sets.filter_by_set(*_both(spark, sf_dir), exclude=True).select("id")
 
 
-@query("concat_suffix", f"WITH {READS} SELECT CASE WHEN o % 2 = 0 AND side = 1 THEN id || '_src1' ELSE id END AS id, s AS sequence FROM (SELECT *, 0 AS side FROM reads WHERE o % 2 = 0 UNION ALL SELECT *, 1 AS side FROM reads)")
+@query("concat_suffix", f"WITH {READS}, {OTHERS} SELECT id, s AS sequence FROM reads UNION ALL SELECT CASE WHEN id IN (SELECT id FROM reads) THEN id || '_src1' ELSE id END, s FROM others")
 def concat_suffix(spark, sf_dir):
-    r = reads(spark, sf_dir)
-    return sets.concat([r.filter(F.col(ORD) % 2 == 0), r], conflict="suffix").select("id", "sequence")
+    return sets.concat([*_both(spark, sf_dir)], conflict="suffix").select("id", "sequence")
 
 
 @query("top_gc", f"WITH {READS} SELECT id, round(CAST({_n('GC')} AS DOUBLE) / length(s), 6) AS gc, row_number() OVER (ORDER BY CAST({_n('GC')} AS DOUBLE) / length(s) DESC, o) AS place FROM reads QUALIFY place <= 50")
@@ -518,9 +528,9 @@ def head(spark, sf_dir):
     return ranking.head(reads(spark, sf_dir), 25).select("id")
 
 
-@query("enumerate", f'WITH {READS} SELECT id, row_number() OVER (ORDER BY o) - 1 AS "index" FROM reads WHERE o % 3 = 1')
+@query("enumerate", f'WITH {READS} SELECT id, row_number() OVER (ORDER BY o) - 1 AS "index" FROM reads')
 def enumerate_records(spark, sf_dir):
-    return ranking.enumerate_records(reads(spark, sf_dir).filter(F.col(ORD) % 3 == 1)).select("id", "index")
+    return ranking.enumerate_records(reads(spark, sf_dir)).select("id", "index")
 
 
 @query("sample_systematic", f"WITH {READS}, n AS (SELECT id, row_number() OVER (ORDER BY o) - 1 AS r, greatest(1, count(*) OVER () // 90) AS k FROM reads) SELECT id FROM n WHERE r % k = 0 AND r < 90 * k")
@@ -562,16 +572,14 @@ def merge_pairs(spark, sf_dir):
     return pairing.merge_pairs(a, b).select("id", "sequence", "length")
 
 
-@query("zip_with", f"WITH {READS}, x AS (SELECT id, row_number() OVER (ORDER BY o) AS n FROM reads WHERE o % 2 = 0), y AS (SELECT id, row_number() OVER (ORDER BY o) AS n FROM reads WHERE o % 3 = 0) SELECT x.id AS a, y.id AS b FROM x JOIN y ON x.n = y.n")
+@query("zip_with", f"WITH {READS}, {OTHERS}, x AS (SELECT id, row_number() OVER (ORDER BY o) AS n FROM reads), y AS (SELECT id, row_number() OVER (ORDER BY o) AS n FROM others) SELECT x.id AS a, y.id AS b FROM x JOIN y ON x.n = y.n")
 def zip_with(spark, sf_dir):
-    r = reads(spark, sf_dir)
-    return pairing.zip_with(r.filter(F.col(ORD) % 2 == 0), r.filter(F.col(ORD) % 3 == 0), lambda a, b: [F.col(a)["id"].alias("a"), F.col(b)["id"].alias("b")]).select("a", "b")
+    return pairing.zip_with(*_both(spark, sf_dir), lambda a, b: [F.col(a)["id"].alias("a"), F.col(b)["id"].alias("b")]).select("a", "b")
 
 
-@query("interleave", f"WITH {READS}, x AS (SELECT id, (row_number() OVER (ORDER BY o) - 1) * 2 AS n FROM reads WHERE o % 2 = 0), y AS (SELECT id, (row_number() OVER (ORDER BY o) - 1) * 2 + 1 AS n FROM reads WHERE o % 3 = 0) SELECT id, n AS ord FROM x UNION ALL SELECT id, n FROM y")
+@query("interleave", f"WITH {READS}, {OTHERS}, x AS (SELECT id, (row_number() OVER (ORDER BY o) - 1) * 2 AS n FROM reads), y AS (SELECT id, (row_number() OVER (ORDER BY o) - 1) * 2 + 1 AS n FROM others) SELECT id, n AS ord FROM x UNION ALL SELECT id, n FROM y")
 def interleave(spark, sf_dir):
-    r = reads(spark, sf_dir)
-    return pairing.interleave(r.filter(F.col(ORD) % 2 == 0), r.filter(F.col(ORD) % 3 == 0), mode="lossless").select("id", F.col(ORD).alias("ord"))
+    return pairing.interleave(*_both(spark, sf_dir), mode="lossless").select("id", F.col(ORD).alias("ord"))
 
 
 @query("merge_intervals", f"WITH {BEDS}, m AS (SELECT *, max(en) OVER (PARTITION BY chromosome ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM beds), i AS (SELECT *, sum(CASE WHEN p IS NULL OR st > p THEN 1 ELSE 0 END) OVER (PARTITION BY chromosome ORDER BY st, en ROWS UNBOUNDED PRECEDING) AS k FROM m) SELECT chromosome, CAST(min(st) AS BIGINT) AS start, CAST(max(en) AS BIGINT) AS \"end\" FROM i GROUP BY chromosome, k")
@@ -584,10 +592,11 @@ def interval_stats(spark, sf_dir):
     return intervals.interval_stats(beds(spark, sf_dir)).withColumn("average_length", _r("average_length"))
 
 
-@query("interval_overlaps", f"WITH {BEDS}, x AS (SELECT * FROM beds WHERE o % 10 = 1), y AS (SELECT * FROM beds WHERE o % 10 = 2) SELECT x.o AS a, y.o AS b FROM x JOIN y ON x.chromosome = y.chromosome AND x.st < y.en AND y.st < x.en")
+@query("interval_overlaps", f"WITH {BEDS}, y AS (SELECT p_partkey AS o, 'c' || CAST(p_partkey % 50 AS VARCHAR) AS chromosome, p_partkey * 40 + 20 AS st, p_partkey * 40 + 20 + p_size AS en FROM part) SELECT x.o AS a, y.o AS b FROM beds x JOIN y ON x.chromosome = y.chromosome AND x.st < y.en AND y.st < x.en")
 def interval_overlaps(spark, sf_dir):
-    b = beds(spark, sf_dir)
-    return intervals.overlaps(b.filter(F.col(ORD) % 10 == 1), b.filter(F.col(ORD) % 10 == 2)).select(F.col(ORD).alias("a"), F.col(f"b_{ORD}").alias("b"))
+    k = F.col("p_partkey")
+    parts = _table(spark, sf_dir, "part").select(k.alias(ORD), F.concat(F.lit("c"), (k % 50).cast("string")).alias("chromosome"), (k * 40 + 20).alias("start"), (k * 40 + 20 + F.col("p_size")).alias("end"))
+    return intervals.overlaps(beds(spark, sf_dir), parts).select(F.col(ORD).alias("a"), F.col(f"b_{ORD}").alias("b"))
 
 
 @query("gtf_features", "SELECT CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord, 'GENCODE' AS source_database, CASE WHEN l_linenumber = 1 THEN 'protein_coding' ELSE 'lincRNA' END AS gene_type, 'g' || CAST(l_partkey AS VARCHAR) AS gene_id, CAST(2 AS BIGINT) AS n_tags FROM lineitem WHERE l_suppkey % 2 = 0 AND l_partkey >= 10 AND l_partkey + 100 <= 1500")
