@@ -294,7 +294,7 @@ def grep_both_strands(spark, sf_dir):
     return search.grep(reads(spark, sf_dir), "GATTACA", search_both_strands=True).select("id")
 
 
-@query("grep_edits")
+@query("grep_edits", f"WITH {READS} SELECT id FROM reads WHERE len(list_filter(range(1, length(s) + 1), lambda i: list_min(list_transform(range(9, 14), lambda l: levenshtein(substr(s, CAST(i AS INTEGER), CAST(l AS INTEGER)), 'GATTACAGATT'))) <= 2)) > 0")
 def grep_edits(spark, sf_dir):
     return search.grep(reads(spark, sf_dir), "GATTACAGATT", allow_mismatches=2).select("id")
 
@@ -392,7 +392,13 @@ def translate_frames(spark, sf_dir):
     return regions.translate(plain(reads(spark, sf_dir)), frames=[1, 3, -2], include_frame_in_id=True).select("id", "sequence")
 
 
-@query("translate_orfs")
+@query(
+    "translate_orfs",
+    f"""WITH {PLAIN}, f AS (SELECT id || '_frame_+' || CAST(k AS VARCHAR) AS id, substr(s, CAST(k AS INTEGER)) AS x FROM plain, (SELECT unnest(range(1, 4)) AS k) UNION ALL SELECT id || '_frame_-' || CAST(k AS VARCHAR), substr({RC}, CAST(k AS INTEGER)) FROM plain, (SELECT unnest(range(1, 4)) AS k)),
+ p AS (SELECT id, {_protein('x')} AS p, CAST(list_filter(range(1, length(x) // 3 + 1), lambda i: substr(x, 3 * i - 2, 3) IN ('TTG', 'CTG', 'ATG'))[1] AS INTEGER) AS fst FROM f),
+ t AS (SELECT id, substr(p, fst, 1) AS lead, substr(p, fst + 1) AS tail FROM p WHERE fst IS NOT NULL),
+ o AS (SELECT id, lead || CASE WHEN contains(tail, '*') THEN substr(tail, 1, instr(tail, '*')) ELSE tail END AS sequence FROM t) SELECT id, sequence FROM o WHERE length(sequence) >= 5""",
+)
 def translate_orfs(spark, sf_dir):
     return regions.translate(plain(reads(spark, sf_dir)), orfs_only=True, all_frames=True, min_orf_length=5, include_frame_in_id=True).select("id", "sequence")
 
