@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seqloom.functions import kernels
 from seqloom.functions.bind import let
 from seqloom.schema import SeqError, require
 
@@ -85,20 +88,36 @@ def convert(quality: str | Column, source: str, target: str) -> Column:
     return F.translate(_c(quality), chars, to)
 
 
+def _measure(quality: str | Column, encoding: str, kind: str, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Column:
+    """A number for each row from the scores of a whole batch. Lambdas over an array of characters say the
+    same and take ten to twenty times as long. Null stays null."""
+    offset = offset_of(encoding)
+
+    @F.pandas_udf(kind)
+    def run(texts: pd.Series) -> pd.Series:
+        codes, lengths = kernels.flat(texts)
+        out = pd.Series(of(codes.astype(np.int64) - offset, lengths))
+        return out.where(texts.notna(), None)
+
+    return run(_c(quality))
+
+
+def total(quality: str | Column, encoding: str = "phred33") -> Column:
+    return _measure(quality, encoding, "long", lambda v, n: kernels.by_row(np.add, v, n, 0))
+
+
 def average(quality: str | Column, encoding: str = "phred33") -> Column:
-    """Mean score, 0 if empty. The sum of codes is taken over the characters' array."""
-    s = scores(quality, encoding)
-    total = F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x)
-    n = F.length(_c(quality))
-    return F.when(n > 0, total / n).otherwise(F.lit(0.0))
+    """Mean score, 0 if empty."""
+    return _measure(quality, encoding, "double", lambda v, n: kernels.by_row(np.add, v, n, 0) / np.maximum(n, 1))
 
 
 def minimum(quality: str | Column, encoding: str = "phred33") -> Column:
-    return F.coalesce(F.array_min(scores(quality, encoding)), F.lit(0))
+    """Smallest score, 0 if empty."""
+    return _measure(quality, encoding, "int", lambda v, n: kernels.by_row(np.minimum, v, n, 0))
 
 
 def maximum(quality: str | Column, encoding: str = "phred33") -> Column:
-    return F.coalesce(F.array_max(scores(quality, encoding)), F.lit(0))
+    return _measure(quality, encoding, "int", lambda v, n: kernels.by_row(np.maximum, v, n, 0))
 
 
 def error_probability(score: Column) -> Column:
@@ -110,11 +129,11 @@ def score_of_probability(p: Column) -> Column:
 
 
 def error_sum(quality: str | Column, encoding: str = "phred33") -> Column:
-    return F.aggregate(scores(quality, encoding), F.lit(0.0), lambda a, x: a + error_probability(x))
+    return _measure(quality, encoding, "double", lambda v, n: kernels.by_row(np.add, 10.0 ** (-v / 10.0), n, 0.0))
 
 
 def count_at_least(quality: str | Column, score: int, encoding: str = "phred33") -> Column:
-    return F.size(F.filter(scores(quality, encoding), lambda x: x >= score))
+    return _measure(quality, encoding, "int", lambda v, n: kernels.by_row(np.add, (v >= score).astype(np.int64), n, 0))
 
 
 def quality_stats(quality: str | Column, encoding: str = "phred33") -> Column:
@@ -219,26 +238,25 @@ def trim_range(quality: str | Column, threshold: float = 20, window: int = 4, fr
     """struct<start, end> of what stays: from the first window whose mean is at least the threshold to
     the end of the last one. No such window: (0, 0). A window longer than the read leaves it whole.
 
-    Window sums come from one running pass: prefix sums, then differences."""
+    A running sum over each read; a scan, so an Arrow function."""
     if window < 1:
         raise SeqError("window must be positive")
-
-    def of(s: Column) -> Column:
-        n = F.size(s)
-        start = F.aggregate(s, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-
-        def good_windows(p: Column) -> Column:
-            sums = F.transform(F.slice(p, 1, n - window + 1), lambda x, i: F.when(F.get(p, i + window) - x >= threshold * window, i).otherwise(-1))
-            return F.filter(sums, lambda i: i >= 0)
-
-        def of_good(g: Column) -> Column:
-            first = F.element_at(g, 1) if from_start else F.lit(0)
-            last = F.element_at(g, -1) + window if from_end else n
-            return F.when(F.size(g) == 0, F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).otherwise(F.struct(first.cast("int").alias("start"), last.cast("int").alias("end")))
-
-        whole = F.struct(F.lit(0).alias("start"), n.alias("end"))
-        if not (from_start or from_end):
-            return whole
-        return F.when((n == 0) | (n < window), whole).otherwise(let(start, lambda p: let(good_windows(p), of_good)))
-
-    return let(scores(quality, encoding), of)
+    offset, least = offset_of(encoding), threshold * window
+
+    def of(v: np.ndarray) -> tuple[int, int]:
+        if not len(v) or len(v) < window or not (from_start or from_end):
+            return 0, len(v)
+        sums = np.cumsum(np.concatenate([[0], v]))
+        good = np.flatnonzero(sums[window:] - sums[:-window] >= least)
+        if not len(good):
+            return 0, 0
+        return int(good[0]) if from_start else 0, int(good[-1]) + window if from_end else len(v)
+
+    @F.pandas_udf("start int, end int")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        codes, lengths = kernels.flat(texts)
+        scores_of = codes.astype(np.int64) - offset
+        stops = np.cumsum(lengths)
+        return pd.DataFrame([of(scores_of[b - n : b]) for b, n in zip(stops.tolist(), lengths.tolist(), strict=True)], columns=["start", "end"])
+
+    return run(_c(quality))

@@ -59,12 +59,12 @@ def stats(df: DataFrame, detailed: bool = False, include_quality: bool = True, i
     sums += [F.coalesce(F.bool_or(has), F.lit(False)).alias("_fastq"), F.coalesce(F.bool_or(~has), F.lit(False)).alias("_fasta")]
     with_quality = include_quality and "quality" in df.columns
     if with_quality:
-        s = quality.scores("quality", encoding)
+        some = F.length("quality") > 0
         sums += [
-            F.sum(F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x)).alias("_q"),
+            F.sum(quality.total("quality", encoding)).alias("_q"),
             F.sum(F.length("quality")).alias("_qn"),
-            F.min(F.array_min(s)).alias("min_quality"),
-            F.max(F.array_max(s)).alias("max_quality"),
+            F.min(F.when(some, quality.minimum("quality", encoding))).alias("min_quality"),
+            F.max(F.when(some, quality.maximum("quality", encoding))).alias("max_quality"),
             F.sum(quality.count_at_least("quality", 20, encoding)).alias("_q20"),
             F.sum(quality.count_at_least("quality", 30, encoding)).alias("_q30"),
             F.sum(quality.error_sum("quality", encoding)).alias("_err"),

@@ -25,6 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its input has fewer splits than there are cores; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _digest(key: Column, table: str, *salts: str) -> Column:
     return F.translate(F.concat(*[F.md5(F.concat(key.cast("string"), F.lit(s))) for s in salts]), HEX, table)
 
@@ -33,7 +39,7 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads of 30 to 64 bases with qualities; every 700th has the same sequence."""
     n = F.col("event_id")
     length = (30 + n % 35).cast("int")
-    e = _table(spark, sf_dir, "events").select("event_id", "user_id")
+    e = spread(_table(spark, sf_dir, "events").select("event_id", "user_id"))
     return conform(
         e.select(
             n.alias(ORD), F.concat(F.lit("read_"), n.cast("string")).alias("id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("description"),
@@ -51,7 +57,7 @@ def order_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other reads with some ids and some sequences in common with reads()."""
     n = F.col("o_orderkey")
     key = 350 + n % 1000
-    o = _table(spark, sf_dir, "orders").select("o_orderkey")
+    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey"))
     length = (30 + key % 35).cast("int")
     return conform(o.select(n.alias(ORD), F.concat(F.lit("read_"), n.cast("string")).alias("id"), F.substr(_digest(key, LETTERS, "a", "b"), F.lit(1), length).alias("sequence"), F.repeat(F.lit("I"), length).alias("quality"), F.lit("phred33").alias("quality_encoding")))
 
@@ -69,7 +75,7 @@ PLAIN = READS + ", plain AS (SELECT o, id, description, q, translate(s, 'N', 'T'
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = spread(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
     o = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return conform(
         li.select(
@@ -95,7 +101,7 @@ BEDS = "beds AS (SELECT l_orderkey * 10 + l_linenumber AS o, 'c' || CAST(l_suppk
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part").select("p_partkey")
+    p = spread(_table(spark, sf_dir, "part").select("p_partkey"))
     return conform(p.select(F.col("p_partkey").alias(ORD), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"), _digest(F.col("p_partkey"), LETTERS.replace("N", "T"), "a", "b", "c", "d").alias("sequence")))
 
 
@@ -104,7 +110,7 @@ CONTIGS = f"""contigs AS (SELECT p_partkey AS o, 'part_' || CAST(p_partkey AS VA
 
 def _mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """First mates from orders, second ones from their first line items, where these were returned or accepted."""
-    o = _table(spark, sf_dir, "orders").select("o_orderkey")
+    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey"))
     a = o.select(F.col("o_orderkey").alias(ORD), F.concat(F.lit("p"), F.col("o_orderkey").cast("string"), F.lit("/1")).alias("id"), _digest(F.col("o_orderkey"), LETTERS.replace("N", "A"), "a", "b").alias("sequence"))
     li = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_returnflag <> 'N'").select("l_orderkey").distinct()
     b = li.select(F.col("l_orderkey").alias(ORD), F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("/2")).alias("id"), _digest(F.col("l_orderkey"), LETTERS.replace("N", "A"), "b", "c").alias("sequence"))
