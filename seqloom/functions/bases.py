@@ -63,10 +63,19 @@ def replace_ambiguous(seq: str | Column, char: str = "N") -> Column:
     return F.regexp_replace(_c(seq), "[^ACGTUacgtu]", char)
 
 
+def _left_out(s: Column, letters: str) -> Column:
+    return F.length(s) - F.length(F.translate(s, letters, ""))
+
+
 def _weighted(seq: str | Column, full: str, half: str, half_set: str) -> Column:
-    counted = count_of(seq, "ACGTUSWRYKMNBDHV")
-    part = count_of(seq, full) + 0.5 * count_of(seq, half) + 0.5 * count_of(seq, half_set)
-    return F.when(counted > 0, 100.0 * part / counted).otherwise(F.lit(0.0))
+    """Bound once: in a filter, every mention of a sequence would be computed anew from what it is made of."""
+
+    def of(s: Column) -> Column:
+        counted = _left_out(s, "ACGTUSWRYKMNBDHV")
+        part = _left_out(s, full) + 0.5 * _left_out(s, half) + 0.5 * _left_out(s, half_set)
+        return F.when(counted > 0, 100.0 * part / counted).otherwise(F.lit(0.0))
+
+    return let(F.upper(_c(seq)), of)
 
 
 def gc_content(seq: str | Column) -> Column:
@@ -79,8 +88,10 @@ def at_content(seq: str | Column) -> Column:
 
 
 def _skew(seq: str | Column, plus: str, minus: str) -> Column:
-    p, m = count_of(seq, plus), count_of(seq, minus)
-    return F.when(p + m > 0, 100.0 * (p - m) / (p + m)).otherwise(F.lit(0.0))
+    def of(x: Column) -> Column:
+        return F.when(x["p"] + x["m"] > 0, 100.0 * (x["p"] - x["m"]) / (x["p"] + x["m"])).otherwise(F.lit(0.0))
+
+    return let(F.upper(_c(seq)), lambda s: let(F.struct(_left_out(s, plus).alias("p"), _left_out(s, minus).alias("m")), of))
 
 
 def gc_skew(seq: str | Column) -> Column:
@@ -99,13 +110,15 @@ def gc_fraction(seq: str | Column) -> Column:
 
 def shannon_entropy(seq: str | Column) -> Column:
     """Bits per letter; letters only, over the full length."""
-    s = _c(seq)
-    n = F.length(s)
-    terms = [F.when(count_of(s, x) > 0, -(count_of(s, x) / n) * F.log2(count_of(s, x) / n)).otherwise(0.0) for x in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.when(n > 0, total).otherwise(F.lit(0.0))
+
+    def of(s: Column) -> Column:
+        def term(total: Column, x: Column) -> Column:
+            share = (F.length(s) - F.length(F.replace(s, x, F.lit("")))) / F.length(s)
+            return let(share, lambda p: F.when(p > 0, total - p * F.log2(p)).otherwise(total))
+
+        return F.when(F.length(s) > 0, F.aggregate(F.split(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "(?<=.)(?=.)"), F.lit(0.0), term)).otherwise(F.lit(0.0))
+
+    return let(F.upper(_c(seq)), of)
 
 
 def letters(seq: str | Column) -> Column:
