@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from seqloom.llm.common import cut, fresh
 
 #: Points that one key's partition expands at once: 16 bytes each while they are sorted.
-POINTS = 2_000_000
+POINTS = 1_000_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -164,8 +164,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         _, changes, _ = _masks(bits)
         for batch in batches:
             x = batch["fp"].to_numpy(np.int64)
-            for k in range(0, len(x), 20_000):
-                some = x[k : k + 20_000]
+            for k in range(0, len(x), 4_000):
+                some = x[k : k + 4_000]
                 keys = _keys(some.view(np.uint64), bits)[:, None] ^ changes[None, :]
                 yield pd.DataFrame({"key": keys.ravel().astype(np.int32), "fp": np.repeat(some, len(changes))})
 
