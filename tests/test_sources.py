@@ -165,3 +165,42 @@ def test_detection():
     with pytest.raises(SeqError):
         detect.checked_path("a/../b")
     assert detect.validate_dsv("a,b\n1,2\n3")["ragged_line"] == 3 and detect.extract_headers("﻿a, b") == ["a", "b"]
+
+
+def test_split_files(spark, tmp_path):
+    from seqloom.operators import splitting
+
+    df = readers.parse_fasta(spark, "".join(f">s{i}\nACGT\n" for i in range(5)))
+    splitting.write(splitting.split(df, "by-size", sequences_per_file=2), str(tmp_path / "parts"))
+    names = sorted(p.name for p in (tmp_path / "parts").glob("part_id=*"))
+    assert names == ["part_id=1", "part_id=2", "part_id=3"]
+    assert rows(readers.read_fasta(spark, str(tmp_path / "parts" / "part_id=2")), "id") == [("s2",), ("s3",)]
+
+
+def test_files_of_any_store(spark, tmp_path):
+    p = put(tmp_path, "x.txt", "hello world")
+    m = detect.file_metadata(spark, p)
+    assert m["exists"] and m["size"] == 11 and not detect.file_metadata(spark, p + "no")["exists"]
+    assert detect.read_bytes(spark, p) == b"hello world" and detect.read_bytes(spark, p, 6, 3) == b"wor"
+
+
+def test_writers_of_features_and_index(spark, tmp_path):
+    bed = readers.read_bed(spark, put(tmp_path, "x.bed", "c\t1\t5\nc\t7\t9\tn\n"))
+    sinks.write_bed(bed, str(tmp_path / "b"), single=True)
+    assert readers.read_bed(spark, str(tmp_path / "b")).count() == 2
+    gtf = readers.read_gtf(spark, put(tmp_path, "x.gtf", GTF))
+    sinks.write_gtf(gtf, str(tmp_path / "g"), single=True)
+    assert readers.read_gtf(spark, str(tmp_path / "g")).count() == 2
+    sinks.write_fai(regions.fai_index(readers.parse_fasta(spark, ">a\nACGT\n")), str(tmp_path / "f"))
+    assert "".join(x.read_text() for x in (tmp_path / "f").glob("part*")) == "a\t4\t3\t4\t5\n"
+    assert sinks.format_row(["a", 'b"c', 1], quote_all=True) == '"a","b""c","1"\n'
+
+
+def test_key_values(spark, tmp_path):
+    from seqloom.operators import records
+
+    kv = records.read_key_values(spark, put(tmp_path, "kv.tsv", "# c\na\tone\nb\ttwo words\n"))
+    df = readers.from_rows(spark, [{"id": "a-1", "sequence": "A"}, {"id": "z-1", "sequence": "A"}])
+    assert rows(records.replace(df, r"^([a-z])", "{kv}", kv=kv, key_miss="none"), "id") == [("one-1",), ("none-1",)]
+    with pytest.raises(Exception, match="no key and value"):
+        records.read_key_values(spark, put(tmp_path, "bad.tsv", "lonely\n")).collect()
