@@ -7,9 +7,9 @@ after the other: the longest common run of children is matched, children on one
 optional, texts that differ become slots. Alignment is the same work at every level, so each task folds
 its own pages by host first and only wrappers are shuffled, then folded by host again.
 
-A host's wrapper says where its main text is: from the body down, the node that holds most of the text
-that is neither link text nor in parts that menus, notices, adverts, forms, comments and the like are
-made of. A page's blocks are the texts of that node's block elements.
+A host's wrapper says where its main text is: from the body down, the deepest node that holds all the
+text that is neither link text nor in parts that menus, notices, adverts, forms, comments and the like
+are made of. A page's blocks are the texts of that node's block elements.
 
 Plan: two narrow passes over the pages and a shuffle of wrappers, in two rounds so that a host with
 most of the pages is folded by many tasks. A wrapper's size follows the templates of a site, not its
@@ -52,6 +52,7 @@ ENDS = {
     "option": ({"option"}, {"select"}),
 }
 ENDS_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dt", "dd", "option", "legend", "summary"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never main text.
 APART = frozenset("nav header footer aside form script style noscript template iframe svg math button select textarea input label head title dialog menu object embed canvas".split())
 #: Elements whose classes speak of the page.
@@ -232,33 +233,33 @@ def expression(w: list, name: str = "root", parent_pages: int | None = None) ->
     return f"({inner}){sign}" if sign else inner
 
 
-def weight(w: list, name: str) -> int:
-    """Words in a wrapper that may be main text."""
-    if apart(name):
-        return 0
-    return w[WORDS] - w[LINKED] + sum(weight(c, k) for k, c in w[CHILDREN].items())
+def weights(w: list, name: str = "root") -> dict[int, int]:
+    """By identity of each wrapper node: its words that may be main text. Link text is none, but for
+    headings, which often link to their own page."""
+    order, todo = [], [(w, name, False)]
+    while todo:
+        node, k, headed = todo.pop()
+        headed = headed or tag_of(k) in HEADINGS
+        order.append((node, k, headed))
+        todo.extend((c, n, headed) for n, c in node[CHILDREN].items())
+    out: dict[int, int] = {}
+    for node, k, headed in reversed(order):  # children come after their parents
+        own = node[WORDS] - (0 if headed else node[LINKED])
+        out[id(node)] = 0 if apart(k) else own + sum(out[id(c)] for c in node[CHILDREN].values())
+    return out
 
 
 def main_path(w: list) -> list[str]:
-    """Names from the root to the node of the main text: down into an article, or into the one child
-    that holds nine tenths of what a node holds in other than inline elements."""
-    path, name, total = [], "root", weight(w, "root")
-    if not total:
-        return path
-    while True:
-        kids = {k: (c, weight(c, k)) for k, c in w[CHILDREN].items() if tag_of(k) in BLOCK or tag_of(k) == "main"}
-        kids = {k: x for k, x in kids.items() if x[1]}
-        if not kids:
-            return path
-        named = {k: x for k, x in kids.items() if tag_of(k) in ("article", "main") or "*" in k}
-        k, (c, n) = max((named or kids).items(), key=lambda x: x[1][1])
-        holds = n >= (0.4 if k in named else 0.9) * weight(w, name)
-        if not holds or tag_of(k) in ("p", "li", "td", "pre", "blockquote", "h1", "h2"):
-            return path
-        if c[REPEATED] and tag_of(k) not in ("article", "main"):
-            return path
+    """Names from the root to the node of the main text: down as long as one block child holds all the
+    words that may be main text, so nothing of it is left behind."""
+    path, held = [], weights(w)
+    while held[id(w)]:
+        kids = [(k, c) for k, c in w[CHILDREN].items() if tag_of(k) in BLOCK and held[id(c)] == held[id(w)]]
+        if not kids or tag_of(kids[0][0]) in ("p", "li", "td", "pre", "blockquote", *HEADINGS):
+            break
+        k, w = kids[0]
         path.append(k)
-        w, name = c, k
+    return path
 
 
 def at_path(root: Node, path: list[str]) -> list[Node]:

@@ -52,3 +52,11 @@ def test_empty(spark):
 def test_classes_of_the_page_and_of_content():
     page = "<body class='sidebar-right comments-open'><div class='entry-content comments-open'><p>Main words here.</p><div class='post-header'>no</div></div><div class='comments'><p>Reader words here and more of them, really many of them.</p></div></body>"
     assert h.text_of(page, None) == "Main words here."
+
+
+def test_nothing_beside_the_largest_child_is_lost():
+    long = " ".join(["word"] * 300)
+    assert h.text_of("<body><article><h1>Head</h1><p>Lead words.</p><div class='content'><p>Body one.</p></div></article></body>", None) == "Head\nLead words.\nBody one."
+    assert h.text_of("<body><div class='post-intro'><p>Intro.</p></div><div class='post-body'><p>Body of more words.</p></div></body>", None) == "Intro.\nBody of more words."
+    assert h.text_of(f"<body><h1>Head</h1><div><p>{long}</p></div></body>", None) == f"Head\n{long}"
+    assert h.text_of("<body><div class='top'><a href='/'>Home</a> <a href='/x'>More</a></div><div class='text'><h2><a href='/t'>Title</a></h2><p>Text.</p></div></body>", None) == "Title\nText."
