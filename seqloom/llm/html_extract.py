@@ -9,7 +9,8 @@ its own pages by host first and only wrappers are shuffled, then folded by host
 
 A host's wrapper says where its main text is: from the body down, the deepest node that holds all the
 text that is neither link text nor in parts that menus, notices, adverts, forms, comments and the like
-are made of. A page's blocks are the texts of that node's block elements.
+are made of. Classes, ids and roles mark such parts on containers only; where a mark's word may as well
+name main text, the host's wrapper decides by words and links. A page's blocks are the texts of that node's block elements.
 
 Plan: two narrow passes over the pages and a shuffle of wrappers, in two rounds so that a host with
 most of the pages is folded by many tasks. A wrapper's size follows the templates of a site, not its
@@ -27,6 +28,7 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,7 +69,14 @@ ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story)(?:$
 TAG = re.compile(r"<(?:!--.*?(?:-->|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
 #: A tag with a quote that never ends: up to the next sign.
 OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)")
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Words that, joined to one that is no mark (form-factor, related-work), may name main text: the wrapper decides.
+WEAK = re.compile(r"^(?:banner|promo|menu|header|aside|notice|social|share|sharing|related|response|respond|reply|replies|form|search|login|subscribe|pager)$")
+#: Elements that a class, id or role can mark as apart, and those of them whose id is no anchor.
+MARKED = frozenset("div ul ol dl menu section center details fieldset figure".split())
+NAMED = MARKED - {"section", "figure"}
+#: Words a page from which a part with a weak mark is main text, if at most half of its words are links.
+PART_WORDS = 20
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TEXT = "#text"
 
 
@@ -81,20 +90,29 @@ class Node:
 
 def signature(tag: str, attributes: str) -> str:
     """The tag with a sign for what its class, id and role say: '*' main text (a word says so and is no
-    mark of another part itself), '!' a part that is none, and names without digits."""
+    mark of another part itself), '!' a part that is none, '?' one that may be none, and names without
+    digits. Headings, paragraphs, tables and inline elements are never marked, ids of sections are anchors."""
     if not attributes or "=" not in attributes:
         return tag
-    said = " ".join(f"{b}{c}{d}" for _, b, c, d in ATTRIBUTE.findall(attributes)).lower().split()
+    found = [(a.lower(), f"{b}{c}{d}".lower().split()) for a, b, c, d in ATTRIBUTE.findall(attributes)]
+    said = [w for _, words in found for w in words]
     if not said:
         return tag
     marked = [bool(MARKS.search(w)) for w in said]
     main = any(ARTICLE.search(w) and not m for w, m in zip(said, marked, strict=True))
-    sign = "*" if main else "!" if any(marked) and tag not in WHOLE else "."
+    marks = [w for a, words in found for w in words if MARKS.search(w) and (a != "id" or tag in NAMED)] if tag in MARKED else []
+    sign = "*" if main else "." if not marks else "?" if all(map(weak, marks)) else "!"
     return f"{tag}{sign}{'.'.join([w for w in said if not re.search(r'[0-9]', w)][:4])}"
 
 
+def weak(word: str) -> bool:
+    parts = [x for x in re.split(r"[_-]", word) if x]
+    marks = [x for x in parts if MARKS.search(x)]
+    return len(marks) < len(parts) and all(map(WEAK.search, marks))
+
+
 def tag_of(name: str) -> str:
-    return re.split(r"[!*.]", name, maxsplit=1)[0]
+    return re.split(r"[!*.?]", name, maxsplit=1)[0]
 
 
 def apart(name: str) -> bool:
@@ -233,33 +251,54 @@ def expression(w: list, name: str = "root", parent_pages: int | None = None) ->
     return f"({inner}){sign}" if sign else inner
 
 
-def weights(w: list, name: str = "root") -> dict[int, int]:
-    """By identity of each wrapper node: its words that may be main text. Link text is none, but for
-    headings, which often link to their own page."""
-    order, todo = [], [(w, name, False)]
+def weights(w: list, name: str = "root") -> tuple[dict[int, int], list[int]]:
+    """By identity of each wrapper node: its words that may be main text; and the places of the parts with
+    a weak mark that hold none. Link text is none, but for headings, which often link to their own page."""
+    order, todo = [], [(w, name, False, ROOT)]
     while todo:
-        node, k, headed = todo.pop()
+        node, k, headed, at = todo.pop()
         headed = headed or tag_of(k) in HEADINGS
-        order.append((node, k, headed))
-        todo.extend((c, n, headed) for n, c in node[CHILDREN].items())
+        order.append((node, k, headed, at))
+        todo.extend((c, n, headed, place(at, n)) for n, c in node[CHILDREN].items())
     out: dict[int, int] = {}
-    for node, k, headed in reversed(order):  # children come after their parents
-        own = node[WORDS] - (0 if headed else node[LINKED])
-        out[id(node)] = 0 if apart(k) else own + sum(out[id(c)] for c in node[CHILDREN].values())
-    return out
+    links: dict[int, int] = {}
+    dropped = []
+    for node, k, headed, at in reversed(order):  # children come after their parents
+        linked = 0 if headed else node[LINKED]
+        words = node[WORDS] - linked + sum(out[id(c)] for c in node[CHILDREN].values())
+        linked += sum(links[id(c)] for c in node[CHILDREN].values())
+        off = apart(k)
+        if "?" in k and (words < PART_WORDS * node[PAGES] or linked > words):
+            dropped.append(at)
+            off = True
+        out[id(node)], links[id(node)] = (0, 0) if off else (words, linked)
+    return out, dropped
+
+
+#: A place is a hash of the names from the root to a node.
+ROOT = 0
+
+
+def place(parent: int, name: str) -> int:
+    return int.from_bytes(blake2b(b"%d %b" % (parent, name.encode("utf-8", "replace")), digest_size=7).digest(), "big")
 
 
 def main_path(w: list) -> list[str]:
-    """Names from the root to the node of the main text: down as long as one block child holds all the
-    words that may be main text, so nothing of it is left behind."""
-    path, held = [], weights(w)
+    return decide(w)["path"]
+
+
+def decide(w: list) -> dict:
+    """path: names from the root to the node of the main text, down as long as one block child holds all
+    the words that may be main text, so nothing of it is left behind. off: places of parts that are none."""
+    path = []
+    held, dropped = weights(w)
     while held[id(w)]:
         kids = [(k, c) for k, c in w[CHILDREN].items() if tag_of(k) in BLOCK and held[id(c)] == held[id(w)]]
         if not kids or tag_of(kids[0][0]) in ("p", "li", "td", "pre", "blockquote", *HEADINGS):
             break
         k, w = kids[0]
         path.append(k)
-    return path
+    return {"path": path, "off": dropped}
 
 
 def at_path(root: Node, path: list[str]) -> list[Node]:
@@ -269,7 +308,8 @@ def at_path(root: Node, path: list[str]) -> list[Node]:
     return found
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node], at: int = ROOT, off: frozenset[int] = frozenset()) -> list[str]:
+    """Texts of the block elements in nodes, all of them at one place, without the parts that are off."""
     out: list[str] = []
     said: list[str] = []
 
@@ -281,18 +321,20 @@ def blocks(nodes: list[Node]) -> list[str]:
 
     for top in nodes:
         flush()
-        todo: list = [(top, 0)]
+        todo: list = [(top, 0, at)]
         while todo:  # no recursion: pages nest as deep as they like
-            node, k = todo.pop()
+            node, k, here = todo.pop()
             if k == len(node.parts):
                 if tag_of(node.name) in BLOCK:
                     flush()
                 continue
-            todo.append((node, k + 1))
+            todo.append((node, k + 1, here))
             part = node.parts[k]
             if isinstance(part, str):
                 said.append(part)
-            elif apart(part.name):
+                continue
+            there = place(here, part.name) if off else ROOT
+            if apart(part.name) or there in off:
                 if tag_of(part.name) in BLOCK:
                     flush()
             elif tag_of(part.name) == "br":
@@ -300,19 +342,24 @@ def blocks(nodes: list[Node]) -> list[str]:
             else:
                 if tag_of(part.name) in BLOCK:
                     flush()
-                todo.append((part, 0))
+                todo.append((part, 0, there))
     flush()
     return out
 
 
-def text_of(page: str | None, path: list[str] | None) -> str:
+def text_of(page: str | None, plan: dict | None) -> str:
+    """The main text by what its host's wrapper decided, or by its own."""
     if not page:
         return ""
     root = parse(page)
-    nodes = at_path(root, path) if path is not None else []
-    if not nodes or path is None:
-        nodes = at_path(root, main_path(wrapper_of(root)))
-    return "\n".join(blocks(nodes))
+    nodes = at_path(root, plan["path"]) if plan is not None else []
+    if not nodes or plan is None:
+        plan = decide(wrapper_of(root))
+        nodes = at_path(root, plan["path"])
+    at = ROOT
+    for name in plan["path"]:
+        at = place(at, name)
+    return "\n".join(blocks(nodes, at, frozenset(plan["off"])))
 
 
 def host_of(url):
@@ -324,7 +371,7 @@ SALTS = 32
 
 
 def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(host, pages, path, expression); written."""
+    """(host, pages, plan, expression); written."""
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
@@ -347,17 +394,17 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
 
     def whole(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         w = fold(batch)
-        return pd.DataFrame({"host": [key[0]], "pages": [w[PAGES]], "path": [json.dumps(main_path(w))], "expression": [expression(w)]})
+        return pd.DataFrame({"host": [key[0]], "pages": [w[PAGES]], "plan": [json.dumps(decide(w))], "expression": [expression(w)]})
 
     read = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("page"))
     first = read.mapInPandas(own, "host string, w string").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
     second = first.groupBy("host", "salt").applyInPandas(some, "host string, w string")
-    return written(second.groupBy("host").applyInPandas(whole, "host string, pages long, path string, expression string"))
+    return written(second.groupBy("host").applyInPandas(whole, "host string, pages long, plan string, expression string"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text."""
-    paths = wrappers(pages, html, url).select("host", "path")
+    plans = wrappers(pages, html, url).select("host", "plan")
 
     @F.pandas_udf("string")
     def main(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -365,7 +412,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield pd.Series([text_of(t, json.loads(p) if p else None) for t, p in zip(texts, where, strict=True)], dtype=object)
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("page"), host_of(F.col(url)).alias("host"))
-    return rows.join(paths, "host", "left").select("page_id", "url", main("page", "path").alias("text"))
+    return rows.join(plans, "host", "left").select("page_id", "url", main("page", "plan").alias("text"))
 
 
 def op7(spark, sf_dir):

@@ -60,3 +60,13 @@ def test_nothing_beside_the_largest_child_is_lost():
     assert h.text_of("<body><div class='post-intro'><p>Intro.</p></div><div class='post-body'><p>Body of more words.</p></div></body>", None) == "Intro.\nBody of more words."
     assert h.text_of(f"<body><h1>Head</h1><div><p>{long}</p></div></body>", None) == f"Head\n{long}"
     assert h.text_of("<body><div class='top'><a href='/'>Home</a> <a href='/x'>More</a></div><div class='text'><h2><a href='/t'>Title</a></h2><p>Text.</p></div></body>", None) == "Title\nText."
+
+
+def test_marks_inside_the_article():
+    words = " ".join(["word"] * 25)
+    body = (
+        "<section id='related-work'><h2 id='search'>Search</h2><p class='notice'>Note well.</p><h2 id='header-fields'>Fields</h2><table class='form-factor'><tr><td>ATX</table><pre>x <span class='comment'># why</span></pre></section>"
+        f"<div data-id='search' data-class='menu'>Kept.</div><div class='form-factor'><p>{words}</p></div>"
+    )
+    gone = "<div class='comment-list'><p>Reader.</p></div><div class='search-form'><p>Go there</p></div><div class='related-links'><a href='/'>" + words + "</a></div>"
+    assert h.text_of(f"<body><article><p>Start.</p>{body}{gone}</article></body>", None) == f"Start.\nSearch\nNote well.\nFields\nATX\nx # why\nKept.\n{words}"
