@@ -171,57 +171,98 @@ def parse(page: str) -> Node:
 
 
 # A wrapper is [required, repeated, words of own text, words of it in links, constant or None, {name: wrapper}] in
-# a list, so it goes through JSON as it is.
+# a list; flat() writes it as JSON.
 PAGES, REPEATED, WORDS, LINKED, CONSTANT, CHILDREN = range(6)
 
 
-def wrapper_of(node: Node, linked: bool = False) -> list:
+def wrapper_of(node: Node) -> list:
     """A page's own wrapper: children of one name fold into one that is repeated."""
-    w: list = [1, 0, 0, 0, None, {}]
-    linked = linked or tag_of(node.name) == "a"
-    said = []
-    for part in node.parts:
-        if isinstance(part, str):
-            said.extend(part.split())
-            continue
-        child = wrapper_of(part, linked)
-        if part.name in w[CHILDREN]:
-            merged = align(w[CHILDREN][part.name], child)
-            merged[PAGES], merged[REPEATED] = 1, 1
-            w[CHILDREN][part.name] = merged
-        else:
-            w[CHILDREN][part.name] = child
-    w[WORDS], w[LINKED] = len(said), len(said) if linked else 0
-    w[CONSTANT] = " ".join(said)[:80] if said else None
-    return w
+    root: list = [1, 0, 0, 0, None, {}]
+    todo = [(node, root, tag_of(node.name) == "a", True)]
+    while todo:  # no recursion: pages nest as deep as they like
+        node, w, linked, first = todo.pop()
+        said = [x for part in node.parts if isinstance(part, str) for x in part.split()]
+        text = constant(" ".join(said)) if said else None
+        w[CONSTANT] = text if first or w[CONSTANT] == text else None
+        w[WORDS] += len(said)
+        w[LINKED] += len(said) if linked else 0
+        below, here = [], set()
+        for part in node.parts:
+            if isinstance(part, str):
+                continue
+            new = part.name not in w[CHILDREN]
+            child = w[CHILDREN].setdefault(part.name, [1, 0, 0, 0, None, {}])
+            if part.name in here:
+                child[REPEATED] = 1
+            here.add(part.name)
+            below.append((part, child, linked or tag_of(part.name) == "a", new))
+        todo.extend(reversed(below))
+    return root
+
+
+def constant(text: str) -> str:
+    """A text, or of a long one its start and a digest, which differ when the texts do."""
+    return text if len(text) <= 80 else f"{text[:60]}#{blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
 
 
 def align(a: list, b: list) -> list:
     """The wrapper that covers both: matched children in common order, the others optional (they are in
     fewer pages than their parent), texts that differ become slots (no constant)."""
-    names: list[str] = []
-    left, right = list(a[CHILDREN]), list(b[CHILDREN])
+    root = _both(a, b)
+    todo = [(a, b, root)]
+    while todo:
+        a, b, w = todo.pop()
+        for name in _order(list(a[CHILDREN]), list(b[CHILDREN])):
+            x, y = a[CHILDREN].get(name), b[CHILDREN].get(name)
+            if x and y:
+                w[CHILDREN][name] = _both(x, y)
+                todo.append((x, y, w[CHILDREN][name]))
+            else:
+                w[CHILDREN][name] = x or y
+    return root
+
+
+def _both(a: list, b: list) -> list:
+    return [a[PAGES] + b[PAGES], a[REPEATED] | b[REPEATED], a[WORDS] + b[WORDS], a[LINKED] + b[LINKED], a[CONSTANT] if a[CONSTANT] == b[CONSTANT] else None, {}]
+
+
+def _order(left: list[str], right: list[str]) -> list[str]:
+    """Every name once, the common ones in their order."""
     if left == right:
-        names = left
-    else:
-        common = _common(left, right)
-        i = j = 0
-        for name in [*common, None]:
-            while i < len(left) and left[i] != name:
-                names.append(left[i])
-                i += 1
-            while j < len(right) and right[j] != name:
-                names.append(right[j])
-                j += 1
-            if name is not None:
-                names.append(name)
-                i, j = i + 1, j + 1
-    children = {}
-    for name in names:
-        x, y = a[CHILDREN].get(name), b[CHILDREN].get(name)
-        if name not in children:
-            children[name] = align(x, y) if x and y else x or y
-    return [a[PAGES] + b[PAGES], a[REPEATED] | b[REPEATED], a[WORDS] + b[WORDS], a[LINKED] + b[LINKED], a[CONSTANT] if a[CONSTANT] == b[CONSTANT] else None, children]
+        return left
+    names: list[str] = []
+    i = j = 0
+    for name in [*_common(left, right), None]:
+        while i < len(left) and left[i] != name:
+            names.append(left[i])
+            i += 1
+        while j < len(right) and right[j] != name:
+            names.append(right[j])
+            j += 1
+        if name is not None:
+            names.append(name)
+            i, j = i + 1, j + 1
+    return list(dict.fromkeys(names))
+
+
+def flat(w: list) -> str:
+    """A wrapper as JSON without nesting: parents before children, each with its parent's number."""
+    out, todo = [], [(w, "root", -1)]
+    while todo:
+        node, name, parent = todo.pop()
+        out.append([parent, name, *node[:CHILDREN], *node[CHILDREN + 1 :]])
+        todo.extend((c, k, len(out) - 1) for k, c in reversed(node[CHILDREN].items()))
+    return json.dumps(out)
+
+
+def unflat(said: str) -> list:
+    made: list[list] = []
+    for parent, name, *values in json.loads(said):
+        w = [*values[:CHILDREN], {}, *values[CHILDREN:]]
+        if parent >= 0:
+            made[parent][CHILDREN][name] = w
+        made.append(w)
+    return made[0]
 
 
 def _common(a: list[str], b: list[str]) -> list[str]:
@@ -242,13 +283,23 @@ def _common(a: list[str], b: list[str]) -> list[str]:
     return out
 
 
-def expression(w: list, name: str = "root", parent_pages: int | None = None) -> str:
+def expression(w: list, name: str = "root") -> str:
     """The wrapper as a regular expression: (...)+ repeated, (...)? optional, #slot for text."""
-    text = "" if not w[WORDS] else "#slot" if w[CONSTANT] is None else repr(w[CONSTANT])
-    inner = f"<{name}>{text}{''.join(expression(c, k, w[PAGES]) for k, c in w[CHILDREN].items())}</{name}>"
-    optional = parent_pages is not None and w[PAGES] < parent_pages
-    sign = ("*" if optional else "+") if w[REPEATED] else "?" if optional else ""
-    return f"({inner}){sign}" if sign else inner
+    out: list[str] = []
+    todo: list = [(w, name, None)]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            out.append(item)
+            continue
+        w, name, parent_pages = item
+        text = "" if not w[WORDS] else "#slot" if w[CONSTANT] is None else repr(w[CONSTANT])
+        optional = parent_pages is not None and w[PAGES] < parent_pages
+        sign = ("*" if optional else "+") if w[REPEATED] else "?" if optional else ""
+        out.append(f"{'(' if sign else ''}<{name}>{text}")
+        todo.append(f"</{name}>{')' + sign if sign else ''}")
+        todo.extend((c, k, w[PAGES]) for k, c in reversed(w[CHILDREN].items()))
+    return "".join(out)
 
 
 def weights(w: list, name: str = "root") -> tuple[dict[int, int], list[int]]:
@@ -381,16 +432,16 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
                     w = wrapper_of(parse(page))
                     held[host] = align(held[host], w) if host in held else w
         if held:  # an empty frame has no types
-            yield pd.DataFrame({"host": list(held), "w": [json.dumps(w) for w in held.values()]})
+            yield pd.DataFrame({"host": list(held), "w": [flat(w) for w in held.values()]})
 
     def fold(batch: pd.DataFrame) -> list:
         total = None
-        for w in map(json.loads, batch["w"]):
+        for w in map(unflat, batch["w"]):
             total = align(total, w) if total else w
         return total
 
     def some(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "w": [json.dumps(fold(batch))]})
+        return pd.DataFrame({"host": [key[0]], "w": [flat(fold(batch))]})
 
     def whole(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         w = fold(batch)

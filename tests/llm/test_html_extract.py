@@ -70,3 +70,12 @@ def test_marks_inside_the_article():
     )
     gone = "<div class='comment-list'><p>Reader.</p></div><div class='search-form'><p>Go there</p></div><div class='related-links'><a href='/'>" + words + "</a></div>"
     assert h.text_of(f"<body><article><p>Start.</p>{body}{gone}</article></body>", None) == f"Start.\nSearch\nNote well.\nFields\nATX\nx # why\nKept.\n{words}"
+
+
+def test_ten_thousand_levels(spark):
+    deep = "<div>" * 10_000 + "word"
+    other = "<div>" * 9_000 + "text</div><p>end"
+    w = h.wrapper_of(h.parse(deep))
+    assert h.flat(h.unflat(h.flat(w))) == h.flat(w) and h.expression(w).count("<div>") == 10_000
+    rows = [(1, "https://a.example/1", deep), (2, "https://a.example/2", other), (3, "https://b.example/", "<p>plain")]
+    assert {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "word", 2: "text\nend", 3: "plain"}
