@@ -10,7 +10,10 @@ its own pages by host first and only wrappers are shuffled, then folded by host
 A host's wrapper says where its main text is: from the body down, the deepest node that holds all the
 text that is neither link text nor in parts that menus, notices, adverts, forms, comments and the like
 are made of. Classes, ids and roles mark such parts on containers only; where a mark's word may as well
-name main text, the host's wrapper decides by words and links. A page's blocks are the texts of that node's block elements.
+name main text, the host's wrapper decides by words and links. A page's blocks are the texts of that node's
+block elements: its slots, repeated and optional parts. Constants go: lines that every page with text at
+their place holds, wherever they stand among their siblings, where at least three different pages have
+it; lists, tables and the like only as a whole, headings only if nothing below them stays.
 
 Plan: two narrow passes over the pages and a shuffle of wrappers, in two rounds so that a host with
 most of the pages is folded by many tasks. A wrapper's size follows the templates of a site, not its
@@ -171,13 +174,14 @@ def parse(page: str) -> Node:
 
 
 # A wrapper is [required, repeated, words of own text, words of it in links, constant or None, {name: wrapper}] in
-# a list; flat() writes it as JSON.
-PAGES, REPEATED, WORDS, LINKED, CONSTANT, CHILDREN = range(6)
+# a list; flat() writes it as JSON. The root also has {place: [pages, some of their hashes, {line: words}]}
+# with the lines that every page with text at the place holds there.
+PAGES, REPEATED, WORDS, LINKED, CONSTANT, CHILDREN, LINES = range(7)
 
 
 def wrapper_of(node: Node) -> list:
     """A page's own wrapper: children of one name fold into one that is repeated."""
-    root: list = [1, 0, 0, 0, None, {}]
+    root: list = [1, 0, 0, 0, None, {}, lines_of(node)]
     todo = [(node, root, tag_of(node.name) == "a", True)]
     while todo:  # no recursion: pages nest as deep as they like
         node, w, linked, first = todo.pop()
@@ -200,6 +204,29 @@ def wrapper_of(node: Node) -> list:
     return root
 
 
+def lines_of(root: Node) -> dict[str, list]:
+    found = lines([root], ROOT)
+    page = line_hash(ROOT, "\n".join(x[TEXT_OF] for x in found))
+    out: dict[str, list] = {}
+    for at, tag, group, words, text in found:
+        held = out.setdefault(str(at), [1, [page], {}])[2]
+        # words that weights() may leave out: none of what may be kept after all
+        held[line_hash(at, text)] = 0 if group or tag in HEADINGS else words
+    return out
+
+
+def line_hash(at: int, text: str) -> str:
+    return blake2b(b"%d %b" % (at, text.encode("utf-8", "replace")), digest_size=7).hexdigest()
+
+
+def _lines_of_both(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
+    out = a | b
+    for at in a.keys() & b.keys():
+        (n, pages, held), (m, more, other) = a[at], b[at]
+        out[at] = [n + m, sorted({*pages, *more})[:ENOUGH], {k: min(w, other[k]) for k, w in held.items() if k in other}]
+    return out
+
+
 def constant(text: str) -> str:
     """A text, or of a long one its start and a digest, which differ when the texts do."""
     return text if len(text) <= 80 else f"{text[:60]}#{blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
@@ -209,6 +236,8 @@ def align(a: list, b: list) -> list:
     """The wrapper that covers both: matched children in common order, the others optional (they are in
     fewer pages than their parent), texts that differ become slots (no constant)."""
     root = _both(a, b)
+    if len(a) > LINES and len(b) > LINES:
+        root.append(_lines_of_both(a[LINES], b[LINES]))
     todo = [(a, b, root)]
     while todo:
         a, b, w = todo.pop()
@@ -316,7 +345,9 @@ def weights(w: list, name: str = "root") -> tuple[dict[int, int], list[int]]:
     dropped = []
     for node, k, headed, at in reversed(order):  # children come after their parents
         linked = 0 if headed else node[LINKED]
-        words = node[WORDS] - linked + sum(out[id(c)] for c in node[CHILDREN].values())
+        pages, seen, held = w[LINES].get(str(at), (0, (), {}))
+        fixed = pages * sum(held.values()) if len(seen) >= ENOUGH else 0
+        words = node[WORDS] - linked - fixed + sum(out[id(c)] for c in node[CHILDREN].values())
         linked += sum(links[id(c)] for c in node[CHILDREN].values())
         off = apart(k)
         if "?" in k and (words < PART_WORDS * node[PAGES] or linked > words):
@@ -326,6 +357,10 @@ def weights(w: list, name: str = "root") -> tuple[dict[int, int], list[int]]:
     return out, dropped
 
 
+#: Different pages that must hold a line before it counts as constant.
+ENOUGH = 3
+#: Elements whose lines belong together: they are constant only as a whole.
+GROUP = frozenset("table dl ul ol pre blockquote figure details".split())
 #: A place is a hash of the names from the root to a node.
 ROOT = 0
 
@@ -340,8 +375,10 @@ def main_path(w: list) -> list[str]:
 
 def decide(w: list) -> dict:
     """path: names from the root to the node of the main text, down as long as one block child holds all
-    the words that may be main text, so nothing of it is left behind. off: places of parts that are none."""
+    the words that may be main text, so nothing of it is left behind. off: places of parts that are none.
+    fixed: lines that all pages with text at their place hold, where ENOUGH different pages have it."""
     path = []
+    fixed = [k for _, seen, lines in w[LINES].values() if len(seen) >= ENOUGH for k in lines]
     held, dropped = weights(w)
     while held[id(w)]:
         kids = [(k, c) for k, c in w[CHILDREN].items() if tag_of(k) in BLOCK and held[id(c)] == held[id(w)]]
@@ -349,7 +386,7 @@ def decide(w: list) -> dict:
             break
         k, w = kids[0]
         path.append(k)
-    return {"path": path, "off": dropped}
+    return {"path": path, "off": dropped, "fixed": fixed}
 
 
 def at_path(root: Node, path: list[str]) -> list[Node]:
@@ -359,45 +396,80 @@ def at_path(root: Node, path: list[str]) -> list[Node]:
     return found
 
 
-def blocks(nodes: list[Node], at: int = ROOT, off: frozenset[int] = frozenset()) -> list[str]:
-    """Texts of the block elements in nodes, all of them at one place, without the parts that are off."""
-    out: list[str] = []
+def lines(nodes: list[Node], at: int, off: frozenset[int] = frozenset(), placed: bool = True) -> list[tuple]:
+    """(place, tag, group, words not in links, text) of the lines of block elements in nodes, all of them at
+    one place, without the parts that are off. Group: the number of the outermost GROUP, 0 for none."""
+    out: list[tuple] = []
     said: list[str] = []
+    words, groups = 0, 0
+    of: tuple = (at, "", 0)
 
     def flush() -> None:
+        nonlocal words
         line = " ".join(entities.unescape("".join(said)).split())
-        said.clear()
         if line:
-            out.append(line)
+            out.append((*of, words, line))
+        said.clear()
+        words = 0
 
     for top in nodes:
         flush()
-        todo: list = [(top, 0, at)]
+        # node, next part, its place, (place, tag, group) of its block, in a link, in a heading
+        todo: list = [(top, 0, at, (at, tag_of(top.name), 0), tag_of(top.name) == "a", tag_of(top.name) in HEADINGS)]
         while todo:  # no recursion: pages nest as deep as they like
-            node, k, here = todo.pop()
+            node, k, here, block, linked, headed = todo.pop()
             if k == len(node.parts):
                 if tag_of(node.name) in BLOCK:
                     flush()
                 continue
-            todo.append((node, k + 1, here))
+            todo.append((node, k + 1, here, block, linked, headed))
             part = node.parts[k]
             if isinstance(part, str):
                 said.append(part)
+                if not part.isspace():
+                    of = block
+                    words += len(part.split()) if headed or not linked else 0
                 continue
-            there = place(here, part.name) if off else ROOT
+            tag = tag_of(part.name)
+            there = place(here, part.name) if placed else ROOT
             if apart(part.name) or there in off:
-                if tag_of(part.name) in BLOCK:
+                if tag in BLOCK:
                     flush()
-            elif tag_of(part.name) == "br":
+            elif tag == "br":
                 said.append(" ")
+            elif tag in BLOCK:
+                flush()
+                group = block[2]
+                if not group and tag in GROUP:
+                    groups += 1
+                    group = groups
+                todo.append((part, 0, there, (there, tag, group), linked, headed or tag in HEADINGS))
             else:
-                if tag_of(part.name) in BLOCK:
-                    flush()
-                todo.append((part, 0, there))
+                todo.append((part, 0, there, block, linked or tag == "a", headed))
     flush()
     return out
 
 
+LINE_AT, LINE_TAG, LINE_GROUP, _, TEXT_OF = range(5)
+
+
+def blocks(nodes: list[Node], at: int = ROOT, off: frozenset[int] = frozenset(), fixed: frozenset[str] = frozenset()) -> list[str]:
+    """Texts of the block elements in nodes without what is off and what is constant: lines and whole
+    groups. A constant heading stays with what stays below it, and a page of nothing else stays."""
+    found = lines(nodes, at, off, bool(off or fixed))
+    if not fixed:
+        return [x[TEXT_OF] for x in found]
+    same = [line_hash(x[LINE_AT], x[TEXT_OF]) in fixed for x in found]
+    varied = {x[LINE_GROUP] for x, c in zip(found, same, strict=True) if not c}
+    keep, below = [], False
+    for x, c in zip(reversed(found), reversed(same), strict=True):
+        stays = not c or (x[LINE_GROUP] > 0 and x[LINE_GROUP] in varied) or (x[LINE_TAG] in HEADINGS and below)
+        keep.append(stays)
+        below = stays
+    kept = [x[TEXT_OF] for x, stays in zip(found, reversed(keep), strict=True) if stays]
+    return kept if any(not c for c in same) else [x[TEXT_OF] for x in found]
+
+
 def text_of(page: str | None, plan: dict | None) -> str:
     """The main text by what its host's wrapper decided, or by its own."""
     if not page:
@@ -410,7 +482,7 @@ def text_of(page: str | None, plan: dict | None) -> str:
     at = ROOT
     for name in plan["path"]:
         at = place(at, name)
-    return "\n".join(blocks(nodes, at, frozenset(plan["off"])))
+    return "\n".join(blocks(nodes, at, frozenset(plan["off"]), frozenset(plan["fixed"])))
 
 
 def host_of(url):

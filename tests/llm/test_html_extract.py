@@ -79,3 +79,29 @@ def test_ten_thousand_levels(spark):
     assert h.flat(h.unflat(h.flat(w))) == h.flat(w) and h.expression(w).count("<div>") == 10_000
     rows = [(1, "https://a.example/1", deep), (2, "https://a.example/2", other), (3, "https://b.example/", "<p>plain")]
     assert {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "word", 2: "text\nend", 3: "plain"}
+
+
+def test_constants_of_a_host_go():
+    long = "Our shop has " + " ".join(["fine"] * 30)
+
+    def made(i):
+        menu = "<div class='c1'><ul><li>Home<li>Shop</ul></div>"
+        notice = f"<div class='c2'><p>{long} .</p></div>"
+        table = f"<table><tr><th>Weight<td>{i} kg</table>"
+        return f"<body>{menu if i % 2 else ''}<div class='c3'><p>Text {i} <b>by</b> us.</p><h2>Data</h2>{table}<p>{long} {i}.</p><h2>More</h2></div>{notice}</body>"
+
+    w = None
+    for i in range(8):
+        own = h.wrapper_of(h.parse(made(i)))
+        w = h.align(w, h.unflat(h.flat(own))) if w else own
+    plan = h.decide(w)
+    for i in range(8):
+        assert h.text_of(made(i), plan) == f"Text {i} by us.\nData\nWeight\n{i} kg\n{long} {i}."
+
+
+def test_copies_of_a_page_show_no_constants():
+    page = "<body><div><p>One text.</p><p>More of it.</p></div></body>"
+    w = h.wrapper_of(h.parse(page))
+    for x in [page, page, page.replace("One", "Other")]:
+        w = h.align(w, h.wrapper_of(h.parse(x)))
+    assert h.text_of(page, h.decide(w)) == "One text.\nMore of it."
