@@ -1,16 +1,17 @@
 """Personal data: patterns, and terms that give a protected entity away, in DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Their values are the
-protected entities. Terms (words) that stand near an entity in several documents are tested by what
+protected entities. Terms (words) that stand in several documents of an entity are tested by what
 they tell: with P(e | t), the share of the term's documents that mention the entity, the pointwise
 mutual information log2(P(e | t) / P(e)) against the information log2(1 / P(e)) of the entity itself is
 the part of the entity that the term discloses. A term at or over the threshold is removed wherever it
-stands near that entity; the entities are generalised to their kind.
+stands in that entity's documents, other than inside base spans; the entities are generalised to their
+kind.
 
-Plan. One pass over the texts finds base spans and the words around them; its narrow result is cut.
-Entities and (entity, term) pairs are counted by documents with partial aggregation; only pairs with
-enough support survive, and one more pass over the texts counts in how many documents each surviving
-term occurs. Contexts have a fixed width, so pairs grow with mentions, not with the square of anything.
+Plan. One pass over the texts finds base spans; texts that have some are written with them. One more
+counts in how many documents each term occurs, by partial aggregation; terms too common to disclose any
+entity are ruled out exactly by that count. Only documents of entities with enough support give their
+remaining words, which meet the document's entities and are counted with partial aggregation.
 
 Patterns are written for one linear scan: a run is tried once from its start (or from the end of the
 match before it), where trying every place in it would take the square of its length.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.bind import let
 from seqloom.functions.patterns import regex_hits
-from seqloom.llm.common import cut, fresh, table
+from seqloom.llm.common import cut, fresh, table, written
 
 # Fixed patterns of the base kinds.
 PATTERNS = {
@@ -38,9 +39,7 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 KINDS = list(PATTERNS)
-#: Code points looked at on either side of an entity.
-CONTEXT = 60
-#: Documents that must hold an entity near a term.
+#: Documents that must hold an entity and a term.
 SUPPORT = 3
 #: Share of an entity's information at which a term discloses it.
 DISCLOSURE = 0.9
@@ -95,27 +94,39 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), plain)
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: the whole words within CONTEXT of each span, other than
-    those that touch a span."""
+def terms_of(text: Column) -> Column:
+    """array<string>: the different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)), normal))
 
-    def around(s: Column, n: Column, spans: Column) -> Column:
-        a = F.greatest(s["start"] - CONTEXT, F.lit(0))
 
-        def of_piece(p: Column) -> Column:
-            words = regex_hits(p["text"], TERM)
-            whole = F.filter(
-                words,
-                lambda w: ((w["start"] > 0) | (p["at"] == 0))
-                & ((w["end"] < p["size"]) | (p["at"] + w["end"] == n))
-                & ~F.exists(spans, lambda o: (o["start"] < p["at"] + w["end"]) & (p["at"] + w["start"] < o["end"])),
-            )
-            return F.transform(whole, lambda w: F.struct(entity(s["kind"], s["value"]).alias("entity"), normal(w["value"]).alias("term"), (p["at"] + w["start"]).alias("start"), (p["at"] + w["end"]).alias("end")))
+def places(text: Column, said: Column) -> Column:
+    """array<struct<start, end>>: the words whose term is in said. Only these are gathered, so the work is
+    linear in the text."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def of(between: Column) -> Column:
+        def step(a: Column, m: Column, b: Column) -> Column:
+            e = b + F.length(m)
+            out = F.when(F.array_contains(said, normal(m)), F.concat(a["out"], F.array(F.struct(b.alias("start"), e.alias("end"))))).otherwise(a["out"])
+            return F.struct(e.alias("at"), (a["i"] + 1).alias("i"), out.alias("out"))
+
+        return F.aggregate(
+            F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)),
+            F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("out")),
+            lambda a, m: let(a["at"] + F.length(F.get(between, a["i"])), lambda b: step(a, m, b)),
+        )["out"]
+
+    return let(F.split(text, TERM, -1), of)
 
-        piece = let(F.substr(text, a + 1, s["end"] - a + CONTEXT), lambda t: F.struct(a.alias("at"), t.alias("text"), F.length(t).alias("size")))
-        return F.filter(let(piece, of_piece), lambda t: F.length(t["term"]) >= 2)
 
-    return let(F.length(text), lambda n: let(spans, lambda all_spans: F.flatten(F.transform(all_spans, lambda s: around(s, n, all_spans)))))
+def _with_rows(words: DataFrame, rows_of: DataFrame, n_docs: int) -> DataFrame:
+    """words with n_t of their term, without terms that rows_of lacks. Terms in over a thousandth of the
+    documents, at most a thousand times the words of a document, are looked up by broadcast, so that no
+    task gets all rows of one."""
+    limit = max(1, n_docs // 1000)
+    looked = words.join(F.broadcast(rows_of.filter(F.col("n_t") > limit)), "term", "left")
+    rest = looked.filter("n_t is null").drop("n_t").join(rows_of.filter(F.col("n_t") <= limit).hint("merge"), "term")
+    return looked.filter("n_t is not null").unionByName(rest)
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -124,26 +135,33 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     t = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), t).alias("key"), t.alias("text"))
     spans = base.select("doc_id", "key", "text", base_spans(F.col("text")).alias("spans"))
-    empty = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    told = cut(spans.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, near_terms(F.col("text"), F.col("spans"))).otherwise(empty).alias("near")))
-    mentions = told.select("key", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["kind"], s["value"])))).alias("entity")).distinct()
-    of_entity = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    near = told.select("doc_id", "key", F.explode("near").alias("x")).select("doc_id", "key", "x.*")
-    pairs = near.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
-    pairs = cut(pairs.join(of_entity.hint("merge"), "entity"))
-    terms = pairs.select("term").distinct()
-    # in how many documents each of these terms stands: the words of all texts, counted task by task
-    # before the shuffle
-    words = base.select("key", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(f"({TERM})"), F.lit(1)), normal))).alias("term"))
-    rows_of = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    told = written(spans.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
     n_docs = told.count()
-    judged = pairs.join(rows_of.join(terms.hint("merge"), "term", "left_semi").hint("merge"), "term")
-    information = F.log2(F.lit(float(max(n_docs, 1))) / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * F.lit(float(max(n_docs, 1))) / (F.col("n_e") * F.greatest(F.col("n_t"), F.col("n_te"))))
-    risky = cut(judged.filter((information > 0) & (mutual >= threshold * information)).select("entity", "term"))
-    hits = near.join(risky.hint("merge"), ["entity", "term"]).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    named = told.select("key", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["kind"], s["value"])))).alias("entity")).distinct()
+    named = cut(named)
+    of_entity = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
+    mentions = cut(named.join(of_entity.hint("merge"), "entity"))
+    # A pair's information is at most log2(N / n_t), as n_te is at most n_e, so no term over this n_t
+    # can disclose the entity.
+    n = F.lit(float(max(n_docs, 1)))
+    most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(1 - threshold)) + 1e-6 * n
+    top = mentions.agg(F.max(most).alias("m")).first()["m"] or 0.0
+    # in how many documents each term stands: the words of all texts, counted task by task before the
+    # shuffle
+    words = base.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    rows_of = cut(words.filter(F.length("term") >= 2).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t").between(support, top)))
+    held = told.filter(F.col("text").isNotNull()).join(mentions.select("key").distinct().hint("merge"), "key", "left_semi")
+    held = held.dropDuplicates(["key"]).select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    pairs = _with_rows(held, rows_of, n_docs).join(mentions.hint("merge"), "key").filter(F.col("n_t") <= most)
+    pairs = written(pairs)
+    judged = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
+    information = F.log2(n / F.col("n_e"))
+    mutual = F.log2(F.col("n_te") * n / (F.col("n_e") * F.greatest(F.col("n_t"), F.col("n_te"))))
+    risky = judged.filter((information > 0) & (mutual >= threshold * information)).select("entity", "term")
+    marked = pairs.join(risky.hint("merge"), ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("said"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return told.select("doc_id", "key", "spans").join(hits.hint("merge"), "key", "left").withColumn("terms", F.coalesce("terms", none))
+    free = F.filter(places(F.col("text"), F.col("said")), lambda w: ~F.exists("spans", lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
+    return told.join(marked.hint("merge"), "key", "left").select("doc_id", "key", "spans", F.when(F.col("said").isNotNull(), free).otherwise(none).alias("terms"))
 
 
 def span_list(spans: Column) -> Column:

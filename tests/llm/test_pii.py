@@ -87,3 +87,15 @@ def test_sanitise(spark, docs, corpus):
 
 def test_empty(docs):
     assert pii.find(docs([])).count() == 0
+
+
+def test_terms_far_from_the_entity(spark, docs, prose):
+    far = "x" * 2 + " " + "of the and " * 30
+    told = [(i, f"Quentinovich wrote {far} mail to jo@mail.org" + (" Quentinovich" if i % 3 == 0 else f" {far} Quentinovich.")) for i in range(10)]
+    rows = told + [(100 + i, f"of the and mail to wrote xx {prose(i, 40)}") for i in range(60)]
+    found = {r["doc_id"]: r for r in pii.find(docs(rows)).collect()}
+    text = dict(rows)
+    for i in range(10):
+        places = [m.start() for m in re.finditer("Quentinovich", text[i])]
+        assert [s["start"] for s in found[i]["terms"]] == places and len(places) == 2
+    assert all(not found[100 + i]["terms"] for i in range(60))
