@@ -1,7 +1,7 @@
 """SQL that says what those queries return that SQL can express."""
 
 from seqloom.llm.chat_format import TURN_OVERHEAD
-from seqloom.llm.mixing import CELL_ROWS, DRAWS
+from seqloom.llm.mixing import CELL_ROWS
 
 
 def _fraction(*parts: str) -> str:
@@ -12,7 +12,7 @@ def _fraction(*parts: str) -> str:
 
 WORDS = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 
-MIXING = f"""WITH d AS (SELECT doc_id, source, {WORDS} AS size FROM documents),
+MIXING = f"""WITH d AS (SELECT doc_id, source, {WORDS} AS size, CASE WHEN doc_id IS NULL THEN md5(coalesce(text, '')) END AS tie FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT source, source_size, 2.0 * source_size AS cap, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS weight FROM s),
 o AS (SELECT *, 1.5 * sum(source_size) OVER () AS total, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM w),
@@ -20,15 +20,10 @@ v AS (SELECT a.*, CAST(a.total - (SELECT coalesce(sum(b.cap), 0) FROM o b WHERE
 l AS (SELECT level FROM v WHERE level * weight <= cap ORDER BY place LIMIT 1),
 t AS (SELECT source, source_size, CAST(CASE WHEN (SELECT level FROM l) IS NULL THEN cap ELSE least(cap, (SELECT level FROM l) * weight) END AS DOUBLE) AS target FROM w),
 b AS (SELECT *, length(bin(size)) * 16 + (size >> CAST(greatest(length(bin(size)) - 4, 0) AS INTEGER)) AS bucket,
- floor({_fraction("1", "doc_id", "size")} * greatest(8, CAST(ceil(count(*) OVER () / {CELL_ROWS}.0) AS BIGINT))) AS salt FROM d),
-r AS (SELECT b.doc_id, b.size, t.source, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each,
- CAST(row_number() OVER (PARTITION BY b.source ORDER BY bucket, salt, b.doc_id NULLS FIRST, b.size) AS DOUBLE) AS n FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source),
-k AS (SELECT source, target, k, {_fraction("1", "k", "source")} AS start FROM t, (SELECT unnest(range(0, {DRAWS})) AS k)),
-c AS (SELECT k.source, k.k, k.start, abs(sum(CASE WHEN size > 0 THEN CAST(floor(n * each + start) - floor((n - 1) * each + start) AS BIGINT) * size ELSE 0 END) - any_value(k.target)) AS far
- FROM r JOIN k ON r.source IS NOT DISTINCT FROM k.source GROUP BY k.source, k.k, k.start),
-p AS (SELECT source, start FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY far, k) = 1)
-SELECT r.doc_id, r.size, r.source_size, r.target, CASE WHEN size > 0 THEN CAST(floor(n * each + start) - floor((n - 1) * each + start) AS BIGINT) * size ELSE 0 END AS taken
-FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source"""
+ floor({_fraction("1", "coalesce(CAST(doc_id AS VARCHAR), tie)", "size")} * greatest(8, CAST(ceil(count(*) OVER () / {CELL_ROWS}.0) AS BIGINT))) AS salt FROM d),
+r AS (SELECT b.doc_id, b.size, t.source_size, t.target, {_fraction("1", "t.source")} AS start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each,
+ CAST(row_number() OVER (PARTITION BY b.source ORDER BY bucket, salt, b.doc_id NULLS FIRST, b.tie NULLS FIRST, b.size) AS DOUBLE) AS n FROM b JOIN t ON b.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN CAST(floor(n * each + start) - floor((n - 1) * each + start) AS BIGINT) * size ELSE 0 END AS taken FROM r"""
 
 #: Characters of a turn in the template: its marks, role, line end and escaped text.
 _CHARS = r"12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11"

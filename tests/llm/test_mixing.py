@@ -30,7 +30,7 @@ def rows_of(seed=1):
 
 def test_targets_and_words_taken(spark, docs):
     rows = rows_of() + [(None, None, None, "a", None), (5, "x y", None, "b", None), (5, "x y", None, "b", None)]
-    base = mixing.cut(docs(rows).select("doc_id", "source", mixing.n_words(mixing.F.col("text")).alias("size")))
+    base = mixing.cut(docs(rows).select("doc_id", "source", mixing.n_words(mixing.F.col("text")).alias("size"), mixing.tie().alias("tie")))
     got = mixing.copies(base).collect()
     assert len(got) == len(rows)
     sizes, taken = {}, {}
@@ -45,7 +45,7 @@ def test_targets_and_words_taken(spark, docs):
 
 
 def test_reruns_agree(spark, docs):
-    base = lambda: mixing.cut(docs(rows_of()).repartition(7).select("doc_id", "source", mixing.n_words(mixing.F.col("text")).alias("size")))
+    base = lambda: mixing.cut(docs(rows_of()).repartition(7).select("doc_id", "source", mixing.n_words(mixing.F.col("text")).alias("size"), mixing.tie().alias("tie")))
     key = lambda b: sorted((r["doc_id"], r["copies"]) for r in mixing.copies(b).collect())
     assert key(base()) == key(base())
 
@@ -60,5 +60,5 @@ def test_mix_emits_copies(spark, docs):
 
 def test_empty_and_zero(spark, docs):
     assert mixing.mix(docs([])).count() == 0
-    base = mixing.cut(docs([(1, None), (2, "")]).select("doc_id", "source", mixing.n_words(mixing.F.col("text")).alias("size")))
+    base = mixing.cut(docs([(1, None), (2, "")]).select("doc_id", "source", mixing.n_words(mixing.F.col("text")).alias("size"), mixing.tie().alias("tie")))
     assert all(r["copies"] == 0 and r["target"] == 0 for r in mixing.copies(base).collect())
