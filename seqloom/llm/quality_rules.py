@@ -4,10 +4,14 @@ Rules vote good (1), bad (-1) or abstain (0) on every document; expectation-maxi
 counts of vote patterns estimates each rule's confusion with the hidden quality; the posterior
 probability of good quality decides, so no single rule can reject a document by itself.
 
-Plan: one narrow pass counts vote patterns (at most 3 ** len(RULES) rows reach the driver, whatever
-the input), EM runs on those counts, a second narrow pass looks the posterior up. Nothing but the
+Plan: one pass takes the features of every text and writes them with what the caller keeps; vote
+patterns are counted (at most 3 ** len(RULES) rows reach the driver, whatever the input), EM runs on
+those counts, and the posteriors, a table of as many rows, are joined by broadcast. Nothing but the
 pattern counts is shuffled.
 
+A rule votes only where it can tell. Function words are known for four languages, so many of them speak
+for a text and none of them says nothing.
+
 Defined results. Null or empty text: no words, base_failed, not kept. Null ids: kept as null. Extra
 columns pass through `judge`; its own result is one struct column whose name the caller gives.
 Repeated rows: each judged alike. Empty table: empty result.
@@ -15,6 +19,8 @@ Repeated rows: each judged alike. Empty table: empty result.
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +28,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import fresh, table, written
+
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 STOP_WORDS = frozenset(
@@ -30,9 +38,13 @@ STOP_WORDS = frozenset(
     "le la les de des et en un une du est que qui dans pour "
     "el los las y que por con para del una se".split()
 )
-RULES = ("length", "repeats", "symbols", "lines", "word_size", "stop_words", "capitals", "letters", "marks")
+#: Words of marks alone.
+BARE = re.compile(rb"(?<![^\x20\x09-\x0D])[!-/:-@\[-`{-~]+(?![^\x20\x09-\x0D])")
+RULES = ("length", "repeats", "symbols", "lines", "word_size", "stop_words", "capitals", "letters", "bare_marks")
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string"
 MIN_WORDS = 50
+#: Documents of either class that the start values of EM stand for.
+PRIOR = 10
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -70,8 +82,8 @@ def features(text: str | None) -> tuple:
     repeats = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeats > 50 * n
     n_upper, n_letters = _letters(text)
-    stops = len({w.lower() for w in set(words)} & _STOP_BYTES) if n else 0
-    marked = sum(map(text.count, "!|"))
+    stops = len({w.lower() for w in set(words)} & _STOP_BYTES)
+    bare = len(BARE.findall(raw))
     votes = "".join(
         (
             _vote(n >= 2 * MIN_WORDS, n < MIN_WORDS),
@@ -79,10 +91,10 @@ def features(text: str | None) -> tuple:
             _vote(symbols <= 0.05 * n, symbols > 0.3 * n) if n else "0",
             _vote(dup_lines <= 0.1 * len(lines), dup_lines > 0.3 * len(lines)) if len(lines) > 1 else "0",
             _vote(2.5 * n <= chars <= 9 * n, chars < 1.5 * n or chars > 14 * n) if n else "0",
-            _vote(stops >= 5, stops < 2) if n >= MIN_WORDS else "0",
+            _vote(stops >= 5, False),
             _vote(n_upper <= 0.15 * n_letters, n_upper > 0.4 * n_letters) if n_letters else "0",
             _vote(n_letters >= 0.9 * chars, n_letters < 0.75 * chars) if chars else "0",
-            _vote(marked <= 0.03 * n, marked > 0.25 * n) if n else "0",
+            _vote(bare <= 0.03 * n, bare > 0.25 * n) if n else "0",
         )
     )
     return n, chars, symbols, dup_lines, repeats, failed, votes
@@ -92,10 +104,9 @@ _STOP_BYTES = frozenset(w.encode() for w in STOP_WORDS)
 
 
 def _letters(text: str) -> tuple[int, int]:
-    """Capital letters, and letters."""
+    """Capital letters, and letters, of all code points."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     upper, letter = _case_tables()
-    codes = np.minimum(codes, len(upper) - 1)
     return int(upper[codes].sum()), int(letter[codes].sum())
 
 
@@ -104,30 +115,19 @@ _TABLES: list[np.ndarray] = []
 
 def _case_tables() -> list[np.ndarray]:
     if not _TABLES:
-        chars = [chr(i) for i in range(0x30000)]
-        _TABLES.extend([np.fromiter((c.isupper() for c in chars), bool, len(chars)), np.fromiter((c.isalpha() for c in chars), bool, len(chars))])
+        n = sys.maxunicode + 1
+        _TABLES.extend([np.fromiter((chr(i).isupper() for i in range(n)), bool, n), np.fromiter((chr(i).isalpha() for i in range(n)), bool, n)])
     return _TABLES
 
 
-VERDICT = f"{FEATURES}, posterior double, kept boolean"
-
+def feature_column(text: Column) -> Column:
+    """FEATURES of a text."""
+    names = [x.split()[0] for x in FEATURES.split(", ")]
 
-def feature_column(text: Column, posterior: dict[str, float] | None = None, threshold: float = 0.5) -> Column:
-    """FEATURES of a text; with the posteriors of all vote patterns, VERDICT."""
-    kind = FEATURES if posterior is None else VERDICT
-    names = [x.split()[0] for x in kind.split(", ")]
-
-    def told(text: str | None) -> tuple:
-        f = features(text)
-        if posterior is None:
-            return f
-        p = posterior.get(f[-1], 0.0)
-        return *f, p, not f[-2] and p >= threshold
-
-    @F.pandas_udf(kind)
+    @F.pandas_udf(FEATURES)
     def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([told(t) for t in texts], columns=names)
+            yield pd.DataFrame([features(t) for t in texts], columns=names)
 
     return measure(text)
 
@@ -138,7 +138,7 @@ def fit(counts: dict[str, int], rounds: int = 100, tolerance: float = 1e-9) -> d
     Each rule has an accuracy for either hidden quality: how often, where it votes at all, it says bad
     (Dawid and Skene). Abstaining says nothing. The accuracies start where clean documents hardly ever
     get a bad vote while bad ones pass most rules, which also settles which of the two hidden classes is
-    called good; a small prior count keeps rules that never voted finite.
+    called good; a prior of ten documents a class, which fades as the corpus grows, keeps rules that never voted finite.
     """
     if not counts:
         return {}
@@ -148,7 +148,7 @@ def fit(counts: dict[str, int], rounds: int = 100, tolerance: float = 1e-9) -> d
     like = np.array([[0.45, 0.55], [0.04, 0.96]])  # class, vote
     score = np.einsum("prv,cv->pc", onehot, np.log(like)) + np.log([0.2, 0.8])
     good = 1 / (1 + np.exp(np.clip(score[:, 0] - score[:, 1], -700, 700)))
-    prior_counts = like[:, None, :] * (0.02 * weight.sum() + 1e-3)
+    prior_counts = like[:, None, :] * PRIOR
     for _ in range(rounds):
         q = np.stack([1 - good, good]) * weight  # class, pattern
         theta = np.einsum("cp,prv->crv", q, onehot) + prior_counts
@@ -163,16 +163,19 @@ def fit(counts: dict[str, int], rounds: int = 100, tolerance: float = 1e-9) -> d
     return dict(zip(patterns, good.round(9).tolist(), strict=True))
 
 
-def judge(docs: DataFrame, result: str, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with one more struct column: the base features, votes, posterior and kept."""
-    counted = docs.select(feature_column(F.col(text)).alias("f")).groupBy("f.votes").count()
-    posterior = fit({r["votes"]: r["count"] for r in counted.collect()})  # at most 3 ** len(RULES) rows
-    return docs.withColumn(result, feature_column(F.col(text), posterior, threshold))
+def judge(docs: DataFrame, result: str, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs, all if not given, with a struct column `result` (in place of one of that
+    name): the base features, votes, posterior and kept."""
+    kept_columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != result.lower()]
+    scored = written(docs.select(*kept_columns, feature_column(F.col(text)).alias(result)))
+    votes, said, p = F.col(result)["votes"], fresh(scored, "_votes"), fresh(scored, "_posterior")
+    posterior = fit({r["v"]: r["count"] for r in scored.groupBy(votes.alias("v")).count().collect()})  # at most 3 ** len(RULES) rows
+    known = docs.sparkSession.createDataFrame(list(posterior.items()), f"{said} string, {p} double")
+    told = scored.join(F.broadcast(known), votes == F.col(said), "left")
+    kept = ~F.col(result)["base_failed"] & (F.col(p) >= threshold)
+    return told.withColumn(result, F.col(result).withField("posterior", F.col(p)).withField("kept", F.coalesce(kept, F.lit(False)))).drop(said, p)
 
 
 def op1(spark, sf_dir):
-    from seqloom.llm.common import table
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    r = judge(docs, "r")
+    r = judge(table(spark, sf_dir, "documents").select("doc_id", "text"), "r", keep=["doc_id"])
     return r.select("doc_id", *[F.col("r")[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes", "posterior")])

@@ -50,5 +50,57 @@ def test_judge_keeps_clean_and_rejects_junk(spark, docs, prose):
     assert len(rows) == 56
 
 
+def test_other_languages_are_no_junk():
+    russian = "Вечером над рекой стоял густой туман и старый мост был почти не виден из окна нашего дома у самой воды. " * 4
+    assert q.features(russian)[-1][5] == "0" and "-" not in q.features(russian)[-1][4:]
+
+
+def test_letters_of_all_planes():
+    assert q._letters("aB\U00030010\U00020000 1") == (1, 4)
+
+
+def test_prior_fades():
+    """A rule that is wrong on half of many good documents loses its say, whatever the start values."""
+    n = len(q.RULES)
+    p = q.fit({"+" * n: 500_000, "-" + "+" * (n - 1): 500_000, "-" * n: 50_000})
+    assert p["-" + "+" * (n - 1)] > 0.99 > 0.5 > p["-" * n]
+
+
+def brute_em(votes, rounds=100):
+    """EM document by document, in plain Python."""
+    import math
+
+    def posterior(v, theta, prior):
+        logs = [math.log(prior[c]) + sum(math.log(theta[c][r][x == "+"]) for r, x in enumerate(v) if x != "0") for c in (0, 1)]
+        return 1 / (1 + math.exp(max(-700, min(700, logs[0] - logs[1]))))
+
+    n = len(votes[0])
+    start = [[(0.45, 0.55)] * n, [(0.04, 0.96)] * n]
+    good = [posterior(v, start, (0.2, 0.8)) for v in votes]
+    for _ in range(rounds):
+        theta = []
+        for c in (0, 1):
+            q_c = [g if c else 1 - g for g in good]
+            said = [[q.PRIOR * start[c][r][x] + sum(w for w, v in zip(q_c, votes, strict=True) if v[r] == "-+"[x]) for x in (0, 1)] for r in range(n)]
+            theta.append([(a / (a + b), b / (a + b)) for a, b in said])
+        share = [(sum(1 - g for g in good) + 0.2) / (len(votes) + 1), (sum(good) + 0.8) / (len(votes) + 1)]
+        good = [posterior(v, theta, share) for v in votes]
+    return good
+
+
+def test_op1_against_brute_force(spark, docs, prose, tmp_path):
+    from seqloom.llm.queries import QUERIES
+
+    rows = [(i, prose(i, 40 + 9 * i)) for i in range(30)] + [(50 + i, " ".join(w.upper() + "!!" for w in prose(i, 90).split())) for i in range(5)]
+    rows += [(60 + i, " ".join(w + " |" for w in prose(i, 90).split())) for i in range(5)] + [(70, None), (71, ""), (None, prose(3, 80)), (5, rows[5][1]), (72, "слово " * 30_000)]
+    docs(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op1_quality_rules"](spark, str(tmp_path))
+    assert got.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    assert [t for _, t in got.dtypes[1:8]] == ["bigint"] * 5 + ["boolean"] * 2
+    votes = [q.features(t)[-1] for _, t in rows]
+    want = [(i, *slow(t), not slow(t)[-1] and g >= 0.5) for (i, t), g in zip(rows, brute_em(votes), strict=True)]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)[:8]) for r in got.collect())
+
+
 def test_empty_table(docs):
     assert q.judge(docs([]), "r").count() == 0
