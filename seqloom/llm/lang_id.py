@@ -18,6 +18,7 @@ all: `und`. Ties: the smaller language name. Extra columns are ignored; repeated
 
 from __future__ import annotations
 
+import sys
 import threading
 from collections.abc import Iterator
 
@@ -26,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.llm.common import fresh, table
+
 DIMENSIONS = 1024
 #: 3-gram vectors that a Python worker keeps, as 8-bit numbers: 16 MB.
 CACHE = 16_384
@@ -39,8 +42,8 @@ class Profiles:
         self.letters: dict[int, np.ndarray] = {}
         self.rows: dict[int, int] = {}
         self.table = np.empty((CACHE, dimensions), np.int8)
-        chars = [chr(i).lower() if not 0xD800 <= i < 0xE000 else "" for i in range(0x30000)]
-        self.fold = np.fromiter((ord(c[0]) if c and c[0].isalpha() else 0 for c in chars), np.int64, len(chars))
+        n = sys.maxunicode + 1
+        self.fold = np.fromiter((ord(c[0]) if c[0].isalpha() else 0 for c in map(str.lower, map(chr, range(n)))), np.int32, n)
 
     def letter(self, code: int) -> np.ndarray:
         if code not in self.letters:
@@ -72,7 +75,7 @@ class Profiles:
     def grams(self, text: str) -> np.ndarray:
         """The 3-grams of a text's letters, one per place; words are set apart by one space (0)."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        letters = self.fold[np.minimum(codes, len(self.fold) - 1)]
+        letters = self.fold[codes].astype(np.int64)
         if not letters.any():
             return np.empty(0, np.int64)
         s = np.concatenate([[0], letters, [0]])
@@ -143,12 +146,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str],
                 out.append((names[best], float(min(1.0, max(0.0, cos[best])))))
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text))).select(*keep, "_guess.lang_pred", "_guess.score")
+    name = fresh(docs, "_guess")
+    return docs.withColumn(name, guess(F.col(text))).select(*keep, f"{name}.lang_pred", f"{name}.score")
 
 
 def op8(spark, sf_dir):
-    from seqloom.llm.common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     docs = docs.withColumn("held_out", held_out)
