@@ -28,6 +28,14 @@ from seqloom.functions.bind import let
 START, END = "<|im_start|>", "<|im_end|>\n"
 #: Tokens that the template adds to a turn.
 TURN_OVERHEAD = 4
+#: Bytes that a token of a text without spaces holds at most.
+TOKEN_BYTES = 3
+
+
+def token_count(text: Column) -> Column:
+    """Tokens of a text, rather too many than too few: one for each word, and at least one for each three
+    bytes, so that texts without spaces count too."""
+    return F.greatest(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.ceil(F.octet_length(text) / F.lit(TOKEN_BYTES))).cast("long")
 
 
 def escape(text: Column) -> Column:
@@ -43,29 +51,34 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 2, conv: str =
     int (turns repeated at its head), n_turns int, n_tokens long, and loss array<struct<start, length>>
     in code points of `formatted`, one entry for each assistant text that is a target in this window.
 
-    A token is a word here; the spans depend on prefix sums of these counts only. The budget holds the
+    Tokens are those of token_count; the spans depend on prefix sums of these counts only. The budget holds the
     system turn, history and new turns: new turns that begin in the same half of what the system turn
     leaves (a quarter of the budget at least) are a span, so with the turn that crosses its end and the
     history, which takes what is left, only a single large turn can go over.
     """
-    words = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
     rows = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("t", F.struct("role", "text", (words + TURN_OVERHEAD).cast("long").alias("tokens"))).drop("role", "text")
+    rows = rows.withColumn("t", F.struct("role", "text", (token_count(F.col("text")) + TURN_OVERHEAD).alias("tokens"))).drop("role", "text")
     order = W.partitionBy("conv_id").orderBy("turn", "t.role", "t.text")
     place = F.row_number().over(order)
-    rows = rows.select("conv_id", "turn", "t", place.alias("place"), F.first("t").over(order).alias("lead"))
+    first = F.first(F.struct(F.col("t.role").alias("role"), F.col("t.tokens").alias("tokens"))).over(order)
+    rows = rows.select("conv_id", "turn", "t", place.alias("place"), first.alias("lead"))
     has_system = F.col("lead")["role"] == "system"
     rows = rows.withColumn("is_system", has_system & (F.col("place") == 1)).withColumn("room", F.greatest(F.lit(budget) - F.when(has_system, F.col("lead")["tokens"]).otherwise(0), F.lit(max(1, budget // 4))).cast("long"))
     counted = F.when(F.col("is_system"), 0).otherwise(F.col("t")["tokens"])
     before = F.coalesce(F.sum(counted).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     span = F.floor(before / F.greatest(F.floor(F.col("room") / 2), F.lit(1)))
+    rows = rows.withColumn("window", F.when(F.col("is_system"), 0).otherwise(span))
+    # texts of the system turn and of history go along with the first turn of a window only
+    begins = F.coalesce(F.col("window") != F.lag("window").over(order), F.lit(True))
+    rows = rows.withColumn("begins", begins)
+    none = F.array().cast("array<struct<role:string,text:string,tokens:bigint>>")
     earlier = [F.when(~F.lag("is_system", k).over(order), F.lag("t", k).over(order)) for k in range(1, history + 1)]
-    rows = rows.select("*", F.when(F.col("is_system"), 0).otherwise(span).alias("window"), F.array(*earlier).alias("earlier") if history else F.array().cast("array<struct<role:string,text:string,tokens:bigint>>").alias("earlier"))
+    rows = rows.select("conv_id", "window", "place", "room", "t", F.when(F.col("begins"), F.first("t").over(order)).alias("lead"), F.when(F.col("begins"), F.array(*earlier) if history else none).alias("earlier"))
     per = rows.groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("place", "t"))).alias("new"),  # about a budget of tokens, or one turn
         F.min_by("earlier", "place").alias("earlier"),
         F.first("room").alias("room"),
-        F.first("lead").alias("lead"),
+        F.min_by("lead", "place").alias("lead"),
         F.min("place").alias("first"),
     )
     new_tokens = F.aggregate("new", F.lit(0).cast("long"), lambda a, x: a + x["t"]["tokens"])

@@ -1,6 +1,6 @@
 """SQL that says what those queries return that SQL can express."""
 
-from seqloom.llm.chat_format import TURN_OVERHEAD
+from seqloom.llm.chat_format import TOKEN_BYTES, TURN_OVERHEAD
 from seqloom.llm.mixing import CELL_ROWS
 
 
@@ -30,7 +30,7 @@ _CHARS = r"12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\
 
 CHAT = f"""WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-t AS (SELECT *, {WORDS} + {TURN_OVERHEAD} AS tokens, {_CHARS} AS chars, row_number() OVER w AS place FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+t AS (SELECT *, greatest({WORDS}, (strlen(text) + {TOKEN_BYTES - 1}) // {TOKEN_BYTES}) + {TURN_OVERHEAD} AS tokens, {_CHARS} AS chars, row_number() OVER w AS place FROM a WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 f AS (SELECT *, first_value(role) OVER w = 'system' AS has_system, first_value(tokens) OVER w AS lead_tokens, first_value(chars) OVER w AS lead_chars FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
 g AS (SELECT *, has_system AND place = 1 AS is_system, greatest(1024 - CASE WHEN has_system THEN lead_tokens ELSE 0 END, 256) AS room FROM f),
 h AS (SELECT *, coalesce(sum(CASE WHEN is_system THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,

@@ -38,6 +38,51 @@ def test_windows_keep_system_repeat_history_and_stay_in_budget(spark, prose):
     assert sum(len(r["loss"]) for r in out) == 19
 
 
+def test_budget_holds_for_texts_without_spaces(spark):
+    rows = [(1, 0, "system", "友善")] + [(1, i, "user" if i % 2 else "assistant", "窗前明月光疑是地上霜" * 9) for i in range(1, 30)]
+    out = check(spark, rows, budget=400)
+    assert len(out) > 6 and all(r["n_tokens"] <= 400 and len(r["formatted"]) <= 3 * 400 for r in out)
+
+
+def brute_spans(turns, budget, history):
+    """[(repeated turns, new turns)] by plain loops; turns are (role, tokens) and the first may be a system turn."""
+    lead = turns[0] if turns[0][0] == "system" else None
+    room = max(budget - (lead[1] if lead else 0), budget // 4)
+    spans, before = {}, 0
+    for i, (_, n) in enumerate(turns):
+        if lead and i == 0:
+            spans[0] = [0]
+            continue
+        spans.setdefault(before // max(1, room // 2), []).append(i)
+        before += n
+    out = []
+    for w in sorted(spans):
+        new, context = spans[w], []
+        used = sum(turns[i][1] for i in new)
+        for i in range(new[0] - 1, max(-1, new[0] - 1 - history), -1):
+            if (lead and i == 0) or used + turns[i][1] > room:
+                break
+            used += turns[i][1]
+            context.insert(0, i)
+        out.append((([0] if lead and new[0] > 0 else []) + context, new))
+    return out
+
+
+def test_windows_against_brute_force(spark, prose):
+    for lead, history in ((True, 2), (False, 3), (False, 0)):
+        rows = ([(9, 0, "system", "sys")] if lead else []) + [(9, i, "user" if i % 2 else "assistant", prose(i, 5 + i * 13 % 60)) for i in range(1, 50)]
+        out = sorted(c.windows(spark.createDataFrame(rows, SCHEMA), budget=200, history=history).collect(), key=lambda r: r["window"])
+        count = [(r[2], max(len(r[3].split()), -(-len(r[3].encode()) // 3)) + c.TURN_OVERHEAD) for r in rows]
+        want = brute_spans(count, 200, history)
+        shown = lambda i: f"<|im_start|>{rows[i][2]}\n{rows[i][3]}<|im_end|>\n"
+        assert [r["formatted"] for r in out] == ["".join(map(shown, a + b)) for a, b in want]
+
+
+def test_clashing_columns(spark):
+    rows = [(1, 0, "user", "a", "x", "y", "z"), (1, 1, "assistant", "b", "x", "y", "z")]
+    assert c.windows(spark.createDataFrame(rows, SCHEMA + ", t string, lead string, window string")).count() == 1
+
+
 def test_large_turn_is_whole(spark, prose):
     rows = [(1, 0, "user", prose(1, 500)), (1, 1, "assistant", prose(2, 900))]
     check(spark, rows, budget=50)
