@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import mixing, packing, pii, quality_rules, simhash
-from seqloom.llm.common import fresh, table, written
+from seqloom.llm.common import collecting, fresh, remove, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,14 +49,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's result is written; what a stage wrote for itself, and the result before it, is deleted then."""
+    docs, stale = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with collecting() as made:
+            docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs)
+            with collecting() as own:
+                docs = written(docs)
+            remove(spark, stale + made)
+            stale = own
     return docs
 
 
-#: The posterior and the fingerprints come from iterations and a hash that SQL lacks; the pipeline is
-#: tested against a brute-force version.
+#: The posterior and the fingerprints come from iterations and a hash that SQL lacks; the test of the
+#: pipeline holds its rows against plain Python.
 ORACLE_SQL = None

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,19 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where the session
-    names none, as in tests on one machine, a temporary one is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only where all tasks run in the
+    driver's own process (a local master, as in tests) may the session name none; a cluster must."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seqloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/seqloom-{sc.applicationId}")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder; for narrow tables."""
+    """Cuts lineage by a reliable checkpoint in the shared folder; for narrow tables. It is deleted when
+    the application ends."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(True)
+    out = df.checkpoint(True)
+    if (held := out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()).isDefined():
+        _note(df.sparkSession, held.get())
+    return out
 
 
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
@@ -40,10 +48,35 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    atexit.register(_remove, spark, path)
+    _note(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """Notes what is written or checkpointed inside, so that the caller can delete it once it is read."""
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+
+
+def _note(spark: SparkSession, path: str) -> None:
+    atexit.register(_remove, spark, path)
+    for made in _OPEN:
+        made.append(path)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None or spark.sparkContext._jsc is None:
