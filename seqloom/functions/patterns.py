@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import IUPAC
 from seqloom.functions.bind import let
+from seqloom.functions.kernels import letters
 from seqloom.schema import require
 
 HITS = "array<struct<start:int,end:int,mismatches:int>>"
@@ -37,18 +39,49 @@ def iupac_regex(pattern: str) -> str:
     return "".join(out)
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """array<int>: combine over each value and all before it, for an array<int> that is bound to a name;
+    start changes nothing. Each step combines the array with itself shifted by twice as many places, so
+    the work is n log n, where growing an array by one value at a time would take n * n."""
+    shifts = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda d: d < F.size(values))
+    return F.aggregate(shifts, values, lambda a, d: F.zip_with(a, F.concat(F.array_repeat(F.lit(start), d), F.slice(a, 1, F.size(a) - d)), combine))
+
+
+def prefix_sums(values: Column) -> Column:
+    """array<int>: the running totals of an array<int> that is bound to a name."""
+    return running(values, lambda x, y: x + y)
+
+
+#: Characters of a block of a long text.
+BLOCK = 1024
+
+
+def blocks(text: str | Column) -> Column:
+    """array<string>: a text in blocks of BLOCK characters. Spark finds a place in a text by walking from
+    its start; in blocks, many places of a long text cost one walk."""
+    t = _c(text)
+    return F.when(F.length(t) <= BLOCK, F.array(t)).otherwise(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def taken(held: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end (0-based, half-open) of a text in blocks."""
+
+    def of(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / BLOCK).cast("int"), F.floor((b - 1) / BLOCK).cast("int")
+        part = lambda i: F.substr(F.get(held, i), F.greatest(a - i * BLOCK, F.lit(0)) + 1, F.least(b - i * BLOCK, F.lit(BLOCK)) - F.greatest(a - i * BLOCK, F.lit(0)))
+        return F.when(a >= b, "").when(first == last, part(first)).otherwise(F.array_join(F.transform(F.sequence(first, last), part), ""))
+
+    return let(start.cast("int"), lambda a: let(end.cast("int"), lambda b: of(a, b)))
+
+
 def positions(seq: str | Column, regex: str) -> Column:
     """array<int>: all places, overlapping ones too, where the regex matches; 0-based. Splitting at a
     lookahead gives the pieces between places; their lengths give the places."""
     s = _c(seq)
-
-    def of(pieces: Column) -> Column:
-        ends = F.aggregate(pieces, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
-        inner = F.slice(ends, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-        at_start = F.rlike(s, F.lit(f"^(?:{regex})"))
-        return F.when(at_start, F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
-
-    return let(F.split(s, f"(?={regex})", -1), of)
+    pieces = F.split(s, f"(?={regex})", -1)
+    lengths = F.transform(pieces, lambda x: F.length(x))
+    inner = let(let(lengths, lambda n: F.slice(n, 1, F.greatest(F.size(n) - 1, F.lit(0)))), prefix_sums)
+    return F.when(F.rlike(s, F.lit(f"^(?:{regex})")), F.concat(F.array(F.lit(0)), inner)).otherwise(inner)
 
 
 def find_exact(seq: str | Column, pattern: str) -> Column:
@@ -67,19 +100,13 @@ def regex_hits(text: str | Column, regex: str) -> Column:
     """array<struct<start, end, value>>: matches from left to right without overlap. The texts between
     matches and the matches themselves give the places. The regex must match at least one character."""
     s = _c(text)
-    kind = "array<struct<start:int,end:int,value:string>>"
 
-    def of(between: Column) -> Column:
-        return F.aggregate(
-            F.regexp_extract_all(s, F.lit(f"({regex})"), F.lit(1)),
-            F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(kind).alias("out")),
-            lambda a, m: let(
-                a["at"] + F.length(F.get(between, a["i"])),
-                lambda b: F.struct((b + F.length(m)).alias("at"), (a["i"] + 1).alias("i"), F.concat(a["out"], F.array(F.struct(b.alias("start"), (b + F.length(m)).alias("end"), m.alias("value")))).alias("out")),
-            ),
-        )["out"]
+    def of(matches: Column) -> Column:
+        between = F.slice(F.split(s, regex, -1), 1, F.size(matches))
+        ends = let(F.zip_with(between, matches, lambda b, m: F.length(b) + F.length(m)), prefix_sums)
+        return F.zip_with(matches, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
 
-    return let(F.split(s, regex, -1), of)
+    return let(F.regexp_extract_all(s, F.lit(f"({regex})"), F.lit(1)), of)
 
 
 def _masks(pattern: str, iupac: bool, ignore_case: bool) -> np.ndarray:
@@ -99,24 +126,23 @@ def _masks(pattern: str, iupac: bool, ignore_case: bool) -> np.ndarray:
 
 
 def hamming_hits(seq: str | Column, pattern: str, k: int = 0, iupac: bool = False, ignore_case: bool = False) -> Column:
-    """HITS: all places with at most k substitutions, overlapping ones too, by start. Vectorised over the
-    sequence, for it has no built-in equivalent that is linear in long ones."""
+    """HITS: all places with at most k substitutions, overlapping ones too, by start. One pass over all
+    letters of a batch for each letter of the pattern."""
     require(len(pattern) > 0 and k >= 0, "hamming search takes a pattern and k >= 0")
     table, m = _masks(pattern, iupac, ignore_case), len(pattern)
 
-    @F.pandas_udf(HITS)
-    def of(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            x = np.frombuffer((t or "").encode("latin-1", "replace"), np.uint8)
-            if len(x) < m:
-                out.append([])
-                continue
-            wrong = np.zeros(len(x) - m + 1, np.int32)
-            for i in range(m):
-                wrong += ~table[i][x[i : len(x) - m + 1 + i]]
-            out.append([{"start": int(p), "end": int(p) + m, "mismatches": int(wrong[p])} for p in np.flatnonzero(wrong <= k)])
-        return pd.Series(out)
+    @F.arrow_udf(HITS)
+    def of(texts: pa.Array) -> pa.Array:
+        x, starts, lengths = letters(texts)
+        wrong = np.zeros(max(0, len(x) - m + 1), np.uint16 if m < 1 << 16 else np.int32)
+        for i in range(m):
+            wrong += ~table[i][x[i : len(x) - m + 1 + i]]
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.flatnonzero(wrong <= k)
+        at = at[at + m <= (starts + lengths)[row[at]]]  # a place may not run into the next row
+        start = (at - starts[row[at]]).astype(np.int32)
+        hits = pa.StructArray.from_arrays([pa.array(start), pa.array(start + np.int32(m)), pa.array(wrong[at].astype(np.int32))], names=["start", "end", "mismatches"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[at], minlength=len(lengths)))]).astype(np.int32)), hits)
 
     return of(_c(seq))
 
@@ -153,18 +179,61 @@ def _bit_masks(pattern: str, iupac: bool, ignore_case: bool) -> dict[int, int]:
     return out
 
 
+#: Letters of a long sequence that are searched as one row.
+STRETCH = 2048
+
+
+def _any_within_edits(x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, pattern: str, k: int, masks: dict[int, int]) -> np.ndarray:
+    """For each row of letters whether it holds the pattern within k edits: the method of edit_ends over
+    all rows at once, a letter of each at a time. Long rows are cut into stretches that overlap by the
+    longest match, so that any match lies in one."""
+    m = len(pattern)
+    step = STRETCH - (m + k)
+    pieces = np.maximum(1, -(-(lengths - (m + k)) // step))
+    row = np.repeat(np.arange(len(lengths)), pieces)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = starts[row] + nth * step
+    size = np.minimum((starts + lengths)[row] - begin, STRETCH)
+    order = np.argsort(-size, kind="stable")
+    row, begin, size = row[order], begin[order], size[order]
+    eq_of = np.zeros(256, np.uint64)
+    for byte, mask in masks.items():
+        eq_of[byte] = mask
+    one, full, top = np.uint64(1), np.uint64((1 << m) - 1), np.uint64(m - 1)
+    pv, mv = np.full(len(row), full), np.zeros(len(row), np.uint64)
+    score, best = np.full(len(row), m, np.int32), np.full(len(row), m, np.int32)
+    for i in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-size, -i, side="left"))  # rows with more than i letters
+        p, q = pv[:n], mv[:n]
+        eq = eq_of[x[begin[:n] + i]]
+        xv = eq | q
+        xh = (((eq & p) + p) ^ p) | eq
+        ph, mh = q | (~(xh | p) & full), p & xh
+        score[:n] += (ph >> top & one).astype(np.int32) - (mh >> top & one).astype(np.int32)
+        np.minimum(best[:n], score[:n], out=best[:n])
+        ph, mh = ph << one & full, mh << one & full
+        pv[:n], mv[:n] = mh | (~(xv | ph) & full), ph & xv
+    out = np.zeros(len(lengths), bool)
+    out[row[best <= k]] = True
+    return out & (lengths >= m)
+
+
 def has_within_edits(seq: str | Column, patterns: list[str], k: int, iupac: bool = False, ignore_case: bool = False) -> Column:
     """Whether a substring lies within edit distance k of one of the patterns. A sequence shorter than a
     pattern does not match it."""
     compiled = [(p, _bit_masks(p, iupac, ignore_case)) for p in patterns]
 
-    @F.pandas_udf("boolean")
-    def of(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            x = (t or "").encode("latin-1", "replace")
-            out.append(any(len(p) <= len(x) and next(edit_ends(x, p, k, masks), None) is not None for p, masks in compiled))
-        return pd.Series(out)
+    @F.arrow_udf("boolean")
+    def of(texts: pa.Array) -> pa.Array:
+        x, starts, lengths = letters(texts)
+        out = np.zeros(len(lengths), bool)
+        for p, masks in compiled:
+            if len(p) < 64:
+                out |= _any_within_edits(x, starts, lengths, p, k, masks)
+            else:  # masks of Python's long integers
+                held = x.tobytes()
+                out |= np.array([len(p) <= n and next(edit_ends(held[a : a + n], p, k, masks), None) is not None for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], bool)
+        return pa.array(out)
 
     return of(_c(seq))
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.functions import bases, codons
+from seqloom.functions import bases, codons, patterns
+from seqloom.functions.bind import let
 from seqloom.functions.coords import end_position, parse_region, start_position
 from seqloom.schema import ORD, require
 
@@ -27,14 +28,17 @@ def windows(df: DataFrame, size: int, step: int = 1, greedy: bool = False, circu
     count = F.when(last >= 0, F.floor(last / step) + 1).otherwise(0).cast("long")
     keep = [c for c in df.columns if c not in ("sequence", "length", "quality")]
     base = df.select(*keep, "sequence", F.length("sequence").alias("_n")).withColumn("_count", count).filter("_count > 0")
-    stretches = base.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_count") - 1, F.lit(STRETCH).cast("long"))).alias("_first"))
-    begin = F.col("_first") * step
     width = (STRETCH - 1) * step + size
-    piece = F.substr("sequence", (begin + 1).cast("int"), F.lit(width))
-    if circular:
-        wrap = F.substr("sequence", F.lit(1), F.greatest(F.lit(0), F.least(F.lit(size), begin + width - n)).cast("int"))
-        piece = F.concat(piece, wrap)
-    cut = stretches.select(*keep, "_n", "_count", "_first", piece.alias("_piece"))
+
+    def piece(x, first):
+        begin, whole = first * step, x["n"]
+        own = patterns.taken(x["held"], begin, F.least(whole, begin + width))
+        return F.concat(own, patterns.taken(x["held"], F.lit(0), F.least(F.greatest(F.lit(0), F.least(F.lit(size), begin + width - whole)), whole))) if circular else own
+
+    firsts = F.sequence(F.lit(0).cast("long"), F.col("_count") - 1, F.lit(STRETCH).cast("long"))
+    bound = F.struct(patterns.blocks("sequence").alias("held"), firsts.alias("firsts"), n.alias("n"))
+    pieces = let(bound, lambda x: F.transform(x["firsts"], lambda first: F.struct(first.alias("first"), piece(x, first).alias("piece"))))
+    cut = base.select(*keep, "_n", "_count", F.explode(pieces).alias("_p")).select(*keep, "_n", "_count", F.col("_p.first").alias("_first"), F.col("_p.piece").alias("_piece"))
     one = cut.select(*keep, "_n", "_piece", "_first", F.explode(F.sequence(F.col("_first"), F.least(F.col("_first") + STRETCH, F.col("_count")) - 1)).alias("window_index"))
     start = F.col("window_index") * step
     end = start + size

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,16 +47,30 @@ def grep(
     return df.filter(~found if invert else found)
 
 
+HIT = "array<struct<start:int,mismatches:int,strand:string,end:int>>"
+
+
+def _greedy(hits: pa.Array) -> pa.Array:
+    """Of sorted hits those that begin where the hit kept before has ended."""
+    flat, offsets = hits.flatten(), hits.offsets.to_numpy()
+    offsets = offsets - offsets[0]
+    starts, ends = flat.field("start").to_pylist(), flat.field("end").to_pylist()
+    kept, counts = [], [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        last = -1
+        for i in range(a, b):
+            if starts[i] >= last:
+                kept.append(i)
+                last = ends[i]
+        counts.append(len(kept))
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), flat.take(pa.array(kept, pa.int64())))
+
+
 def _without_overlaps(hits: Column) -> Column:
-    """From left to right, the better of those that begin together; what overlaps a hit kept before goes."""
-    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["mismatches"].alias("mismatches"), h["strand"].alias("strand"), h["end"].alias("end"))))
-    kind = "array<struct<start:int,mismatches:int,strand:string,end:int>>"
-    kept = F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).alias("last"), F.array().cast(kind).alias("out")),
-        lambda a, h: F.when(h["start"] >= a["last"], F.struct(h["end"].alias("last"), F.concat(a["out"], F.array(h)).alias("out"))).otherwise(a),
-    )
-    return kept["out"]
+    """From left to right, the better of those that begin together; what overlaps a hit kept before goes.
+    An expression that gathers them one by one would copy its list each time."""
+    fields = ("start", "mismatches", "strand", "end")
+    return F.arrow_udf(_greedy, HIT)(F.sort_array(F.transform(hits, lambda h: F.struct(*[h[c].alias(c) for c in fields]))))
 
 
 def locate(
@@ -70,9 +85,12 @@ def locate(
     require(not (regex and allow_mismatches), "regular expressions take no mismatches")
     seq = F.col("sequence")
 
+    one_literal = not (allow_mismatches or ignore_case or search_both_strands)
+
     def hits(p: str, strand: str) -> Column:
-        if regex:
-            raw = F.transform(patterns.regex_hits(seq, ("(?i)" if ignore_case else "") + p), lambda h: F.struct(h["start"], h["end"], F.lit(0).alias("mismatches")))
+        if regex or (one_literal and not allow_overlaps):  # these do not overlap
+            said = p if regex else patterns.escape_regex(p)
+            raw = F.transform(patterns.regex_hits(seq, ("(?i)" if ignore_case else "") + said), lambda h: F.struct(h["start"], h["end"], F.lit(0).alias("mismatches")))
         elif allow_mismatches == 0 and not ignore_case:
             raw = F.transform(patterns.find_exact(seq, p), lambda s: F.struct(s.alias("start"), (s + len(p)).alias("end"), F.lit(0).alias("mismatches")))
         else:
@@ -83,26 +101,24 @@ def locate(
     if search_both_strands and not regex:
         both = F.concat(both, hits(_flip(pattern), "-"))
     long_enough = F.filter(both, lambda h: h["end"] - h["start"] >= min_length)
-    found = df.withColumn("_hits", long_enough)
-    kept = F.col("_hits") if allow_overlaps else _without_overlaps(F.col("_hits"))
-    rows = found.select("_ord", F.col("id").alias("sequence_id"), seq.alias("_s"), F.explode(kept).alias("h"))
-    start, end = F.col("h")["start"], F.col("h")["end"]
-    columns = [
-        "_ord",
-        "sequence_id",
-        start.alias("start"),
-        end.alias("end"),
-        (end - start).alias("length"),
-        F.col("h")["strand"].alias("strand"),
-        F.substr("_s", start + 1, end - start).alias("matched_sequence"),
-        F.col("h")["mismatches"].alias("mismatches"),
-        (F.lit(1.0) if regex else F.greatest(F.lit(0.0), 1 - F.col("h")["mismatches"] / float(len(pattern)))).alias("score"),
-        F.lit(pattern).alias("pattern"),
-    ]
-    if not bed:
-        upstream = F.substr("_s", F.greatest(start - 10, F.lit(0)) + 1, start - F.greatest(start - 10, F.lit(0)))
-        columns.append(F.struct(upstream.alias("upstream"), F.substr("_s", end + 1, F.lit(10)).alias("downstream")).alias("context"))
-    out = rows.select(*columns)
+    kept = long_enough if allow_overlaps or regex or one_literal else _without_overlaps(long_enough)
+
+    def shown(h: Column, held: Column, n: Column) -> Column:
+        start, end = h["start"], h["end"]
+        wrong = h["mismatches"]
+        score = F.lit(1.0) if regex else F.greatest(F.lit(0.0), 1 - wrong / float(len(pattern)))
+        columns = [start.alias("start"), end.alias("end"), (end - start).alias("length"), h["strand"].alias("strand"), patterns.taken(held, start, end).alias("matched_sequence"), wrong.alias("mismatches"), score.alias("score")]
+        if not bed:
+            around = F.struct(patterns.taken(held, F.greatest(start - 10, F.lit(0)), start).alias("upstream"), patterns.taken(held, end, F.least(end + 10, n)).alias("downstream"))
+            columns.append(around.alias("context"))
+        return F.struct(*columns)
+
+    # the texts are taken before the hits become rows, so that no row carries its whole sequence
+    bound = F.struct(patterns.blocks(seq).alias("held"), kept.alias("hits"), F.length(seq).alias("n"))
+    told = let(bound, lambda x: F.transform(x["hits"], lambda h: shown(h, x["held"], x["n"])))
+    rows = df.select("_ord", F.col("id").alias("sequence_id"), F.explode(told).alias("h"))
+    names = ["start", "end", "length", "strand", "matched_sequence", "mismatches", "score"]
+    out = rows.select("_ord", "sequence_id", *[F.col("h")[c].alias(c) for c in names], F.lit(pattern).alias("pattern"), *([] if bed else [F.col("h")["context"].alias("context")]))
     return out if max_matches is None else out.orderBy("_ord", "start", "mismatches", "strand").limit(max_matches)
 
 

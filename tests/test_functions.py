@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.functions import bases, bloom, codons, coords, hashing, patterns, quality
+from seqloom.functions import bind, bases, bloom, codons, coords, hashing, patterns, quality
 from seqloom.schema import SeqError
 
 
@@ -156,3 +156,38 @@ def test_matcher_and_validator(ev):
     assert ev(SequenceMatcher("ACR", ambiguous=True).find_all(s("ACATACC"))) == [0] and ev(SequenceMatcher("acg", ignore_case=True).test(s("ACG"))) and ev(has_pattern(s("ACC"), "ACG", 1))
     v = SequenceValidator("strict", "dna")
     assert not ev(v.validate(s("ACN"))) and ev(v.clean(s("ACX"))) == "ACN" and ev(v.with_settings(mode="normal").validate(s("ACN"))) and ev(v.with_settings("permissive").validate(s("xyz")))
+
+
+def test_batch_searches_equal_plain_ones(spark):
+    """Edit and substitution search of whole batches, with rows longer than a stretch, against plain loops."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from seqloom.functions.kernels import letters
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("ACGT") for _ in range(r.choice([0, 3, 40, 300, 5000]))) for _ in range(60)] + [None, "é" * 30, "ACGTTTGACCAé"]
+    x, starts, lengths = letters(pa.array(texts))
+    for p, k in (("ACGTTTGACCA", 2), ("ACGTACGTACGTA", 3), ("AC", 0)):
+        masks = patterns._bit_masks(p, False, False)
+        got = patterns._any_within_edits(x, starts, lengths, p, k, masks)
+        rows = [(t or "").encode("latin-1", "replace") for t in texts]
+        assert got.tolist() == [len(p) <= len(t) and next(patterns.edit_ends(t, p, k, masks), None) is not None for t in rows]
+        assert np.array_equal(patterns._any_within_edits(x, starts, lengths, p, k, masks), got)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for row in df.select("t", patterns.hamming_hits("t", "ACGTT", 1).alias("h")).collect():
+        t = row["t"] or ""
+        want = [(i, i + 5, d) for i in range(len(t) - 4) for d in [sum(a != b for a, b in zip(t[i : i + 5], "ACGTT", strict=True))] if d <= 1]
+        assert [tuple(h) for h in row["h"]] == want
+
+
+def test_blocks_and_sums(spark):
+    text = "aé𝔘" * 1500
+    df = spark.createDataFrame([(text,), ("abc",), ("",)], "t string")
+    cut = lambda a, b: F.coalesce(patterns.taken(patterns.blocks("t"), F.lit(a), F.least(F.lit(b), F.length("t"))), F.lit(""))
+    for a, b in ((0, 3), (1000, 1030), (1020, 4400), (5, 5)):
+        assert [r[0] for r in df.select(cut(a, b)).collect()] == [text[a:b], "abc"[a:b], ""]
+    got = df.select(bind.let(F.sequence(F.lit(1), F.length("t") + 1), patterns.prefix_sums).alias("s")).collect()
+    assert got[1]["s"] == [1, 3, 6, 10] and got[0]["s"][-1] == 4501 * 4502 // 2
