@@ -11,7 +11,13 @@ kind.
 Plan. One pass over the texts finds base spans; texts that have some are written with them. One more
 counts in how many documents each term occurs, by partial aggregation; terms too common to disclose any
 entity are ruled out exactly by that count. Only documents of entities with enough support give their
-remaining words, which meet the document's entities and are counted with partial aggregation.
+remaining words, which meet the document's entities and are counted with partial aggregation. Joins on
+what one entity or one term may hold most of are dealt to parts. What is done inside one text is n log n
+in its words and spans.
+
+All four counts are of different documents (doc_id and text): of all, of an entity, of a term, of both.
+Support is the least number of documents that an entity and a term must share: of fewer, every word of
+a document would disclose its address.
 
 Patterns are written for one linear scan: a run is tried once from its start (or from the end of the
 match before it), where trying every place in it would take the square of its length.
@@ -27,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.bind import let
-from seqloom.functions.patterns import regex_hits
+from seqloom.functions.patterns import blocks, prefix_sums, regex_hits, running, taken
 from seqloom.llm.common import cut, fresh, table, written
 
 # Fixed patterns of the base kinds.
@@ -99,24 +105,39 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)), normal))
 
 
-def places(text: Column, said: Column) -> Column:
-    """array<struct<start, end>>: the words whose term is in said. Only these are gathered, so the work is
-    linear in the text."""
-    none = F.array().cast("array<struct<start:int,end:int>>")
+def word_places(text: Column) -> Column:
+    """array<struct<start, end, term>> of all words."""
+
+    def of(words: Column) -> Column:
+        gaps = F.slice(F.split(text, TERM, -1), 1, F.size(words))
+        ends = let(F.zip_with(gaps, words, lambda b, m: F.length(b) + F.length(m)), prefix_sums)
+        return F.zip_with(words, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), normal(m).alias("term")))
+
+    return let(F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)), of)
+
 
-    def of(between: Column) -> Column:
-        def step(a: Column, m: Column, b: Column) -> Column:
-            e = b + F.length(m)
-            out = F.when(F.array_contains(said, normal(m)), F.concat(a["out"], F.array(F.struct(b.alias("start"), e.alias("end"))))).otherwise(a["out"])
-            return F.struct(e.alias("at"), (a["i"] + 1).alias("i"), out.alias("out"))
+def apart(words: Column, spans: Column) -> Column:
+    """The words (sorted, with start and end) that overlap no span. In order of where spans begin and
+    words end, a word is apart if no span before it ends behind its start."""
+    seen = F.transform(spans, lambda o: F.struct(o["start"].alias("at"), F.lit(1).alias("kind"), o["start"].alias("start"), o["end"].alias("end")))
+    asked = F.transform(words, lambda w: F.struct(w["end"].alias("at"), F.lit(0).alias("kind"), w["start"].alias("start"), w["end"].alias("end")))
 
-        return F.aggregate(
-            F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)),
-            F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), none.alias("out")),
-            lambda a, m: let(a["at"] + F.length(F.get(between, a["i"])), lambda b: step(a, m, b)),
-        )["out"]
+    def of(events: Column) -> Column:
+        reach = let(F.transform(events, lambda x: F.when(x["kind"] == 1, x["end"]).otherwise(0)), lambda v: running(v, lambda a, b: F.greatest(a, b)))
+        kept = F.filter(F.zip_with(events, reach, lambda x, r: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), r.alias("reach"))), lambda x: (x["kind"] == 0) & (x["reach"] <= x["start"]))
+        return F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    return let(F.split(text, TERM, -1), of)
+    return let(F.sort_array(F.concat(seen, asked)), of)
+
+
+#: Parts that the rows of one entity or one term are dealt to in joins.
+PARTS = 32
+
+
+def _dealt(rows: DataFrame, looked_up: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with a table that has one row for each key; rows of one key go to PARTS tasks."""
+    copies = looked_up.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(copies.hint("merge"), [*on, "_part"]).drop("_part")
 
 
 def _with_rows(words: DataFrame, rows_of: DataFrame, n_docs: int) -> DataFrame:
@@ -129,18 +150,38 @@ def _with_rows(words: DataFrame, rows_of: DataFrame, n_docs: int) -> DataFrame:
     return looked.filter("n_t is not null").unionByName(rest)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """What tells documents apart: 128 bits of id and text."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("\x01")), F.coalesce(text, F.lit("")))))
+
+
+#: Keys of repeated rows up to which they are looked up by broadcast, 16 bytes each.
+FEW = 100_000
+
+
+def _once(base: DataFrame, again: DataFrame) -> DataFrame:
+    """base with one row of those that have the keys `again`."""
+    n = again.count()
+    if not n:
+        return base
+    again = F.broadcast(again) if n <= FEW else again.hint("merge")
+    return base.join(again, "key", "left_anti").unionByName(base.join(again, "key", "left_semi").dropDuplicates(["key"]))
+
+
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """doc_id, key (hash of the text), base spans, and terms array<struct<start, end>>: one row for
+    """doc_id, key (hash of id and text), base spans, and terms array<struct<start, end>>: one row for
     each row of docs."""
     t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(doc_id), t).alias("key"), t.alias("text"))
+    base = docs.select(F.col(doc_id).alias("doc_id"), row_key(F.col(doc_id), t).alias("key"), t.alias("text"))
     spans = base.select("doc_id", "key", "text", base_spans(F.col("text")).alias("spans"))
     told = written(spans.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
-    n_docs = told.count()
+    rows = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    n_docs = rows.count()
+    again = cut(rows.filter("n > 1").select("key"))
     named = told.select("key", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["kind"], s["value"])))).alias("entity")).distinct()
     named = cut(named)
     of_entity = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
-    mentions = cut(named.join(of_entity.hint("merge"), "entity"))
+    mentions = cut(_dealt(named, of_entity, ["entity"]))
     # A pair's information is at most log2(N / n_t), as n_te is at most n_e, so no term over this n_t
     # can disclose the entity.
     n = F.lit(float(max(n_docs, 1)))
@@ -148,7 +189,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     top = mentions.agg(F.max(most).alias("m")).first()["m"] or 0.0
     # in how many documents each term stands: the words of all texts, counted task by task before the
     # shuffle
-    words = base.select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    words = _once(base.select("key", "text"), again).select("key", F.explode(terms_of(F.col("text"))).alias("term"))
     rows_of = cut(words.filter(F.length("term") >= 2).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t").between(support, top)))
     held = told.filter(F.col("text").isNotNull()).join(mentions.select("key").distinct().hint("merge"), "key", "left_semi")
     held = held.dropDuplicates(["key"]).select("key", F.explode(terms_of(F.col("text"))).alias("term"))
@@ -156,12 +197,15 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     pairs = written(pairs)
     judged = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_te")).filter(F.col("n_te") >= support)
     information = F.log2(n / F.col("n_e"))
-    mutual = F.log2(F.col("n_te") * n / (F.col("n_e") * F.greatest(F.col("n_t"), F.col("n_te"))))
+    mutual = F.log2(F.col("n_te") * n / (F.col("n_e") * F.col("n_t")))
     risky = judged.filter((information > 0) & (mutual >= threshold * information)).select("entity", "term")
-    marked = pairs.join(risky.hint("merge"), ["entity", "term"]).groupBy("key").agg(F.collect_set("term").alias("said"))
+    said = cut(_dealt(pairs, risky, ["entity", "term"]).select("key", "term").distinct())
+    texts = told.filter(F.col("text").isNotNull()).join(said.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    at = texts.select("key", F.explode(word_places(F.col("text"))).alias("w")).select("key", F.col("w.term").alias("term"), F.struct("w.start", "w.end").alias("w"))
+    marked = at.join(said.hint("merge"), ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list("w")).alias("words"))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    free = F.filter(places(F.col("text"), F.col("said")), lambda w: ~F.exists("spans", lambda o: (o["start"] < w["end"]) & (w["start"] < o["end"])))
-    return told.join(marked.hint("merge"), "key", "left").select("doc_id", "key", "spans", F.when(F.col("said").isNotNull(), free).otherwise(none).alias("terms"))
+    joined = told.drop("text").join(marked.hint("merge"), "key", "left")
+    return joined.select("doc_id", "key", "spans", F.when(F.col("words").isNotNull(), apart(F.col("words"), F.col("spans"))).otherwise(none).alias("terms"))
 
 
 def span_list(spans: Column) -> Column:
@@ -176,21 +220,22 @@ def with_terms(spans: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with entities replaced by their kind in brackets and disclosing terms by [term]. Where
     spans overlap, the union of them becomes the kind that begins first."""
-    key, found, step = (fresh(docs, n) for n in ("_pii_key", "_pii_spans", "_pii_step"))
+    key, found = (fresh(docs, n) for n in ("_pii_key", "_pii_spans"))
     spans = find(docs, **options).select(F.col("key").alias(key), with_terms(F.col("spans"), F.col("terms")).alias(found)).filter(F.size(found) > 0).dropDuplicates([key])
-    keyed = docs.withColumn(key, F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))).join(spans.hint("merge"), key, "left")
-    by_start = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    rebuilt = F.aggregate(
-        by_start,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), s["kind"], F.lit("]"))).otherwise(a["out"]).alias("out"),
-        ),
-    )
-    keyed = keyed.withColumn(step, F.when(F.col(found).isNotNull(), rebuilt))
-    clean = F.when(F.col(step).isNotNull(), F.concat(F.col(step)["out"], F.substr(F.col("text"), F.col(step)["at"] + 1, F.length("text")))).otherwise(F.col("text"))
-    return keyed.withColumn("text", clean).select(*docs.columns)
+    keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(spans.hint("merge"), key, "left")
+    by_start = F.sort_array(F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def rebuilt(x: Column) -> Column:
+        """What is before each span that no earlier one reaches, and the span's kind."""
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(x["reach"], i - 1))
+        piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(taken(x["text"], before(i), s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+        return F.concat(F.array_join(F.transform(x["spans"], piece), ""), taken(x["text"], F.element_at(x["reach"], -1), x["n"]))
+
+    def reached(spans: Column) -> Column:
+        reach = let(F.transform(spans, lambda s: s["end"]), lambda v: running(v, lambda a, b: F.greatest(a, b)))
+        return let(F.struct(spans.alias("spans"), reach.alias("reach"), blocks("text").alias("text"), F.length("text").alias("n")), rebuilt)
+
+    return keyed.withColumn("text", F.when(F.col(found).isNotNull(), let(by_start, reached)).otherwise(F.col("text"))).select(*docs.columns)
 
 
 def op6(spark, sf_dir):

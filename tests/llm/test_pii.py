@@ -60,20 +60,70 @@ def test_disclosing_term(spark, docs, corpus):
     assert all(not found[i]["terms"] for i in range(100, 130))
 
 
-def test_brute_force_terms(spark, docs, corpus):
-    """The same decision from plain counting."""
-    one = [(i, t.replace("jo1@", "jo0@")) for i, t in corpus]
-    n_e = sum("jo0@mail.org" in t for _, t in one)
-    n = len(one)
+def brute(rows):
+    """{(doc_id, text): places of disclosing terms}, by counting different documents one by one."""
     import math
 
-    word = "zanzibarian"
-    n_t = sum(word in t.lower().split() for _, t in one)
-    n_te = n_t
-    mutual, information = math.log2(n_te * n / (n_e * n_t)), math.log2(n / n_e)
-    assert mutual >= pii.DISCLOSURE * information
-    n_t = sum("today" in t.lower().split() for _, t in one)
-    assert math.log2(n_e * n / (n_e * n_t)) < pii.DISCLOSURE * information
+    kind_value = lambda k, v: f"{k}:" + (re.sub("[^0-9]", "", v) if k in ("card", "phone") else v.lower())
+    spans = {t: [(k, m.start(), m.end(), m[0]) for k, p in PATTERNS.items() for m in re.finditer(p, t) if ok(k, m[0])] for _, t in rows}
+    words = {t: [(m.start(), m.end(), re.sub(r"^[\W_]+|[\W_]+$", "", m[0]).lower()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t)] for _, t in rows}
+    different = {(i, t or "") for i, t in rows}
+    n = len(different)
+    of_term, of_entity = {}, {}
+    for d in different:
+        for w in {w for _, _, w in words[d[1]] if len(w) > 1}:
+            of_term.setdefault(w, set()).add(d)
+        for e in {kind_value(k, v) for k, _, _, v in spans[d[1]]}:
+            of_entity.setdefault(e, set()).add(d)
+    out = {d: set() for d in different}
+    for e, docs_e in of_entity.items():
+        if len(docs_e) < pii.SUPPORT or len(docs_e) == n:
+            continue
+        for w, docs_w in of_term.items():
+            both = docs_e & docs_w
+            if len(both) >= pii.SUPPORT and math.log2(len(both) * n / len(docs_e) / len(docs_w)) >= pii.DISCLOSURE * math.log2(n / len(docs_e)):
+                for d in both:
+                    out[d] |= {(a, b) for a, b, x in words[d[1]] if x == w and all(b <= c or f <= a for _, c, f, _ in spans[d[1]])}
+    return {d: sorted(v) for d, v in out.items()}
+
+
+def test_terms_against_brute_force(spark, docs, prose):
+    r = random.Random(6)
+    rows = []
+    for i in range(120):
+        words = prose(i, 30).split() + [f"rare{r.randrange(12)}" for _ in range(3)]
+        for _ in range(r.choice([0, 0, 1, 2])):
+            who = r.randrange(4)
+            words += r.choice([[f"p{who}@mail.org"], *[[f"p{who}@mail.org", f"(Family{who})"]] * 6, ["+49 30 123456" + str(who), f"Family{who},"]])
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [rows[3]] * 40 + [rows[5]] * 7 + [(None, rows[7][1])] * 2 + [(200, rows[7][1])]
+    want = brute(rows)
+    assert any(want.values())
+    got = pii.find(docs(rows)).collect()
+    assert len(got) == len(rows)
+    text = {}
+    for i, t in rows:
+        text.setdefault(i, t)
+    for g in got:
+        assert sorted(map(tuple, g["terms"])) == want[(g["doc_id"], text[g["doc_id"]])]
+
+
+def test_repeated_rows_hide_nothing(spark, docs, corpus):
+    one = [(i, t.replace("jo1@", "jo0@")) for i, t in corpus] + [(500, "Zanzibarian is a word")] * 12
+    found = {r["doc_id"]: len(r["terms"]) for r in pii.find(docs(one)).collect()}
+    assert all(found[i] == 1 for i in range(6))
+
+
+def test_one_text_of_many_addresses(spark, docs):
+    import time
+
+    long = " ".join(f"u{i}@mail.org word{i} 10.0.{i % 250}.1" for i in range(100_000))
+    rows = [(1, long), (2, "see u7@mail.org word7"), (3, "see u7@mail.org word7"), (4, "see u7@mail.org word7"), (5, "plain")]
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(rows)).collect()}
+    assert got[1].startswith("[email] word0 [ip] [email] word1") and got[1].count("[ip]") == 100_000 and got[5] == "plain"
+    assert time.time() - began < 60
 
 
 def test_sanitise(spark, docs, corpus):
