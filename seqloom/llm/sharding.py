@@ -2,15 +2,17 @@
 
 Documents with equal texts are linked. Documents start in shards by hash; in each round, linked
 documents look at the shards of their neighbours (counted by group and shard, so a group of any size
-is a few rows) and ask to move where most of them are; a shard admits movers, by hash bucket, up to
-its capacity quota. A group larger than a shard gathers in as many shards as it needs. Unlinked
+is a few rows) and ask to move where most of them are. How many may move from each shard to each other
+one is settled from the demands, so that no shard goes over its quota: what leaves a shard makes room
+in it, so full shards exchange rows. A group larger than a shard gathers in as many shards as it needs.
+Rounds end when hardly fewer rows are away from their group than before (ROUNDS at most). Unlinked
 documents fill what is left, and a last pass moves the few rows over quota into free places, so that
 the counts of shards are at most one apart (law `rows`) while few links are cut.
 
 Plan: one pass over texts takes size, checksum and a hash of the text; all rounds work on these narrow
 rows. Joins on the group are dealt by (group, salt) with salts in proportion to the group, so that no
-task gets a large group. Ranks inside shards are two-level. Tables of shard loads and of (shard,
-bucket) demands have a fixed bound and are broadcast; the loads also reach the driver.
+task gets a large group. Ranks inside shards are two-level. What reaches the driver and is broadcast in
+a round are the loads of shards and the flows between them: n_shards ** 2 rows.
 
 Defined results. Null text: as the empty text, size 16. Null ids and repeated rows: documents like
 others. Fewer documents than shards: one each in the first shards. Empty table: empty result. Extra
@@ -19,13 +21,16 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import bucket_of, cut
+from seqloom.llm.common import bucket_of, cut, table
 
-BUCKETS = 256
+#: Rounds at most, and the share of rows away from their group at which a round counts as no progress.
+ROUNDS = 12
+STILL = 0.98
 #: A group with over this share of the rows counts as large; there can be 1 / share of them.
 LARGE = 1000
 
@@ -41,32 +46,61 @@ def with_group_size(base: DataFrame, group: str, rows: int) -> DataFrame:
     return looked.filter("n is not null").unionByName(rest)
 
 
+def flows(demand: np.ndarray, load: np.ndarray, quota: int) -> np.ndarray:
+    """Which share of demand[i, j], the rows that would go from shard i to j, may go, so that no shard ends
+    over its quota (one that is over it already gets no more than it gives). Inflows shrink to the room
+    that is left by what stays and what leaves, until they all fit; they only ever shrink, so this ends."""
+    flow = demand.astype(float)
+    while True:
+        coming, going = flow.sum(0), flow.sum(1)
+        room = np.maximum(0, quota - load + going)
+        scale = np.minimum(1, room / np.maximum(coming, 1e-12))
+        smaller = flow * scale
+        if (flow - smaller).sum() < 0.5:
+            return np.divide(smaller, demand, out=np.zeros_like(smaller), where=demand > 0)
+        flow = smaller
+
+
+def whole(quota: int) -> Column:
+    """Groups so small beside a shard that they move as one."""
+    return F.col("n") <= max(1, quota // 8)
+
+
 def propagate(linked: DataFrame, n_shards: int, quota: int, rounds: int) -> DataFrame:
     """linked: doc columns with g, n, salt, salts, shard. Moves documents towards their neighbours."""
+    spark = linked.sparkSession
+    is_open, strays = np.ones(n_shards, bool), None
     for r in range(rounds):
-        loads = linked.groupBy("shard").agg(F.count(F.lit(1)).alias("load"))  # n_shards rows
-        votes = linked.groupBy("g", "n", "salts", "shard").agg(F.count(F.lit(1)).alias("c"))
-        room = F.greatest(F.lit(quota) - F.col("load"), F.lit(0))
-        votes = votes.join(F.broadcast(loads), "shard").withColumn("open", (room > 0).cast("int"))
-        order = F.struct((F.col("c") * F.col("open")).alias("a"), "c", F.xxhash64("g", "shard").alias("h"), "shard")
-        ranked = votes.groupBy("g", "n", "salts").agg(F.sort_array(F.collect_list(order), asc=False).alias("s"))  # at most n_shards each
+        counted = cut(linked.groupBy("g", "n", "salts", "shard").agg(F.count(F.lit(1)).alias("c")))
+        load = np.zeros(n_shards)
+        for row in counted.groupBy("shard").agg(F.sum("c").alias("c")).collect():  # n_shards rows
+            load[row["shard"]] = row["c"]
+        takes = F.element_at(F.array(*[F.lit(int(x)) for x in is_open]), F.col("shard") + 1)
+        order = F.struct((F.col("c") * takes).alias("a"), "c", F.xxhash64("g", "shard").alias("h"), "shard")
+        ranked = counted.groupBy("g", "n", "salts").agg(F.sort_array(F.collect_list(order), asc=False).alias("s"))  # at most n_shards each
         need = F.greatest(F.ceil(F.col("n") / F.lit(max(1, int(quota * 0.9)))), F.lit(1)).cast("int")
         goals = ranked.select("g", F.slice(F.col("s.shard"), 1, F.least(need, F.lit(n_shards))).alias("goals"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         pick = F.element_at("goals", (bucket_of([F.col("doc_id"), F.col("crc")], F.size("goals")) + 1).cast("int"))
         asked = linked.join(goals, ["g", "salt"]).withColumn("goal", F.when(F.array_contains("goals", F.col("shard")), F.col("shard")).otherwise(pick)).drop("goals")
-        whole = F.col("n") <= max(1, quota // 20)  # small groups are admitted whole
-        asked = asked.withColumn("b", F.when(whole, bucket_of([F.col("g"), F.lit(r)], BUCKETS)).otherwise(bucket_of([F.col("doc_id"), F.col("crc"), F.lit(r)], BUCKETS)))
         asked = cut(asked)
-        demand = asked.filter("goal <> shard").groupBy("goal", "b").agg(F.count(F.lit(1)).alias("c"))  # n_shards x BUCKETS rows
-        upto = F.sum("c").over(W.partitionBy("goal").orderBy("b"))
-        admitted = demand.withColumn("upto", upto).join(F.broadcast(loads.withColumnRenamed("shard", "goal")), "goal", "left")
-        admitted = admitted.filter(F.col("upto") <= F.lit(quota) - F.coalesce("load", F.lit(0))).select("goal", "b", F.lit(True).alias("yes"))
-        moved = asked.join(F.broadcast(admitted), ["goal", "b"], "left")
-        linked = cut(moved.withColumn("shard", F.when(F.col("yes"), F.col("goal")).otherwise(F.col("shard"))).drop("goal", "b", "yes"))
+        demand = np.zeros((n_shards, n_shards))
+        for row in asked.filter("goal <> shard").groupBy("shard", "goal").agg(F.count(F.lit(1)).alias("c")).collect():  # n_shards ** 2 rows
+            demand[row["shard"], row["goal"]] = row["c"]
+        if not demand.any() or (strays is not None and demand.sum() > STILL * strays):
+            return asked.drop("goal")
+        strays = demand.sum()
+        share = flows(demand, load, quota)
+        coming = (demand * share).sum(0)
+        is_open = (demand.sum(0) == 0) | (coming >= 0.1 * demand.sum(0))
+        allowed = spark.createDataFrame([(i, j, float(share[i, j])) for i in range(n_shards) for j in range(n_shards) if share[i, j] > 0], "shard int, goal int, share double")
+        own = F.when(whole(quota), F.xxhash64("g", F.lit(r))).otherwise(F.xxhash64("doc_id", "crc", F.lit(r)))
+        moves = F.coalesce(F.pmod(own, F.lit(1 << 30)) < F.col("share") * F.lit(1 << 30), F.lit(False))
+        moved = asked.join(F.broadcast(allowed), ["shard", "goal"], "left")
+        linked = cut(moved.withColumn("shard", F.when(moves, F.col("goal")).otherwise(F.col("shard"))).drop("goal", "share"))
     return linked
 
 
-def balanced_shards(docs: DataFrame, n_shards: int = 40, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def balanced_shards(docs: DataFrame, n_shards: int = 40, rounds: int = ROUNDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, size, crc, g (the text's hash), n (rows with that text), shard, slot."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = cut(docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(t) + 16).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc"), F.xxhash64(t, F.length(t)).alias("g")))
@@ -87,11 +121,13 @@ def settle(placed: DataFrame, n_shards: int, rows: int) -> DataFrame:
     """Exact quotas and gapless slots; rows over quota, unlinked ones first, fill free places."""
     cells = max(1, -(-rows // n_shards // 20_000))
     own = [F.col("doc_id"), F.col("size"), F.col("crc")]
-    placed = cut(placed.withColumn("cell", bucket_of([*own, F.lit(3)], max(cells, 4)).cast("int")))
+    # the rows that have to go are the last in rank: unlinked ones, then whole groups
+    together = F.when(whole(max(1, rows // n_shards)), F.xxhash64("g", F.lit(3))).otherwise(F.xxhash64(*own, F.lit(3)))
+    placed = cut(placed.withColumn("cell", F.pmod(together, F.lit(max(cells, 4))).cast("int")))
     counted = placed.groupBy("shard", "single", "cell").agg(F.count(F.lit(1)).alias("c"))
     before = F.coalesce(F.sum("c").over(W.partitionBy("shard").orderBy("single", "cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counted.withColumn("before", before).drop("c")
-    inside = F.row_number().over(W.partitionBy("shard", "single", "cell").orderBy("doc_id", "size", "crc", "g")) - 1
+    inside = F.row_number().over(W.partitionBy("shard", "single", "cell").orderBy("g", "doc_id", "size", "crc")) - 1
     ranked = placed.withColumn("inside", inside).join(starts, ["shard", "single", "cell"]).withColumn("rank", F.col("before") + F.col("inside"))
     loads = {r["shard"]: r["c"] for r in counted.groupBy("shard").agg(F.sum("c").alias("c")).collect()}  # n_shards rows
     quota = [rows // n_shards + (s < rows % n_shards) for s in range(n_shards)]
@@ -113,7 +149,5 @@ def settle(placed: DataFrame, n_shards: int, rows: int) -> DataFrame:
 
 
 def op2(spark, sf_dir):
-    from seqloom.llm.common import table
-
     placed = balanced_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return placed.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("n").alias("group_rows"))

@@ -1,7 +1,9 @@
 import zlib
 from collections import Counter, defaultdict
 
-from seqloom.llm.sharding import balanced_shards
+import numpy as np
+
+from seqloom.llm.sharding import balanced_shards, flows
 
 
 def run(docs, rows, n=8):
@@ -40,3 +42,64 @@ def test_odd_rows(docs):
     assert balanced_shards(docs([]), 4).count() == 0
     few = balanced_shards(docs([(1, "a"), (2, "b")]), 5).collect()
     assert {r["shard"] for r in few} == {0, 1}
+
+
+def links_kept(shards, groups):
+    """Links within a shard, as a share of what a shard's room allows, by counting."""
+    by = defaultdict(Counter)
+    for s, g in zip(shards, groups, strict=True):
+        by[g][s] += 1
+    return sum(c * (c - 1) // 2 for x in by.values() for c in x.values()) / sum(n * (n - 1) // 2 for n in Counter(groups).values())
+
+
+def test_copies_gather_where_nearly_all_rows_are_linked(docs):
+    """Against the start (a hash) and against plain first-fit of whole groups."""
+    import random
+
+    r = random.Random(3)
+    sizes = [r.choice([2, 2, 3, 5, 9, 17]) for _ in range(160)]
+    rows = [(1000 * g + k, f"text {g}") for g, n in enumerate(sizes) for k in range(n)] + [(-k - 1, f"alone {k}") for k in range(30)]
+    r.shuffle(rows)
+    out = run(docs, rows)
+    text = dict(rows)
+    mine = links_kept([r["shard"] for r in out], [text[r["doc_id"]] for r in out])
+    start = links_kept([hash(r["doc_id"]) % 8 for r in out], [text[r["doc_id"]] for r in out])
+    free, fit = [len(rows) // 8] * 8, []
+    for n in sorted(sizes, reverse=True):
+        s = max(range(8), key=free.__getitem__)
+        fit.append(n * (n - 1) // 2 if free[s] >= n else 0)
+        free[s] -= n if free[s] >= n else 0
+    best = sum(fit) / sum(n * (n - 1) // 2 for n in sizes)
+    assert start < 0.3 and mine > 0.85 * best
+
+
+def test_flows_respect_quotas():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        load = r.integers(80, 120, 6).astype(float)
+        demand = r.integers(0, 30, (6, 6)).astype(float)
+        np.fill_diagonal(demand, 0)
+        demand *= (load / np.maximum(demand.sum(1), 1))[:, None] * 0.8
+        share = flows(demand, load, 100)
+        assert (share >= 0).all() and (share <= 1).all()
+        moved = demand * share
+        after = load + moved.sum(0) - moved.sum(1)
+        assert (after <= np.maximum(100, load) + 1).all()
+    full = flows(np.array([[0.0, 40], [40, 0]]), np.array([100.0, 100]), 100)
+    assert full[0, 1] == full[1, 0] == 1  # full shards exchange rows
+
+
+def test_op2(spark, docs, prose, tmp_path):
+    from seqloom.llm.queries import QUERIES
+
+    rows = [(i, prose(i % 70, 20)) for i in range(200)] + [(None, None), (500, "é" * 50_000), (500, "é" * 50_000)]
+    table = docs(rows).selectExpr("*", "cast(doc_id as string) as shard", "text as g")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op2_sharding"](spark, str(tmp_path))
+    assert got.columns[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    out = got.collect()
+    want = sorted((repr(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert sorted((repr(r["doc_id"]), r["size"], r["text_crc32"]) for r in out) == want
+    loads = Counter(r["shard"] for r in out)
+    assert set(loads) == set(range(40)) and max(loads.values()) - min(loads.values()) <= 1 and {r["law"] for r in out} == {"rows"}
+    assert all(sorted(r["slot"] for r in out if r["shard"] == s) == list(range(n)) for s, n in loads.items())
