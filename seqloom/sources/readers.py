@@ -1,14 +1,17 @@
 """Readers. Each returns records with `_ord`, the order of the input: files by name, then by place.
 
 Text formats with one record a line are read by Spark's text source and split into columns. FASTA is
-read with records as lines (a separator of two characters). FASTQ and BAM have records that no line
-separator finds, so whole files are streamed by tasks, one for each file, decompressed as they go.
+read with records as lines (a separator of two characters), FASTQ of four lines a record by numbering
+lines over splits. FASTQ whose records take any number of lines, and BAM, are streams that only their
+start makes readable: their pieces are read in splits, and one task a file walks them in order. No file
+is held whole, but for FASTQ compressed in a way that Spark's text source does not know.
 """
 
 from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import re
 import struct
 import zlib
@@ -33,11 +36,27 @@ def _files(df: DataFrame) -> DataFrame:
     return df.join(numbered, "_path")
 
 
+def _in_order(df: DataFrame, *columns: str) -> DataFrame:
+    """columns of a freshly read df, with `_ord`, `_file` and `_block` (where the row's split begins).
+
+    `_ord` is the file's number among the sorted names, then the split's first byte plus the row's number
+    in its task. Spark fills a task with splits up to the size of the largest, so that number is smaller
+    than the distance to the next split of the file (a row takes a byte at least)."""
+    names = sorted(set(df.inputFiles()))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = df.select(*columns, F.input_file_name().alias("_name"), F.input_file_block_start().alias("_block"), place.alias("_place"))
+    if len(names) < 2:
+        numbered = rows.withColumn("_file", F.lit(0).cast("long"))
+    else:
+        table = df.sparkSession.createDataFrame(list(enumerate(names)), "_file long, _name string")
+        numbered = rows.join(table, "_name")
+    return numbered.select(*columns, (F.col("_file") * FILE_SPAN + F.col("_block") + F.col("_place")).alias(ORD), "_file", "_block")
+
+
 def _lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """Lines with `_ord`: file, then place. monotonically_increasing_id follows the splits, which hold
-    stretches of files in order."""
+    """Lines with `_ord`, `_file` and `_block`."""
     reader = spark.read if separator is None else spark.read.option("lineSep", separator)
-    return reader.text(path).select("value", F.monotonically_increasing_id().alias(ORD))
+    return _in_order(reader.text(path), "value")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -131,42 +150,92 @@ def _detect(q: str) -> str:
     return "phred64" if low >= 64 and high <= 104 else "phred33"
 
 
-def read_fastq(spark: SparkSession, path: str, quality_encoding: str = "auto", strict: bool = True) -> DataFrame:
-    """FASTQ, plain, gzip or zstd. auto takes each file's encoding from its first record."""
+def _first_bytes(spark: SparkSession, path: str) -> bytes:
+    """The first four bytes of a file in any store that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return bytes(b for b in (stream.read() for _ in range(4)) if b >= 0)
+    finally:
+        stream.close()
+
+
+def _four_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first lines look like records of four lines."""
+    lines = [r["value"].rstrip("\r") for r in spark.read.text(path).limit(400).collect()]
+    whole = lines[: len(lines) // 4 * 4] if len(lines) == 400 else lines
+    return len(whole) % 4 == 0 and all(h.startswith("@") and p.startswith("+") and s and len(s) == len(q) for h, s, p, q in zip(*[iter(whole)] * 4, strict=True))
+
+
+def read_fastq(spark: SparkSession, path: str, quality_encoding: str = "auto", strict: bool = True, four_lines: bool | None = None) -> DataFrame:
+    """FASTQ, plain, gzip or zstd. auto takes each file's encoding from its first record. Records of four
+    lines (told from the first lines if not said) are read in splits; with any number of lines, one task
+    a file walks its lines."""
     require(quality_encoding == "auto" or quality_encoding in quality.ENCODINGS, f"unknown quality encoding {quality_encoding!r}")
-    files = _files(spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), "content"))
+    names = ["_file", ORD, "id", "description", "sequence", "quality", "quality_encoding", "line_number"]
+    kind = f"_file long, {ORD} long, id string, description string, sequence string, quality string, quality_encoding string, line_number long"
+
+    def records(lines: Iterator[str], number: int) -> Iterator[pd.DataFrame]:
+        held, encoding = [], None if quality_encoding == "auto" else quality_encoding
+        for i, (at, name, said, s, q) in enumerate(fastq_records(lines, strict)):
+            encoding = encoding or _detect(q)
+            held.append((number, number * FILE_SPAN + i, name, said, s, q, encoding, at))
+            if len(held) == 4096:
+                yield pd.DataFrame(held, columns=names)
+                held = []
+        if held:
+            yield pd.DataFrame(held, columns=names)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [ORD, "id", "description", "sequence", "quality", "quality_encoding", "line_number"]
-        for batch in batches:
-            for content, number in zip(batch["content"], batch["_file"], strict=True):
-                held, encoding = [], None if quality_encoding == "auto" else quality_encoding
-                for i, (at, name, said, s, q) in enumerate(fastq_records(io.TextIOWrapper(_opened(content), "utf-8"), strict)):
-                    encoding = encoding or _detect(q)
-                    held.append((number * FILE_SPAN + i, name, said, s, q, encoding, at))
-                    if len(held) == 4096:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
-                if held:
-                    yield pd.DataFrame(held, columns=names)
+    files = sorted(set(spark.read.text(path).inputFiles()))
+    head = _first_bytes(spark, files[0]) if files else b""
+    if head[:4] == b"\x28\xb5\x2f\xfd" or (head[:2] == b"\x1f\x8b" and not files[0].endswith(".gz")):
+        whole = _files(spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), "content"))
+
+        def parse_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for content, number in zip(batch["content"], batch["_file"], strict=True):
+                    yield from records(io.TextIOWrapper(_opened(content), "utf-8"), number)
+
+        rows = whole.select("content", "_file").mapInPandas(parse_whole, kind)
+    elif (_four_lines(spark, path) and strict) if four_lines is None else four_lines:
+        return read_fastq_lines(spark, path, quality_encoding)
+    else:
 
-    rows = files.select("content", "_file").mapInPandas(parse, f"{ORD} long, id string, description string, sequence string, quality string, quality_encoding string, line_number long")
-    return conform(rows.withColumn("format", F.lit("fastq")))
+        def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lines = (x for batch in batches for x in zip(batch["_file"].tolist(), batch["value"].tolist(), strict=True))
+            for number, own in itertools.groupby(lines, key=lambda x: x[0]):
+                yield from records((x[1] for x in own), number)
+
+        rows = _lines(spark, path).select("_file", ORD, "value").repartition(max(1, len(files)), "_file").sortWithinPartitions(ORD).select("_file", "value").mapInPandas(parse, kind)
+    return conform(rows.drop("_file").withColumn("format", F.lit("fastq")))
 
 
 def read_fastq_lines(spark: SparkSession, path: str, quality_encoding: str = "phred33") -> DataFrame:
-    """Large plain FASTQ of four lines a record, split among tasks: lines are numbered by split and
-    grouped by four; the table of splits is small."""
-    lines = _lines(spark, path).withColumn("_part", F.shiftright(ORD, 33)).withColumn("_in", F.col(ORD).bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = lines.groupBy("_part").count()
-    before = counts.select("_part", F.coalesce(F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    n = F.col("_before") + F.col("_in")
-    rec = lines.join(before, "_part").select(F.floor(n / 4).alias(ORD), (n % 4).alias("k"), F.regexp_replace("value", "\r$", "").alias("v"))
+    """FASTQ of four lines a record, split among tasks: lines are numbered by file over its splits and
+    grouped by four. The table of splits has a row for each split and is broadcast."""
+    lines = _lines(spark, path)
+    splits = lines.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min(ORD).alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    table = splits.select("_file", "_block", "_first", before.alias("_before"))
+    # within a split, `_ord` counts lines
+    n = F.col("_before") + F.col(ORD) - F.col("_first")
+    rec = lines.join(F.broadcast(table), ["_file", "_block"]).select("_file", F.floor(n / 4).alias("_i"), (n % 4).alias("k"), F.regexp_replace("value", "\r$", "").alias("v"))
     part = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
-    rows = rec.groupBy(ORD).agg(part(0).alias("h"), part(1).alias("sequence"), part(3).alias("quality"))
-    header = F.when(F.startswith("h", F.lit("@")), F.substr("h", F.lit(2))).otherwise(F.raise_error(F.concat(F.lit("no FASTQ header: "), F.col("h"))))
+    rows = rec.groupBy("_file", "_i").agg(part(0).alias("h"), part(1).alias("sequence"), part(2).alias("plus"), part(3).alias("quality"))
+    fail = lambda said: F.raise_error(F.concat(F.lit(f"{said} (records of more lines take four_lines=False): line "), (F.col("_i") * 4 + 1).cast("string")))
+    header = (
+        F.when(~F.startswith("h", F.lit("@")), fail("no FASTQ header"))
+        .when(~F.coalesce(F.startswith("plus", F.lit("+")), F.lit(False)), fail("no separator line"))
+        .when(F.length("sequence") != F.coalesce(F.length("quality"), F.lit(-1)), fail("quality and sequence differ in length"))
+        .otherwise(F.substr("h", F.lit(2)))
+    )
+    if quality_encoding == "auto":
+        firsts = rows.filter("_i = 0").select("_file", quality.detect_encoding("quality").alias("quality_encoding"))
+        rows = rows.join(F.broadcast(firsts), "_file")  # a row for each file, whose names are on the driver
+    else:
+        rows = rows.withColumn("quality_encoding", F.lit(quality_encoding))
     return conform(
-        rows.select(ORD, F.lit("fastq").alias("format"), F.regexp_extract(header, r"^(\S*)", 1).alias("id"), F.nullif(F.trim(F.regexp_extract(header, r"^\S*\s+(.*)$", 1)), F.lit("")).alias("description"), "sequence", "quality", F.lit(quality_encoding).alias("quality_encoding"), (F.col(ORD) * 4 + 1).alias("line_number"))
+        rows.select((F.col("_file") * FILE_SPAN + F.col("_i")).alias(ORD), F.lit("fastq").alias("format"), F.regexp_extract(header, r"^(\S*)", 1).alias("id"), F.nullif(F.trim(F.regexp_extract(F.substr("h", F.lit(2)), r"^\S*\s+(.*)$", 1)), F.lit("")).alias("description"), "sequence", "quality", "quality_encoding", (F.col("_i") * 4 + 1).alias("line_number"))
     )
 
 
@@ -242,24 +311,54 @@ def bam_records(stream: io.BufferedIOBase) -> Iterator[tuple]:
         yield name, flag, names[ref] if ref >= 0 else "*", pos + 1 if pos >= 0 else 0, mapq, "".join(f"{o >> 4}{CIGAR[o & 15]}" for o in ops) or "*", seq, q
 
 
+#: What a block of a BAM file begins with. Blocks are read as lines that this separates.
+BLOCK_START = b"\x1f\x8b\x08\x04"
+
+
+class _Pieces(io.RawIOBase):
+    """A file as a stream, from its pieces between separators."""
+
+    def __init__(self, pieces: Iterator[bytes], separator: bytes):
+        self.pieces, self.separator, self.held, self.first = pieces, separator, b"", True
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        while not self.held:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.held = bytes(piece) if self.first else self.separator + bytes(piece)
+            self.first = False
+        n = min(len(into), len(self.held))
+        into[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """BAM by its published layout; its blocks are gzip members."""
-    files = _files(spark.read.format("binaryFile").load(path).select(F.col("path").alias("_path"), "content"))
+    """BAM by its published layout; its blocks are gzip members. Blocks are read in splits; records may
+    cross blocks, so one task a file walks them, holding a block at a time."""
+    source = spark.read.options(encoding="ISO-8859-1", lineSep=BLOCK_START.decode("latin-1")).text(path)
+    n_files = max(1, len(set(source.inputFiles())))
+    blocks = _in_order(source.select(F.col("value").cast("binary").alias("value")), "value")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [ORD, "id", "flag", "reference_sequence", "position", "mapping_quality", "cigar", "sequence", "quality"]
-        for batch in batches:
-            for content, number in zip(batch["content"], batch["_file"], strict=True):
-                held = []
-                for i, r in enumerate(bam_records(gzip.GzipFile(fileobj=io.BytesIO(content)))):
-                    held.append((number * FILE_SPAN + i, *r))
-                    if len(held) == 4096:
-                        yield pd.DataFrame(held, columns=names)
-                        held = []
-                if held:
+        pieces = (x for batch in batches for x in zip(batch["_file"].tolist(), batch["value"].tolist(), strict=True))
+        for number, own in itertools.groupby(pieces, key=lambda x: x[0]):
+            stream = io.BufferedReader(_Pieces((x[1] for x in own), BLOCK_START), 1 << 20)
+            held = []
+            for i, r in enumerate(bam_records(gzip.GzipFile(fileobj=stream))):
+                held.append((number * FILE_SPAN + i, *r))
+                if len(held) == 4096:
                     yield pd.DataFrame(held, columns=names)
+                    held = []
+            if held:
+                yield pd.DataFrame(held, columns=names)
 
-    rows = files.select("content", "_file").mapInPandas(parse, f"{ORD} long, id string, flag int, reference_sequence string, position long, mapping_quality int, cigar string, sequence string, quality string")
+    kind = f"{ORD} long, id string, flag int, reference_sequence string, position long, mapping_quality int, cigar string, sequence string, quality string"
+    rows = blocks.repartition(n_files, "_file").sortWithinPartitions(ORD).select("_file", "value").mapInPandas(parse, kind)
     return conform(rows.withColumns({"format": F.lit("bam"), "quality_encoding": F.lit("phred33")}))
 
 
@@ -357,7 +456,8 @@ def read_json(spark: SparkSession, path: str, fmt: str | None = None, encoding:
 
 
 def read_jsonl(spark: SparkSession, path: str, fmt: str | None = None, encoding: str = "phred33") -> DataFrame:
-    rows = spark.read.schema(_JSON_ROW).json(path).withColumn(ORD, F.monotonically_increasing_id())
+    read = spark.read.schema(_JSON_ROW).json(path)
+    rows = _in_order(read, *read.columns).drop("_file", "_block")
     return _from_json_rows(rows, fmt, encoding)
 
 
@@ -385,7 +485,8 @@ def read_dsv(
     reader = spark.read.schema(schema).options(sep=delimiter, quote=quote, escape=quote, header=str(header).lower(), mode=mode, multiLine="false", enforceSchema="true")
     if comment:
         reader = reader.option("comment", comment)
-    table = reader.csv(path).withColumn(ORD, F.monotonically_increasing_id())
+    read = reader.csv(path)
+    table = _in_order(read, *[f"`{c}`" for c in read.columns]).drop("_file", "_block")
     out = from_tabular(table)
     if with_stats:
         out = out.withColumns({"gc": dsv_gc("sequence"), "gc_skew": dsv_gc_skew("sequence")})

@@ -115,15 +115,19 @@ def write_jsonl(df: DataFrame, path: str, columns: list[str] | None = None, comp
 
 
 def write_json(df: DataFrame, path: str, columns: list[str] | None = None, include_metadata: bool = False, pretty: bool = False) -> None:
-    """One JSON array, or an object with sequences and metadata. The rows pass the driver one partition
-    at a time into one file, as the format is one document; JSON lines scale."""
+    """One JSON array, or an object with sequences and metadata. The format is one document, so one task
+    writes it, row by row; JSON lines scale."""
     table = to_tabular(df, columns)
     names = [c for c in table.columns if c != ORD]
-    lines = table.orderBy(ORD).select(F.to_json(F.struct(*names)).alias("v")).toLocalIterator()
-    rows = [json.loads(r["v"]) for r in lines]
-    whole = {"sequences": rows, "metadata": {"count": len(rows), "columns": names}} if include_metadata else rows
-    text = json.dumps(whole, indent=2 if pretty else None)
-    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
+    ends = table.agg(F.count(F.lit(1)).alias("n"), F.min(ORD).alias("first"), F.max(ORD).alias("last")).first()
+    lead, tail = ('{"sequences": [', f'], "metadata": {json.dumps({"count": ends["n"], "columns": names})}}}') if include_metadata else ("[", "]")
+    if not ends["n"]:
+        rows = df.sparkSession.createDataFrame([(lead + tail,)], "value string").coalesce(1)
+    else:
+        row = F.to_json(F.struct(*names), {"ignoreNullFields": "false", "pretty": str(pretty).lower()})
+        text = F.concat(F.when(F.col(ORD) == ends["first"], lead).otherwise(""), row, F.when(F.col(ORD) == ends["last"], tail).otherwise(","))
+        rows = table.select(ORD, text.alias("value")).coalesce(1).sortWithinPartitions(ORD).select("value")
+    rows.write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def collection_metadata(df: DataFrame) -> dict:

@@ -204,3 +204,76 @@ def test_key_values(spark, tmp_path):
     assert rows(records.replace(df, r"^([a-z])", "{kv}", kv=kv, key_miss="none"), "id") == [("one-1",), ("none-1",)]
     with pytest.raises(Exception, match="no key and value"):
         records.read_key_values(spark, put(tmp_path, "bad.tsv", "lonely\n")).collect()
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_order_over_files_of_many_splits(spark, tmp_path, small_splits):
+    """The larger file comes second by name; its last split is packed after others."""
+    names = [f"a{i}" for i in range(70)] + [f"b{i}" for i in range(900)]
+    seq = {n: "ACGT" * (3 + len(n) * 2) + "A" * (i % 5) for i, n in enumerate(names)}
+    for f in "ab":
+        own = [n for n in names if n[0] == f]
+        put(tmp_path, f"{f}.fa", "".join(f">{n} x\n{seq[n][:9]}\n{seq[n][9:]}\n" for n in own))
+        put(tmp_path, f"{f}.fq", "".join(f"@{n} x\n{seq[n]}\n+\n{'@' * len(seq[n])}\n" for n in own))
+        put(tmp_path, f"{f}.mq", "".join(f"@{n}\n{seq[n][:9]}\n{seq[n][9:]}\n+\n{'@' * 5}\n{'I' * (len(seq[n]) - 5)}\n" for n in own))
+        put(tmp_path, f"{f}.sam", "".join(f"{n}\t4\t*\t0\t9\t*\t*\t0\t0\t{seq[n]}\t*\n" for n in own))
+        put(tmp_path, f"{f}.csv", "id,sequence\n" + "".join(f"{n},{seq[n]}\n" for n in own))
+        put(tmp_path, f"{f}.jsonl", "".join(json.dumps({"id": n, "sequence": seq[n]}) + "\n" for n in own))
+        put(tmp_path, f"{f}.fq.gz", gzip.compress((tmp_path / f"{f}.fq").read_bytes()))
+    want = [(n, seq[n]) for n in names]
+    for read, pattern in ((readers.read_fasta, "*.fa"), (readers.read_fastq_lines, "*.fq"), (readers.read_fastq, "*.fq"), (readers.read_fastq, "*.mq"), (readers.read_fastq, "*.fq.gz"), (readers.read_sam, "*.sam"), (readers.read_dsv, "*.csv"), (readers.read_jsonl, "*.jsonl")):
+        df = read(spark, str(tmp_path / pattern))
+        assert rows(df, "id", "sequence") == want, pattern
+    fq = readers.read_fastq(spark, str(tmp_path / "*.fq"))
+    assert fq.rdd.getNumPartitions() > 1 and rows(fq, "line_number")[70:72] == [(1,), (5,)]
+    assert [r["line_number"] for r in readers.read_fastq(spark, str(tmp_path / "a.mq")).orderBy("_ord").collect()][:3] == [1, 7, 13]
+
+
+def test_fastq_of_other_shapes_says_so(spark, tmp_path):
+    p = put(tmp_path, "x.fq", "@a\nAC\n+\nII\n@b\nACG\n+\nII\n")
+    with pytest.raises(Exception, match="differ in length"):
+        readers.read_fastq_lines(spark, p).collect()
+    encodings = {"a.fq": "@a\nAC\n+\nhh\n", "b.fq": "@b\nAC\n+\n!!\n"}
+    for name, text in encodings.items():
+        put(tmp_path / "..", name, text)
+    assert rows(readers.read_fastq(spark, str(tmp_path / ".." / "[ab].fq")), "id", "quality_encoding") == [("a", "phred64"), ("b", "phred33")]
+
+
+def test_bam_in_blocks_over_splits(spark, tmp_path, small_splits):
+    import random
+    import zlib
+
+    r = random.Random(2)
+
+    def file_of(names):
+        data = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 0)
+        for n in names:
+            body = struct.pack("<iiBBHHHiiii", -1, -1, len(n) + 1, 9, 0, 0, 4, 4, -1, -1, 0) + n.encode() + b"\0" + bytes([r.randrange(1, 9) << 4 | 1, 0x24]) + b"\xff" * 4
+            data += struct.pack("<i", len(body)) + body
+        out = b""
+        for k in range(0, len(data), 700):  # records cross blocks
+            c = zlib.compressobj(6, zlib.DEFLATED, -15)
+            raw = c.compress(data[k : k + 700]) + c.flush()
+            out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(data[k : k + 700]), len(data[k : k + 700]))
+        return out + bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+
+    names = [f"a{i}" for i in range(50)] + [f"b{i}" for i in range(1500)]
+    for f in "ab":
+        put(tmp_path, f"{f}.bam", file_of([n for n in names if n[0] == f]))
+    assert (tmp_path / "b.bam").stat().st_size > 8000
+    assert rows(readers.read_bam(spark, str(tmp_path / "*.bam")), "id") == [(n,) for n in names]
+
+
+def test_json_document_is_written_by_a_task(spark, tmp_path):
+    df = readers.from_rows(spark, [{"id": f"s{i}", "sequence": "AC"} for i in range(300)]).repartition(5)
+    for meta, pretty in ((False, False), (True, True)):
+        sinks.write_json(df, str(tmp_path / f"o{meta}"), include_metadata=meta, pretty=pretty)
+        assert rows(readers.read_json(spark, str(tmp_path / f"o{meta}")), "id") == [(f"s{i}",) for i in range(300)]
+    sinks.write_json(df.limit(0), str(tmp_path / "e"), include_metadata=True)
+    assert readers.read_json(spark, str(tmp_path / "e")).count() == 0
