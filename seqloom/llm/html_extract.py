@@ -17,8 +17,13 @@ it; lists, tables and the like only as a whole, headings only if nothing below t
 
 Plan: two narrow passes over the pages and a shuffle of wrappers, in two rounds so that a host with
 most of the pages is folded by many tasks. A wrapper's size follows the templates of a site, not its
-page count. The table of hosts is written, so Catalyst knows its size and broadcasts it only when it
-is small; beyond that the join shuffles.
+page count; a task holds those of HELD hosts. What was decided for each host is written and broadcast
+if it is small; beyond that pages are joined with it by host and salt.
+
+Children of one name are one part of the wrapper, wherever among their siblings they stand: a body whose
+paragraphs and lists alternate in every page's own way is p+ and ul+, not a sequence as long as the
+longest page. Tags and class words settle what alignment cannot see: menus, adverts and footers whose
+text differs from page to page.
 
 Defined results. Null or empty html: empty text. Null url: the host ''. A page whose host wrapper names
 no node that it has: its own wrapper decides. Null ids and repeated rows: pages like others. Very long
@@ -77,7 +82,10 @@ WEAK = re.compile(r"^(?:banner|promo|menu|header|aside|notice|social|share|shari
 #: Elements that a class, id or role can mark as apart, and those of them whose id is no anchor.
 MARKED = frozenset("div ul ol dl menu section center details fieldset figure".split())
 NAMED = MARKED - {"section", "figure"}
-#: Words a page from which a part with a weak mark is main text, if at most half of its words are links.
+#: What makes a part with a weak mark none of the main text, as constants and more links than text do.
+CONTROLS = frozenset("input button select textarea form option".split())
+#: It is main text if it holds some of these with words, or so many words a page without.
+PARAGRAPHS = HEADINGS | frozenset("p pre blockquote li td th dd figcaption".split())
 PART_WORDS = 20
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TEXT = "#text"
@@ -105,7 +113,12 @@ def signature(tag: str, attributes: str) -> str:
     main = any(ARTICLE.search(w) and not m for w, m in zip(said, marked, strict=True))
     marks = [w for a, words in found for w in words if MARKS.search(w) and (a != "id" or tag in NAMED)] if tag in MARKED else []
     sign = "*" if main else "." if not marks else "?" if all(map(weak, marks)) else "!"
-    return f"{tag}{sign}{'.'.join([w for w in said if not re.search(r'[0-9]', w)][:4])}"
+    named = ".".join(w for w in said if not re.search(r"[0-9]", w))
+    return f"{tag}{sign}{named if len(named) <= 80 else digest(named)}"
+
+
+def digest(text: str) -> str:
+    return blake2b(text.encode("utf-8", "replace"), digest_size=8).hexdigest()
 
 
 def weak(word: str) -> bool:
@@ -229,7 +242,7 @@ def _lines_of_both(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
 
 def constant(text: str) -> str:
     """A text, or of a long one its start and a digest, which differ when the texts do."""
-    return text if len(text) <= 80 else f"{text[:60]}#{blake2b(text.encode('utf-8', 'replace'), digest_size=8).hexdigest()}"
+    return text if len(text) <= 80 else f"{text[:60]}#{digest(text)}"
 
 
 def align(a: list, b: list) -> list:
@@ -342,6 +355,8 @@ def weights(w: list, name: str = "root") -> tuple[dict[int, int], list[int]]:
         todo.extend((c, n, headed, place(at, n)) for n, c in node[CHILDREN].items())
     out: dict[int, int] = {}
     links: dict[int, int] = {}
+    controls: dict[int, bool] = {}
+    set_out: dict[int, int] = {}
     dropped = []
     for node, k, headed, at in reversed(order):  # children come after their parents
         linked = 0 if headed else node[LINKED]
@@ -350,7 +365,9 @@ def weights(w: list, name: str = "root") -> tuple[dict[int, int], list[int]]:
         words = node[WORDS] - linked - fixed + sum(out[id(c)] for c in node[CHILDREN].values())
         linked += sum(links[id(c)] for c in node[CHILDREN].values())
         off = apart(k)
-        if "?" in k and (words < PART_WORDS * node[PAGES] or linked > words):
+        controls[id(node)] = tag_of(k) in CONTROLS or any(controls[id(c)] for c in node[CHILDREN].values())
+        set_out[id(node)] = words if tag_of(k) in PARAGRAPHS else sum(set_out[id(c)] for c in node[CHILDREN].values())
+        if "?" in k and (linked > words or controls[id(node)] or (set_out[id(node)] <= 0 and words < PART_WORDS * node[PAGES])):
             dropped.append(at)
             off = True
         out[id(node)], links[id(node)] = (0, 0) if off else (words, linked)
@@ -491,6 +508,12 @@ def host_of(url):
 
 #: Salts for the first round of folding by host.
 SALTS = 32
+#: Bytes of plans up to which they are broadcast.
+BROADCAST = 64 << 20
+
+
+#: Hosts whose wrappers a task holds before it hands them on.
+HELD = 1000
 
 
 def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
@@ -503,6 +526,9 @@ def wrappers(pages: DataFrame, html: str = "html", url: str = "url") -> DataFram
                 if page:
                     w = wrapper_of(parse(page))
                     held[host] = align(held[host], w) if host in held else w
+                if len(held) > HELD:
+                    yield pd.DataFrame({"host": list(held), "w": [flat(w) for w in held.values()]})
+                    held = {}
         if held:  # an empty frame has no types
             yield pd.DataFrame({"host": list(held), "w": [flat(w) for w in held.values()]})
 
@@ -535,7 +561,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             yield pd.Series([text_of(t, json.loads(p) if p else None) for t, p in zip(texts, where, strict=True)], dtype=object)
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("page"), host_of(F.col(url)).alias("host"))
-    return rows.join(plans, "host", "left").select("page_id", "url", main("page", "plan").alias("text"))
+    size = plans.agg(F.sum(F.octet_length("plan") + F.octet_length("host"))).first()[0] or 0
+    if size <= BROADCAST:
+        told = rows.join(F.broadcast(plans), "host", "left")
+    else:  # a host's pages go to SALTS tasks
+        dealt = plans.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        told = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt.hint("merge"), ["host", "salt"], "left")
+    return told.select("page_id", "url", main("page", "plan").alias("text"))
 
 
 def op7(spark, sf_dir):

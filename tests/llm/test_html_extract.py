@@ -105,3 +105,99 @@ def test_copies_of_a_page_show_no_constants():
     for x in [page, page, page.replace("One", "Other")]:
         w = h.align(w, h.wrapper_of(h.parse(x)))
     assert h.text_of(page, h.decide(w)) == "One text.\nMore of it."
+
+
+def test_content_with_names_of_other_parts():
+    def made(i):
+        return (
+            f"<body><div class='related-posts'><a href='/'>See page {i}</a> <a href='/x'>or {i + 1}</a></div><article><h1>T {i}</h1><p>Lead {i}</p><div class='related-work'><p>Earlier work {i}.</p></div>"
+            f"<div class='notice-of-death'><p>Died in {1900 + i}.</p></div><div class='story-search'><p>Search for gold {i}.</p></div><div class='search-box'><p>Find {i}</p><input name=q></div></article></body>"
+        )
+
+    w = None
+    for i in range(6):
+        own = h.wrapper_of(h.parse(made(i)))
+        w = h.align(w, own) if w else own
+    for plan in (h.decide(w), None):
+        assert h.text_of(made(2), plan) == "T 2\nLead 2\nEarlier work 2.\nDied in 1902.\nSearch for gold 2."
+
+
+def test_host_without_telling_names(spark):
+    """Menu and footer bear no tag or class that tells: they are what all pages share."""
+
+    def made(i):
+        return (
+            f"<html><body><div><div><a href='/'>Home</a> <a href='/n'>News</a></div><div>Welcome to Site X and our many services</div></div><div><h1>Title {i}</h1><p>Text of page {i}.</p>"
+            + "".join(f"<p>More {k} of {i}</p>" for k in range(i % 3))
+            + "</div><div>Copyright 2020 Site X, all rights reserved</div></body></html>"
+        )
+
+    rows = [(i, f"https://x.example/{i}", made(i)) for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert got == {i: "\n".join([f"Title {i}", f"Text of page {i}.", *[f"More {k} of {i}" for k in range(i % 3)]]) for i in range(9)}
+
+
+def test_twenty_thousand_levels(spark):
+    rows = [(1, "https://a.example/1", "<div>" * 20_000 + "word" + "</div>" * 20_000), (2, "https://a.example/2", "<p>plain")]
+    assert {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "word", 2: "plain"}
+
+
+def brute_wrapper(pages):
+    """All pages at once: for each chain of names how many pages have it, whether siblings repeat it, and
+    whether its text is the same everywhere."""
+    places = {}
+
+    def walk(node, chain, here, counts):
+        said = " ".join(" ".join(p.split()) for p in node.parts if isinstance(p, str) and p.split())
+        here.setdefault(chain, []).append(said)
+        for c in (p for p in node.parts if isinstance(p, h.Node)):
+            n = sum(isinstance(p, h.Node) and p.name == c.name for p in node.parts)
+            counts[(*chain, c.name)] = max(n, counts.get((*chain, c.name), 0))
+            walk(c, (*chain, c.name), here, counts)
+
+    for page in pages:
+        here, counts = {}, {}
+        walk(h.parse(page), (), here, counts)
+        for chain, texts in here.items():
+            p = places.setdefault(chain, [0, False, set()])
+            p[0] += 1
+            p[1] |= counts.get(chain, 1) > 1
+            p[2] |= set(texts)
+    return {c: (n, r, len(t) == 1 and t != {""}) for c, (n, r, t) in places.items()}
+
+
+def test_alignment_against_brute_force():
+    import random
+
+    r = random.Random(9)
+
+    def part(depth):
+        tag = r.choice(["div", "p", "ul", "b"])
+        inner = "".join(part(depth - 1) for _ in range(r.randrange(3))) if depth and tag != "p" else ""
+        return f"<{tag}>{r.choice(['same', 'x', 'word ' + str(r.randrange(3))])}{inner}</{tag}>"
+
+    for _ in range(40):
+        pages = ["".join(part(3) for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 6))]
+        w = None
+        for page in pages:
+            own = h.wrapper_of(h.parse(page))
+            w = h.align(h.unflat(h.flat(w)), own) if w else own
+        mine, todo = {}, [((), w)]
+        while todo:
+            chain, node = todo.pop()
+            mine[chain] = (node[h.PAGES], bool(node[h.REPEATED]), node[h.CONSTANT] is not None)
+            todo.extend(((*chain, k), c) for k, c in node[h.CHILDREN].items())
+        assert mine == brute_wrapper(pages)
+
+
+def test_op7_over_broadcast_and_join(spark, tmp_path, monkeypatch):
+    from seqloom.llm.queries import QUERIES
+
+    rows = [(i, f"https://h{i % 3}.example/{i}", page(i, i % 4 + 1)) for i in range(40)] + [(None, None, None), (3, "https://h0.example/3", page(3, 4)), (99, "https://h0.example/", "<p>" + "é word " * 200_000)]
+    spark.createDataFrame(rows, SCHEMA).selectExpr("*", "url as host", "html as page", "html as text").write.parquet(str(tmp_path / "pages.parquet"))
+    want = [(i, u, expected(i, i % 4 + 1)) if i is not None and i < 99 else (i, u, "" if i is None else ("é word " * 200_000).strip()) for i, u, _ in rows]
+    for limit in (h.BROADCAST, 0):
+        monkeypatch.setattr(h, "BROADCAST", limit)
+        got = QUERIES["op7_html"](spark, str(tmp_path))
+        assert got.columns == ["page_id", "url", "text", "n_chars"]
+        assert sorted((repr(r["page_id"]), r["text"], r["n_chars"]) for r in got.collect()) == sorted((repr(i), t, len(t)) for i, _, t in want)
