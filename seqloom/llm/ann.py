@@ -44,8 +44,8 @@ THRESHOLD = 30
 #: Chance that one line has the k-th neighbour in its window when the search ends: then it is past the
 #: threshold with a chance of about 0.97.
 CATCH = 0.74
-#: Numbers in a block of vectors, and in one of queries: 4 and 8 MB.
-BLOCK, QUERY_BLOCK = 1 << 19, 1 << 20
+#: Numbers in a block of vectors, and in one of queries: 16 and 4 MB.
+BLOCK, QUERY_BLOCK = 1 << 21, 1 << 19
 #: Widths tried until there are k candidates.
 WIDTHS = np.array([0.05 * 1.7**i for i in range(8)])
 
