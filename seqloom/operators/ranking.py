@@ -91,8 +91,9 @@ def top_n(df: DataFrame, n: int, by: str | Column = "length", order: str = "desc
 
 def uniform(seed: int = 42, *columns: str) -> Column:
     """A reproducible number from 0 to 1 for each row by its columns, so that paired inputs with equal
-    _ord draw alike."""
-    return F.pmod(F.xxhash64(F.lit(seed), *(columns or (ORD,))), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    _ord draw alike: the first 32 bits of the MD5 of seed and columns."""
+    said = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in (columns or (ORD,))])
+    return F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, seed: int = 42, strategy: str = "reservoir") -> DataFrame:

@@ -231,3 +231,33 @@ def fai_index(df: DataFrame, line_width: int = 80) -> DataFrame:
     return out.select(ORD, "name", "length", (F.col("_before") + F.col("_in") + F.col("_head")).alias("offset"), width.alias("linebases"), (width + 1).alias("linewidth"))
 
 
+
+
+def fai_of_file(spark, path: str) -> DataFrame:
+    """(_ord, name, length, offset, linebases, linewidth) of FASTA files that exist, from their bytes: all
+    lines of a record but the last must be of one width. Records are read as lines; their places are sums
+    of sizes, first inside a split, then over the splits of a file, whose table is small."""
+    from seqloom.sources.readers import _lines
+
+    separator = "\n>"
+    rows = _lines(spark, path, separator)
+    size = (F.octet_length("value") + len(separator)).cast("long")
+    in_split = W.partitionBy("_file", "_block").orderBy(ORD)
+    told = rows.select("_file", "_block", ORD, "value", size.alias("_size"), F.coalesce(F.sum(size).over(in_split.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_in"))
+    splits = rows.groupBy("_file", "_block").agg(F.sum(size).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = told.join(F.broadcast(splits.select("_file", "_block", before.alias("_before"))), ["_file", "_block"])  # a row for each split
+    head = F.substring_index("value", "\n", 1)
+    # sums of sizes lead behind the sign of a record; a file's first one still holds it
+    start = F.col("_before") + F.col("_in") + F.octet_length(head) + 1
+    lines = F.filter(F.split(F.substr("value", F.length(head) + 2), "\n", -1), lambda x: x != "")
+    bare = lambda x: F.regexp_replace(x, "\r$", "")
+    name = F.regexp_extract(F.regexp_replace(head, "^>", ""), r"^(\S*)", 1)
+    x = placed.select(ORD, name.alias("name"), start.alias("offset"), lines.alias("l"))
+    bases_of = F.coalesce(F.length(bare(F.get("l", F.lit(0)))), F.lit(0))
+    width = F.coalesce(F.length(F.get("l", F.lit(0))), F.lit(0)) + 1
+    n = F.size("l")
+    uneven = F.exists(F.slice("l", 1, F.greatest(n - 1, F.lit(0))), lambda y: F.length(bare(y)) != bases_of) | F.coalesce(F.length(bare(F.element_at("l", -1))) > bases_of, F.lit(False))
+    total = F.aggregate("l", F.lit(0).cast("long"), lambda a, y: a + F.length(bare(y)))
+    said = F.when((n > 0) & uneven, F.raise_error(F.concat(F.lit("lines of different widths in "), F.col("name")))).otherwise(F.col("name"))
+    return x.filter(F.col("name") != "").select(ORD, said.alias("name"), total.alias("length"), F.col("offset").cast("long"), bases_of.cast("long").alias("linebases"), width.cast("long").alias("linewidth"))

@@ -44,23 +44,28 @@ def split(df: DataFrame, mode: str, sequences_per_file: int = 1000, num_parts: i
 
 def _by_length(df: DataFrame, limit: int) -> DataFrame:
     """Greedy parts depend on all records before, so one task walks the lengths, 16 bytes a record in
-    stream order, and gives the first record of each part; records find their part by an as-of window
-    over cells."""
+    stream order, from part to part by search in their running sum, and gives the first record of each;
+    records find their part by an as-of window over cells."""
     require(limit >= 1, "bases_per_file is positive")
 
     def walk(batches):
+        import numpy as np
         import pandas as pd
 
         filled, part = None, 0
         for batch in batches:
-            firsts = []
-            for o, n in zip(batch[ORD].tolist(), batch["n"].tolist(), strict=True):
-                if filled is None or (filled > 0 and filled + n > limit):
-                    part += 1
-                    filled = 0
-                    firsts.append((o, part))
-                filled += n
-            yield pd.DataFrame(firsts, columns=[ORD, "_part"])
+            n = batch["n"].to_numpy(np.int64)
+            upto = np.concatenate([[0], np.cumsum(n)])
+            firsts, at = [], 0
+            while at < len(n):
+                if filled is None or (filled > 0 and filled + n[at] > limit):
+                    part, filled = part + 1, 0
+                    firsts.append((at, part))
+                # as many records as fit; one at least, which may be longer than a part or end an empty one
+                room = max(at + 1, int(np.searchsorted(upto, upto[at] + limit - filled, side="right")) - 1)
+                filled += int(upto[room] - upto[at])
+                at = room
+            yield pd.DataFrame({ORD: batch[ORD].to_numpy()[[a for a, _ in firsts]], "_part": [p for _, p in firsts]})
 
     lengths = df.select(ORD, F.length("sequence").cast("long").alias("n")).orderBy(ORD).coalesce(1)
     firsts = lengths.mapInPandas(walk, f"{ORD} long, _part long")
