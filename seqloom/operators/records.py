@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pickle
 import re
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -348,6 +350,24 @@ def fold(df: DataFrame, fn: Callable, initial):
     return total
 
 
+def fold_parts(df: DataFrame, step: Callable, merge: Callable, initial):
+    """A fold in parallel, for steps that do not hang on order: every task folds its records from
+    `initial`, and merge(a, b) joins the results, one for each partition. `fold` is for small inputs and
+    steps that need stream order."""
+
+    def run(batches):
+        import pandas as pd
+
+        total = initial
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                total = step(total, r)
+        yield pd.DataFrame({"v": [pickle.dumps(total)]})
+
+    parts = (pickle.loads(bytes(r["v"])) for r in df.mapInPandas(run, "v binary").toLocalIterator())
+    return reduce(merge, parts, initial)
+
+
 def reduce_records(df: DataFrame, fn: Callable):
     """Left fold that starts with the first record; None for no records."""
     rows = (r.asDict() for r in df.orderBy(ORD).toLocalIterator())

@@ -321,9 +321,22 @@ def locate_mismatches(spark, sf_dir):
     return h.select("sequence_id", _long("start").alias("start"), _long("mismatches").alias("mismatches"), _r("score").alias("score"))
 
 
-@query("locate_both_strands")
+def _wrong(pattern: str, at: str) -> str:
+    """Letters in which the pattern differs from s at a 0-based place."""
+    return f"list_sum(list_transform(range(1, {len(pattern) + 1}), lambda i: CASE WHEN substr(s, CAST({at} + i AS INTEGER), 1) = substr('{pattern}', i, 1) THEN 0 ELSE 1 END))"
+
+
+@query(
+    "locate_both_strands",
+    f"""WITH RECURSIVE {READS}, p AS (SELECT id, s, unnest(range(0, length(s) - 5)) AS st FROM reads), b AS (SELECT id, s, st, {_wrong("GATTAC", "st")} AS x, '+' AS strand FROM p UNION ALL SELECT id, s, st, {_wrong("GTAATC", "st")}, '-' FROM p),
+ h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY st, x, strand) AS k FROM b WHERE x <= 1), nx AS (SELECT a.id, a.k, min(c.k) AS n FROM h a JOIN h c ON a.id = c.id AND c.st >= a.st + 6 GROUP BY a.id, a.k),
+ w AS (SELECT id, k FROM h WHERE k = 1 UNION ALL SELECT w.id, nx.n FROM w JOIN nx ON w.id = nx.id AND w.k = nx.k)
+ SELECT h.id AS sequence_id, CAST(st AS BIGINT) AS start, CAST(st + 6 AS BIGINT) AS "end", strand, substr(s, CAST(st + 1 AS INTEGER), 6) AS matched_sequence, CAST(x AS BIGINT) AS mismatches,
+ substr(s, CAST(greatest(st - 10, 0) + 1 AS INTEGER), CAST(least(st, 10) AS INTEGER)) AS upstream, substr(s, CAST(st + 7 AS INTEGER), 10) AS downstream FROM w JOIN h ON w.id = h.id AND w.k = h.k""",
+)
 def locate_both_strands(spark, sf_dir):
-    return search.locate(reads(spark, sf_dir), "GATTAC", allow_mismatches=1, search_both_strands=True)
+    h = search.locate(reads(spark, sf_dir), "GATTAC", allow_mismatches=1, search_both_strands=True)
+    return h.select("sequence_id", _long("start").alias("start"), _long("end").alias("end"), "strand", "matched_sequence", _long("mismatches").alias("mismatches"), "context.upstream", "context.downstream")
 
 
 @query("amplicon_exact")
@@ -409,7 +422,20 @@ def translate_orfs(spark, sf_dir):
     return regions.translate(plain(reads(spark, sf_dir)), orfs_only=True, all_frames=True, min_orf_length=5, include_frame_in_id=True).select("id", "sequence")
 
 
-@query("find_orfs")
+BEFORE = "substr(p, 1, CAST(k - 1 AS INTEGER))"
+STOP_BEFORE = f"CASE WHEN contains({BEFORE}, '*') THEN k - instr(reverse({BEFORE}), '*') ELSE 0 END"
+
+
+@query(
+    "find_orfs",
+    f"""WITH {CONTIGS}, d AS (SELECT o, id, s, '+' AS strand FROM contigs UNION ALL SELECT o, id, {RC}, '-' FROM contigs), f AS (SELECT o, id, strand, length(s) AS n, f, substr(s, CAST(f AS INTEGER) + 1) AS x FROM d, (SELECT unnest(range(0, 3)) AS f)),
+ t AS (SELECT *, {_protein("x")} AS p, array_to_string(list_transform(range(1, length(x) // 3 + 1), lambda i: CASE WHEN substr(x, 3 * i - 2, 3) IN ('TTG', 'CTG', 'ATG') THEN 's' ELSE '.' END), '') AS st FROM f),
+ k AS (SELECT *, unnest(list_filter(range(1, length(st) + 1), lambda i: substr(st, i, 1) = 's')) AS k FROM t),
+ g AS (SELECT *, instr(substr(p, CAST(k + 1 AS INTEGER)), '*') AS stop, {STOP_BEFORE} AS prev FROM k)
+ SELECT o AS _ord, id, CAST(f + (k - 1) * 3 AS INTEGER) AS start, CAST(CASE WHEN stop = 0 THEN n - 1 ELSE f + (k + stop - 1) * 3 + 1 END AS INTEGER) AS "end", CAST(CASE WHEN strand = '+' THEN f + 1 ELSE -f - 1 END AS INTEGER) AS frame, strand,
+ CAST(CASE WHEN stop = 0 THEN length(p) - k + 1 ELSE stop END AS INTEGER) AS length, CASE WHEN stop = 0 THEN substr(p, CAST(k AS INTEGER)) ELSE substr(p, CAST(k AS INTEGER), CAST(stop AS INTEGER)) END AS protein
+ FROM g WHERE NOT contains(substr(st, CAST(prev + 1 AS INTEGER), CAST(k - prev - 1 AS INTEGER)), 's') AND CASE WHEN stop = 0 THEN length(p) - k + 1 ELSE stop END >= 10""",
+)
 def find_orfs(spark, sf_dir):
     return regions.find_orfs(contigs(spark, sf_dir), min_length=10)
 
@@ -550,17 +576,22 @@ def sample_systematic(spark, sf_dir):
     return ranking.sample(reads(spark, sf_dir), 90, strategy="systematic").select("id")
 
 
-@query("sample_fraction")
+def _draw(seed: int) -> str:
+    """ranking.uniform of _ord in SQL."""
+    return f"(list_sum(list_transform(range(1, 9), lambda i: (instr('{HEX}', substr(md5('{seed}:' || CAST(o AS VARCHAR)), i, 1)) - 1) * pow(16, 8 - i))) / 4294967296.0)"
+
+
+@query("sample_fraction", f"WITH {READS} SELECT id FROM reads WHERE {_draw(7)} < 0.25")
 def sample_fraction(spark, sf_dir):
     return ranking.sample(reads(spark, sf_dir), fraction=0.25, seed=7).select("id")
 
 
-@query("sample_reservoir")
+@query("sample_reservoir", f"WITH {READS} SELECT id FROM reads ORDER BY {_draw(42)}, o LIMIT 100")
 def sample_reservoir(spark, sf_dir):
     return ranking.sample(reads(spark, sf_dir), 100).select("id")
 
 
-@query("sample_stratified")
+@query("sample_stratified", f"WITH {READS} SELECT id, CAST(length(s) AS INTEGER) AS length FROM reads QUALIFY row_number() OVER (PARTITION BY length(s) ORDER BY {_draw(42)}, o) <= 5")
 def sample_stratified(spark, sf_dir):
     return ranking.sample_stratified(reads(spark, sf_dir), F.length("sequence"), 5).select("id", "length")
 
@@ -577,7 +608,10 @@ def interleave_pairs(spark, sf_dir):
     return pairing.interleave_pairs(a, b, on_unpaired="warn").select("id")
 
 
-@query("merge_pairs")
+_MATE = f"translate(md5(CAST(k AS VARCHAR) || 'a') || md5(CAST(k AS VARCHAR) || 'b') || md5(CAST(k AS VARCHAR) || 'c'), '{HEX}', '{LETTERS.replace('N', 'A')}')"
+
+
+@query("merge_pairs", f"WITH {MATES} SELECT 'p' || CAST(k AS VARCHAR) AS id, {_MATE} AS sequence, CAST(96 AS INTEGER) AS length FROM m2")
 def merge_pairs(spark, sf_dir):
     a, b = _mates(spark, sf_dir)
     b = records.transform(b, reverse_complement=True)
@@ -643,9 +677,15 @@ def split_by_id(spark, sf_dir):
     return splitting.split(reads(spark, sf_dir), "by-id", id_regex="read_([1-3])").select("id", "part_id", _long("sequence_count").alias("sequence_count"))
 
 
-@query("split_by_length")
+@query(
+    "split_by_length",
+    f"""WITH RECURSIVE {READS}, c AS (SELECT id, row_number() OVER (ORDER BY o) AS r, length(s) AS n, sum(length(s)) OVER (ORDER BY o) AS upto FROM reads), a AS (SELECT r, upto - n + 5000 AS full FROM c),
+ nx AS MATERIALIZED (SELECT a.r, min(c.r) AS n FROM a JOIN c ON c.upto > a.full AND c.upto <= a.full + 64 GROUP BY a.r), w AS (SELECT CAST(1 AS BIGINT) AS r UNION ALL SELECT nx.n FROM w JOIN nx ON w.r = nx.r),
+ m AS (SELECT c.*, sum(CASE WHEN w.r IS NULL THEN 0 ELSE 1 END) OVER (ORDER BY c.r) AS part FROM c LEFT JOIN w ON c.r = w.r)
+ SELECT id, CAST(part AS VARCHAR) AS part_id, row_number() OVER (PARTITION BY part ORDER BY r) AS sequence_count FROM m""",
+)
 def split_by_length(spark, sf_dir):
-    return splitting.split(reads(spark, sf_dir), "by-length", bases_per_file=5000).select("id", "part_id", "sequence_count")
+    return splitting.split(reads(spark, sf_dir), "by-length", bases_per_file=5000).select("id", "part_id", _long("sequence_count").alias("sequence_count"))
 
 
 @query("faidx_regions", f"WITH {CONTIGS} SELECT 'part_3:5-20' AS id, substr(s, 5, 16) AS sequence FROM contigs WHERE id = 'part_3' UNION ALL SELECT 'part_7:100', substr(s, 100, 1) FROM contigs WHERE id = 'part_7' UNION ALL SELECT 'part_9:20-5', {RC.replace('translate(s,', 'translate(substr(s, 5, 16),')} FROM contigs WHERE id = 'part_9' UNION ALL SELECT 'part_4', s FROM contigs WHERE id = 'part_4'")
