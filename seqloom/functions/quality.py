@@ -136,6 +136,22 @@ def count_at_least(quality: str | Column, score: int, encoding: str = "phred33")
     return _measure(quality, encoding, "int", lambda v, n: kernels.by_row(np.add, (v >= score).astype(np.int64), n, 0))
 
 
+def measures(quality: str | Column, encoding: str = "phred33") -> Column:
+    """struct of total, min, max, q20, q30 (scores of so much at least) and err (sum of error
+    probabilities): one pass over a batch for all of them. 0 if empty or null."""
+    offset = offset_of(encoding)
+
+    @F.pandas_udf("total long, min int, max int, q20 int, q30 int, err double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        codes, lengths = kernels.flat(texts)
+        v = codes.astype(np.int64) - offset
+        sums = lambda x: kernels.by_row(np.add, x, lengths, 0)
+        out = {"total": sums(v), "min": kernels.by_row(np.minimum, v, lengths, 0), "max": kernels.by_row(np.maximum, v, lengths, 0), "q20": sums((v >= 20).astype(np.int64)), "q30": sums((v >= 30).astype(np.int64)), "err": kernels.by_row(np.add, 10.0 ** (-v / 10.0), lengths, 0.0)}
+        return pd.DataFrame(out)
+
+    return run(_c(quality))
+
+
 def quality_stats(quality: str | Column, encoding: str = "phred33") -> Column:
     """struct of min, max, mean, median, q1, q3, std_dev (population) and count."""
 

@@ -118,34 +118,55 @@ def paired_records(r1: DataFrame, r2: DataFrame, check_ids: str | None = None) -
     return out.filter(pair_id(F.col("r1")["id"]) == pair_id(F.col("r2")["id"])) if check_ids == "skip" else out
 
 
-def best_overlap(a: np.ndarray, b: np.ndarray, diff_max: int, min_overlap: int, diff_percent: float, min_comparisons: int) -> int | None:
-    """The place in a where b (already turned) begins, negative if b begins before a: the first, from
-    the longest overlap on, with few enough differences among comparable bases."""
-    best = None
-    for shift in [*range(0, len(a) - min_overlap + 1), *range(-1, -(len(b) - min_overlap) - 1, -1)]:
-        x, y = (a[shift : shift + len(b)], b[: len(a) - shift]) if shift >= 0 else (a[: len(b) + shift], b[-shift : -shift + len(a)])
-        n = min(len(x), len(y))
-        if n < min_overlap:
-            continue
-        x, y = x[:n], y[:n]
-        known = (x != 78) & (y != 78)
-        if known.sum() < min_comparisons:
-            continue
-        wrong = int(((x != y) & known).sum())
-        if wrong <= min(diff_max, diff_percent * n):
-            best = shift
-            break
-    return best
-
-
-def merge_one(s1: str, q1: str, s2: str, q2: str, diff_max: int, min_overlap: int, diff_percent: float, min_comparisons: int, max_quality: int, validate: float | None, correct: bool) -> tuple[str, str] | None:
-    """Consensus of two overlapping reads, or None. Where they agree the qualities add up to max_quality;
-    where they differ the better base stays with the difference of qualities."""
-    turned = s2.upper().translate(str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO))[::-1]
-    a, b = np.frombuffer(s1.upper().encode("latin-1"), np.uint8), np.frombuffer(turned.encode("latin-1"), np.uint8)
-    shift = best_overlap(a, b, diff_max, min_overlap, diff_percent, min_comparisons)
-    if shift is None:
-        return None
+#: Pairs whose overlaps are searched at once.
+ROWS = 1000
+
+
+def _padded(rows: list[bytes], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of one width, and their lengths."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.full((len(rows), max(1, int(lengths.max(initial=0)))), pad, np.uint8)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer(b"".join(rows), np.uint8)
+    return out, lengths
+
+
+def best_overlaps(first: list[bytes], second: list[bytes], diff_max: int, min_overlap: int, diff_percent: float, min_comparisons: int) -> list[int | None]:
+    """For each pair the place in the first read where the second (already turned) begins, negative if it
+    begins before: the first, from the longest overlap on, with few enough differences among comparable
+    bases. All pairs of a group are tried at one shift after the other."""
+    out: list[int | None] = []
+    for k in range(0, len(first), ROWS):
+        (a, la), (b, lb) = _padded(first[k : k + ROWS], 0), _padded(second[k : k + ROWS], 1)
+        found, open_ = np.zeros(len(la), np.int64), np.ones(len(la), bool)
+        for shift in [*range(0, int(la.max(initial=0)) - min_overlap + 1), *range(-1, -(int(lb.max(initial=0)) - min_overlap) - 1, -1)]:
+            x0, y0 = max(0, shift), max(0, -shift)
+            n = np.minimum(la - x0, lb - y0)
+            rows = np.flatnonzero(open_ & (n >= max(1, min_overlap)))
+            if not len(rows):
+                continue
+            n = n[rows]
+            w = int(n.max())
+            x, y = a[rows, x0 : x0 + w], b[rows, y0 : y0 + w]
+            known = (x != 78) & (y != 78) & (np.arange(w) < n[:, None])
+            wrong = ((x != y) & known).sum(1)
+            good = rows[(known.sum(1) >= min_comparisons) & (wrong <= np.minimum(diff_max, diff_percent * n))]
+            found[good], open_[good] = shift, False
+        out += [None if o else s for o, s in zip(open_.tolist(), found.tolist(), strict=True)]
+    return out
+
+
+def turned(seq: str) -> bytes:
+    return seq.upper().translate(_TURN)[::-1].encode("latin-1")
+
+
+_TURN = str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO)
+
+
+def merge_one(first: bytes, q1: str, second: bytes, q2: str, shift: int, max_quality: int, validate: float | None, correct: bool) -> tuple[str, str] | None:
+    """Consensus of two reads (the second turned) that overlap at shift, or None. Where they agree the
+    qualities add up to max_quality; where they differ the better base stays with the difference of
+    qualities."""
+    a, b = np.frombuffer(first, np.uint8), np.frombuffer(second, np.uint8)
     qa, qb = np.frombuffer(q1.encode("latin-1"), np.uint8).astype(int) - 33, np.frombuffer(q2[::-1].encode("latin-1"), np.uint8).astype(int) - 33
     lo = max(0, shift)
     n = min(len(a) - lo, len(b) - (lo - shift))
@@ -185,9 +206,11 @@ def merge_pairs(
 
     @F.pandas_udf("sequence string, quality string")
     def merged(s1: pd.Series, q1: pd.Series, s2: pd.Series, q2: pd.Series) -> pd.DataFrame:
+        first, second = [s.upper().encode("latin-1") for s in s1], [turned(s) for s in s2]
+        shifts = best_overlaps(first, second, overlap_diff_max, min_overlap, diff_percent_max, min_comparisons)
         got = [
-            merge_one(*x, overlap_diff_max, min_overlap, diff_percent_max, min_comparisons, max_output_quality, least, correct_overlap) or (None, None)
-            for x in zip(s1, q1, s2, q2, strict=True)
+            (None if shift is None else merge_one(a, qa, b, qb, shift, max_output_quality, least, correct_overlap)) or (None, None)
+            for a, qa, b, qb, shift in zip(first, q1, second, q2, shifts, strict=True)
         ]
         return pd.DataFrame(got, columns=["sequence", "quality"])
 

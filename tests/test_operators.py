@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,43 @@ def test_frame_chain(spark):
     assert f.map(lambda r: r | {"id": r["id"].upper()}).collect()[0]["id"] == "S0"
     assert f.flat_map(lambda r: [r, r]).count() == 60
     assert len(list(f.head(3))) == 3
+
+
+def plain_overlap(a: np.ndarray, b: np.ndarray, diff_max: int, min_overlap: int, diff_percent: float, min_comparisons: int) -> int | None:
+    """The place in a where b (already turned) begins, negative if b begins before a: the first, from
+    the longest overlap on, with few enough differences among comparable bases."""
+    best = None
+    for shift in [*range(0, len(a) - min_overlap + 1), *range(-1, -(len(b) - min_overlap) - 1, -1)]:
+        x, y = (a[shift : shift + len(b)], b[: len(a) - shift]) if shift >= 0 else (a[: len(b) + shift], b[-shift : -shift + len(a)])
+        n = min(len(x), len(y))
+        if n < min_overlap:
+            continue
+        x, y = x[:n], y[:n]
+        known = (x != 78) & (y != 78)
+        if known.sum() < min_comparisons:
+            continue
+        wrong = int(((x != y) & known).sum())
+        if wrong <= min(diff_max, diff_percent * n):
+            best = shift
+            break
+    return best
+
+
+def test_overlaps_of_a_batch_equal_plain_ones(monkeypatch):
+    import random
+
+    r = random.Random(5)
+    monkeypatch.setattr(pairing, "ROWS", 7)
+    first, second = [], []
+    for _ in range(120):
+        core = "".join(r.choice("ACGT") for _ in range(r.randint(0, 60)))
+        cut = r.randint(0, 30)
+        a, b = core[: len(core) - cut // 2] + "ACGTN"[: r.randrange(5)], core[cut:] + "".join(r.choice("ACGTN") for _ in range(r.randrange(12)))
+        b = "".join(c if r.random() > 0.04 else r.choice("ACGTN") for c in b)
+        if r.random() < 0.3:
+            a, b = b, a
+        first.append(a.encode())
+        second.append(b.encode())
+    got = pairing.best_overlaps(first, second, 5, 10, 0.2, 10)
+    want = [plain_overlap(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), 5, 10, 0.2, 10) for a, b in zip(first, second, strict=True)]
+    assert got == want and any(x is not None and x < 0 for x in want) and None in want
