@@ -7,12 +7,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions.bases import COMPLEMENT_FROM, COMPLEMENT_TO
 from seqloom.functions.coords import pair_id, pair_side
-from seqloom.operators.ranking import with_rank
+from seqloom.operators.ranking import with_number, with_rank
 from seqloom.schema import ORD, PairSyncError, require
 
 UNPAIRED = ("skip", "warn", "error")
@@ -23,15 +22,15 @@ def _sides(df: DataFrame, other: DataFrame | None, key: Column | None) -> tuple[
 
     def named(d: DataFrame) -> DataFrame:
         d = d.withColumn("_pid", key if key is not None else pair_id("id"))
-        return d.withColumn("_n", F.row_number().over(W.partitionBy("_pid").orderBy(ORD)))
+        return with_number(d, ["_pid"], "_n")
 
     if other is not None:
         return named(df), named(other)
     # one stream: the side from the name's mark, otherwise by arrival, first and second in turn
     all_reads = df.withColumn("_pid", key if key is not None else pair_id("id"))
-    arrival = (F.row_number().over(W.partitionBy("_pid").orderBy(ORD)) - 1) % 2 + 1
-    sided = all_reads.withColumn("_side", F.coalesce(pair_side("id"), arrival))
-    numbered = sided.withColumn("_n", F.row_number().over(W.partitionBy("_pid", "_side").orderBy(ORD)))
+    arrived = with_number(all_reads, ["_pid"], "_arrival")
+    sided = arrived.withColumn("_side", F.coalesce(pair_side("id"), (F.col("_arrival") - 1) % 2 + 1)).drop("_arrival")
+    numbered = with_number(sided, ["_pid", "_side"], "_n")
     return numbered.filter("_side = 1").drop("_side"), numbered.filter("_side = 2").drop("_side")
 
 

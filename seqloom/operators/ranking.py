@@ -25,6 +25,21 @@ def with_rank(df: DataFrame, name: str, order: str = ORD) -> DataFrame:
     return cells.withColumn("_inside", inside).join(starts, "_cell").withColumn(name, F.col("_before") + F.col("_inside")).drop("_cell", "_before", "_inside")
 
 
+def with_number(df: DataFrame, keys: list[str], name: str, order: str = ORD) -> DataFrame:
+    """Adds the 1-based place of each row among those of its key, by a unique long column. A task ranks
+    the rows of a key in one cell of neighbouring values; what lies in the cells before is looked up for
+    keys of several cells only, so a key with most of the rows is the work of many tasks."""
+    at = [*keys, "_cell"]
+    cells = df.withColumn("_cell", F.floor(F.col(order) / CELL))
+    counts = cells.groupBy(*at).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(k).alias(f"_at{i}") for i, k in enumerate(at)], before.alias("_before")).filter("_before > 0")
+    ranked = cells.withColumn("_inside", F.row_number().over(W.partitionBy(*at).orderBy(order)))
+    same = [ranked[k].eqNullSafe(starts[f"_at{i}"]) for i, k in enumerate(at)]
+    joined = ranked.join(starts, same, "left")
+    return joined.select(*df.columns, (F.col("_inside") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
 def enumerate_records(df: DataFrame, name: str = "index") -> DataFrame:
     """Adds the 0-based place of each record in the stream."""
     return with_rank(df, name).withColumn(name, F.col(name) - 1)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import quality as q
+from seqloom.operators.ranking import with_number
 from seqloom.schema import ORD, SeqError, require
 
 
@@ -68,11 +68,12 @@ def dedup_stats(df: DataFrame, by: str | Column = "sequence", case_sensitive: bo
 def rename(df: DataFrame, by_name: bool = False, separator: str = "_", start: int = 2, rename_first: bool = False) -> DataFrame:
     """The second and later records of an id get `id<separator><number>` counting from start; with
     rename_first all do. by_name tells records apart by id and description."""
-    key = [F.col("id"), F.coalesce("description", F.lit(""))] if by_name else [F.col("id")]
-    n = F.row_number().over(W.partitionBy(*key).orderBy(ORD))
+    key = {"_id": F.col("id")} | ({"_said": F.coalesce("description", F.lit(""))} if by_name else {})
+    numbered = with_number(df.withColumns(key), list(key), "_n")
+    n = F.col("_n")
     number = n - 1 + start if rename_first else n - 2 + start
     changed = F.concat("id", F.lit(separator), number.cast("string"))
-    return df.withColumn("id", changed if rename_first else F.when(n > 1, changed).otherwise(F.col("id")))
+    return numbered.withColumn("id", changed if rename_first else F.when(n > 1, changed).otherwise(F.col("id"))).drop("_n", *key)
 
 
 def concat(sources: list[DataFrame], conflict: str = "error", suffix: str = "_src", validate_formats: bool = True) -> DataFrame:
@@ -86,7 +87,6 @@ def concat(sources: list[DataFrame], conflict: str = "error", suffix: str = "_sr
         require(formats < 2, "sources have different formats")
     tagged = [s.withColumn("_src", F.lit(i)) for i, s in enumerate(sources)]
     all_rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-    n = F.row_number().over(W.partitionBy("id").orderBy("_src", ORD))
     if conflict == "error":
         again = all_rows.groupBy("id").count().filter("count > 1").limit(1).collect()
         if again:
@@ -95,15 +95,17 @@ def concat(sources: list[DataFrame], conflict: str = "error", suffix: str = "_sr
     elif conflict == "ignore":
         out = first_of(all_rows, [F.col("id")], [F.col("_src")])
     else:
-        numbered = all_rows.withColumn("_n", n)
+        placed = all_rows.withColumns({"_place": F.col("_src").cast("long") * F.lit(1 << 48) + F.col(ORD), "_id": F.col("id")})
+        numbered = with_number(placed, ["_id"], "_n", "_place")
         lead = suffix if suffix.startswith("_") else f"_{suffix}"
         if conflict == "rename":
             new = F.concat("id", F.lit("_"), (F.col("_n") - 1).cast("string"))
         else:
             stem = F.concat("id", F.lit(lead), F.col("_src").cast("string"))
-            again = F.row_number().over(W.partitionBy("id", "_src", F.col("_n") == 1).orderBy(ORD)) - 1
+            numbered = with_number(numbered.withColumn("_first", F.col("_n") == 1), ["_id", "_src", "_first"], "_again", "_place")
+            again = F.col("_again") - 1
             new = F.when(again == 0, stem).otherwise(F.concat(stem, F.lit("_"), again.cast("string")))
-        out = numbered.withColumn("id", F.when(F.col("_n") > 1, new).otherwise(F.col("id"))).drop("_n")
+        out = numbered.withColumn("id", F.when(F.col("_n") > 1, new).otherwise(F.col("id"))).drop("_n", "_id", "_place", "_first", "_again")
     return out.withColumn(ORD, F.col("_src").cast("long") * F.lit(1 << 48) + F.col(ORD)).drop("_src")
 
 

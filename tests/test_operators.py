@@ -322,3 +322,31 @@ def test_overlaps_of_a_batch_equal_plain_ones(monkeypatch):
     got = pairing.best_overlaps(first, second, 5, 10, 0.2, 10)
     want = [plain_overlap(np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8), 5, 10, 0.2, 10) for a, b in zip(first, second, strict=True)]
     assert got == want and any(x is not None and x < 0 for x in want) and None in want
+
+
+def test_one_chromosome_and_one_id_for_most_rows(spark, monkeypatch):
+    """Ranks and islands over cells and bins, against plain loops."""
+    import random
+
+    r = random.Random(4)
+    monkeypatch.setattr(ranking, "CELL", 16)
+    monkeypatch.setattr(intervals, "BIN", 64)
+    ids = ["hot" if r.random() < 0.6 else f"i{r.randrange(20)}" for _ in range(300)]
+    df = from_rows(spark, [{"id": i, "sequence": "AC", "description": str(k % 3)} for k, i in enumerate(ids)]).repartition(5)
+    seen, want = {}, []
+    for i in ids:
+        seen[i] = seen.get(i, 0) + 1
+        want.append(i if seen[i] == 1 else f"{i}_{seen[i]}")
+    assert pick(sets.rename(df), "id") == want
+    both = sets.concat([df, df], conflict="suffix")
+    first = pick(both, "id")
+    assert first[300] == f"{ids[0]}_src1" and sum(x.startswith("hot_src0") for x in first) == ids.count("hot") - 1
+    beds = [("c1" if r.random() < 0.7 else f"c{r.randrange(3)}", a, a + r.choice([0, 3, 9, 200])) for a in (r.randrange(3000) for _ in range(250))]
+    got = sorted(tuple(x) for x in intervals.merge_overlapping(spark.createDataFrame(beds, "chromosome string, start long, end long")).collect())
+    plain = []
+    for c, a, b in sorted(beds):
+        if plain and plain[-1][0] == c and a <= plain[-1][2]:
+            plain[-1][2] = max(b, plain[-1][2])
+        else:
+            plain.append([c, a, b])
+    assert got == [tuple(x) for x in plain]
