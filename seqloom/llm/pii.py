@@ -159,9 +159,8 @@ def row_key(doc_id: Column, text: Column) -> Column:
 FEW = 100_000
 
 
-def _once(base: DataFrame, again: DataFrame) -> DataFrame:
-    """base with one row of those that have the keys `again`."""
-    n = again.count()
+def _once(base: DataFrame, again: DataFrame, n: int) -> DataFrame:
+    """base with one row of those that have one of the n keys `again`."""
     if not n:
         return base
     again = F.broadcast(again) if n <= FEW else again.hint("merge")
@@ -176,8 +175,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     spans = base.select("doc_id", "key", "text", base_spans(F.col("text")).alias("spans"))
     told = written(spans.select("doc_id", "key", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")))
     rows = told.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    n_docs = rows.count()
-    again = cut(rows.filter("n > 1").select("key"))
+    counted = rows.agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.col("n") > 1).alias("again")).first()
+    n_docs = counted["docs"]
     named = told.select("key", F.explode(F.array_distinct(F.transform("spans", lambda s: entity(s["kind"], s["value"])))).alias("entity")).distinct()
     named = cut(named)
     of_entity = named.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") >= support)
@@ -189,7 +188,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     top = mentions.agg(F.max(most).alias("m")).first()["m"] or 0.0
     # in how many documents each term stands: the words of all texts, counted task by task before the
     # shuffle
-    words = _once(base.select("key", "text"), again).select("key", F.explode(terms_of(F.col("text"))).alias("term"))
+    words = _once(base.select("key", "text"), rows.filter("n > 1").select("key"), counted["again"]).select(F.explode(terms_of(F.col("text"))).alias("term"))
     rows_of = cut(words.filter(F.length("term") >= 2).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t").between(support, top)))
     held = told.filter(F.col("text").isNotNull()).join(mentions.select("key").distinct().hint("merge"), "key", "left_semi")
     held = held.dropDuplicates(["key"]).select("key", F.explode(terms_of(F.col("text"))).alias("term"))
@@ -199,7 +198,7 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     information = F.log2(n / F.col("n_e"))
     mutual = F.log2(F.col("n_te") * n / (F.col("n_e") * F.col("n_t")))
     risky = judged.filter((information > 0) & (mutual >= threshold * information)).select("entity", "term")
-    said = cut(_dealt(pairs, risky, ["entity", "term"]).select("key", "term").distinct())
+    said = _dealt(pairs, risky, ["entity", "term"]).select("key", "term").distinct()
     texts = told.filter(F.col("text").isNotNull()).join(said.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     at = texts.select("key", F.explode(word_places(F.col("text"))).alias("w")).select("key", F.col("w.term").alias("term"), F.struct("w.start", "w.end").alias("w"))
     marked = at.join(said.hint("merge"), ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list("w")).alias("words"))
