@@ -157,7 +157,7 @@ def folded_in_order(spark, sf_dir):
 def bloom_members(spark, sf_dir):
     """A Bloom filter finds all of its members."""
     u = q.reads(spark, sf_dir).select("sequence").distinct()
-    f = bloom.build(u, "sequence", 10_000, 0.01)
+    f = bloom.build(u, "sequence", max(1000, u.count()), 0.01)
     return u.agg(F.count(F.lit(1)).alias("members"), F.count_if(bloom.might_contain(f, "sequence")).alias("found"))
 
 

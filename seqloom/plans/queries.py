@@ -25,45 +25,50 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where its input has fewer splits than there are cores; otherwise as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by a key: the tables are files of few row groups, and what is derived from a row costs
+    far more than the row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _digest(key: Column, table: str, *salts: str) -> Column:
     return F.translate(F.concat(*[F.md5(F.concat(key.cast("string"), F.lit(s))) for s in salts]), HEX, table)
 
 
+def _key(n: str) -> Column:
+    """What sequences are made from: as many values as half of the rows."""
+    return F.expr(f"{n} div 70 * 35 + {n} % 35")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reads of 30 to 64 bases with qualities; every 700th has the same sequence."""
+    """Reads of 30 to 64 bases with qualities; of 70 neighbours, two each have one sequence."""
     n = F.col("event_id")
     length = (30 + n % 35).cast("int")
-    e = spread(_table(spark, sf_dir, "events").select("event_id", "user_id"))
+    e = spread(_table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
     return conform(
         e.select(
             n.alias(ORD), F.concat(F.lit("read_"), n.cast("string")).alias("id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("description"),
-            F.substr(_digest(n % 700, LETTERS, "a", "b"), F.lit(1), length).alias("sequence"), F.substr(_digest(n, SCORES, "q", "r"), F.lit(1), length).alias("quality"), F.lit("phred33").alias("quality_encoding"),
+            F.substr(_digest(_key("event_id"), LETTERS, "a", "b"), F.lit(1), length).alias("sequence"), F.substr(_digest(n, SCORES, "q", "r"), F.lit(1), length).alias("quality"), F.lit("phred33").alias("quality_encoding"),
         )
     )
 
 
 READS = f"""reads AS (SELECT event_id AS o, 'read_' || CAST(event_id AS VARCHAR) AS id, 'user ' || CAST(user_id AS VARCHAR) AS description,
- substr(translate(md5(CAST(event_id % 700 AS VARCHAR) || 'a') || md5(CAST(event_id % 700 AS VARCHAR) || 'b'), '{HEX}', '{LETTERS}'), 1, CAST(30 + event_id % 35 AS INTEGER)) AS s,
+ substr(translate(md5(CAST(event_id // 70 * 35 + event_id % 35 AS VARCHAR) || 'a') || md5(CAST(event_id // 70 * 35 + event_id % 35 AS VARCHAR) || 'b'), '{HEX}', '{LETTERS}'), 1, CAST(30 + event_id % 35 AS INTEGER)) AS s,
  substr(translate(md5(CAST(event_id AS VARCHAR) || 'q') || md5(CAST(event_id AS VARCHAR) || 'r'), '{HEX}', '{SCORES}'), 1, CAST(30 + event_id % 35 AS INTEGER)) AS q FROM events)"""
 
 
 def order_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other reads with some ids and some sequences in common with reads()."""
     n = F.col("o_orderkey")
-    key = 350 + n % 1000
-    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey"))
+    key = _key("o_orderkey")
+    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     length = (30 + key % 35).cast("int")
     return conform(o.select(n.alias(ORD), F.concat(F.lit("read_"), n.cast("string")).alias("id"), F.substr(_digest(key, LETTERS, "a", "b"), F.lit(1), length).alias("sequence"), F.repeat(F.lit("I"), length).alias("quality"), F.lit("phred33").alias("quality_encoding")))
 
 
 OTHERS = f"""others AS (SELECT o_orderkey AS o, 'read_' || CAST(o_orderkey AS VARCHAR) AS id,
- substr(translate(md5(CAST(350 + o_orderkey % 1000 AS VARCHAR) || 'a') || md5(CAST(350 + o_orderkey % 1000 AS VARCHAR) || 'b'), '{HEX}', '{LETTERS}'), 1, CAST(30 + (350 + o_orderkey % 1000) % 35 AS INTEGER)) AS s FROM orders)"""
+ substr(translate(md5(CAST(o_orderkey // 70 * 35 + o_orderkey % 35 AS VARCHAR) || 'a') || md5(CAST(o_orderkey // 70 * 35 + o_orderkey % 35 AS VARCHAR) || 'b'), '{HEX}', '{LETTERS}'), 1, CAST(30 + o_orderkey % 35 AS INTEGER)) AS s FROM orders)"""
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ PLAIN = READS + ", plain AS (SELECT o, id, description, q, translate(s, 'N', 'T'
 
 
 def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"))
+    li = spread(_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l_orderkey")
     o = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     return conform(
         li.select(
@@ -101,7 +106,7 @@ BEDS = "beds AS (SELECT l_orderkey * 10 + l_linenumber AS o, 'c' || CAST(l_suppk
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spread(_table(spark, sf_dir, "part").select("p_partkey"))
+    p = spread(_table(spark, sf_dir, "part").select("p_partkey"), "p_partkey")
     return conform(p.select(F.col("p_partkey").alias(ORD), F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"), _digest(F.col("p_partkey"), LETTERS.replace("N", "T"), "a", "b", "c", "d").alias("sequence")))
 
 
@@ -110,7 +115,7 @@ CONTIGS = f"""contigs AS (SELECT p_partkey AS o, 'part_' || CAST(p_partkey AS VA
 
 def _mates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """First mates from orders, second ones from their first line items, where these were returned or accepted."""
-    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey"))
+    o = spread(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
     a = o.select(F.col("o_orderkey").alias(ORD), F.concat(F.lit("p"), F.col("o_orderkey").cast("string"), F.lit("/1")).alias("id"), _digest(F.col("o_orderkey"), LETTERS.replace("N", "A"), "a", "b").alias("sequence"))
     li = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_returnflag <> 'N'").select("l_orderkey").distinct()
     b = li.select(F.col("l_orderkey").alias(ORD), F.concat(F.lit("p"), F.col("l_orderkey").cast("string"), F.lit("/2")).alias("id"), _digest(F.col("l_orderkey"), LETTERS.replace("N", "A"), "b", "c").alias("sequence"))
