@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.schema import require
 
 
+def hashes(items) -> np.ndarray:
+    """64-bit hashes of strings, the same as the JVM's; numbers are hashes already."""
+    if isinstance(items, np.ndarray):
+        return items.astype(np.int64).view(np.uint64)
+    return np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in items], np.uint64)
+
+
 class BloomFilter:
     """m = -n ln p / ln(2)^2 bits, k = m / n ln 2 places for each item."""
 
@@ -24,25 +31,26 @@ class BloomFilter:
         self.bits = np.zeros(-(-self.n_bits // 8), np.uint8)
         self.count = 0
 
-    def _places(self, item: str) -> list[int]:
-        h = hashlib.blake2b(item.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        a, b = int.from_bytes(h[:8], "big"), int.from_bytes(h[8:], "big") | 1
-        return [(a + i * b) % self.n_bits for i in range(self.n_hashes)]
+    def _places(self, items) -> np.ndarray:
+        """(item, hash): the places of items, or of their 64-bit hashes."""
+        a = hashes(items)
+        b = (a ^ a >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
+        return (a[:, None] + np.arange(self.n_hashes, dtype=np.uint64) * b[:, None]) % np.uint64(self.n_bits)
 
     def add(self, item: str) -> None:
-        for p in self._places(item):
-            self.bits[p >> 3] |= 1 << (p & 7)
-        self.count += 1
+        self.add_many([item])
 
     def add_many(self, items) -> None:
-        for x in items:
-            self.add(x)
+        p = self._places(items).ravel()
+        np.bitwise_or.at(self.bits, p >> np.uint64(3), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+        self.count += len(items)
 
     def contains(self, item: str) -> bool:
-        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self._places(item))
+        return bool(self.contains_many([item])[0])
 
-    def contains_many(self, items) -> list[bool]:
-        return [self.contains(x) for x in items]
+    def contains_many(self, items) -> np.ndarray:
+        p = self._places(items)
+        return (self.bits[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8) & 1).all(1)
 
     def _like(self, other: BloomFilter, bits: np.ndarray) -> BloomFilter:
         require(self.n_bits == other.n_bits and self.n_hashes == other.n_hashes, "filters of different size")
@@ -67,21 +75,19 @@ class CountingBloomFilter(BloomFilter):
         super().__init__(expected, false_positive_rate)
         self.counters = np.zeros(self.n_bits, np.uint32)
 
-    def add(self, item: str) -> None:
-        for p in self._places(item):
-            self.counters[p] += 1
-        self.count += 1
+    def add_many(self, items) -> None:
+        np.add.at(self.counters, self._places(items).ravel(), 1)
+        self.count += len(items)
 
     def remove(self, item: str) -> bool:
         if not self.contains(item):
             return False
-        for p in self._places(item):
-            self.counters[p] -= 1
+        np.subtract.at(self.counters, self._places([item]).ravel(), 1)
         self.count -= 1
         return True
 
-    def contains(self, item: str) -> bool:
-        return all(self.counters[p] for p in self._places(item))
+    def contains_many(self, items) -> np.ndarray:
+        return (self.counters[self._places(items)] > 0).all(1)
 
 
 class ScalableBloomFilter:
@@ -107,10 +113,11 @@ def build(df: DataFrame, item: str, expected: int, false_positive_rate: float =
     def fill(batches):
         f = BloomFilter(expected, false_positive_rate)
         for batch in batches:
-            f.add_many(batch[item].dropna())
+            f.add_many(batch["h"].to_numpy(np.int64))
         yield pd.DataFrame({"bits": [f.bits.tobytes()], "n": [f.count]})
 
-    parts = df.select(F.col(item).cast("string").alias(item)).mapInPandas(fill, "bits binary, n long")
+    hashed = df.filter(F.col(item).isNotNull()).select(F.xxhash64(F.col(item).cast("string")).alias("h"))
+    parts = hashed.mapInPandas(fill, "bits binary, n long")
     bits, n = parts.rdd.map(lambda r: (bytes(r["bits"]), r["n"])).treeReduce(lambda a, b: ((np.frombuffer(a[0], np.uint8) | np.frombuffer(b[0], np.uint8)).tobytes(), a[1] + b[1]))
     out = BloomFilter(expected, false_positive_rate)
     out.bits, out.count = np.frombuffer(bits, np.uint8).copy(), n
@@ -118,10 +125,12 @@ def build(df: DataFrame, item: str, expected: int, false_positive_rate: float =
 
 
 def might_contain(f: BloomFilter, item: str | Column) -> Column:
-    """Member test as a column; the filter travels with the function, so it should be small."""
+    """Member test as a column, over whole batches of hashes that the JVM takes; the filter travels with
+    the function, so it should be small. A null is no member."""
+    c = (F.col(item) if isinstance(item, str) else item).cast("string")
 
     @F.pandas_udf("boolean")
-    def of(items: pd.Series) -> pd.Series:
-        return pd.Series([x is not None and f.contains(x) for x in items])
+    def of(hashed: pd.Series) -> pd.Series:
+        return pd.Series(f.contains_many(hashed.to_numpy(np.int64)))
 
-    return of(F.col(item) if isinstance(item, str) else item)
+    return of(F.xxhash64(c)) & c.isNotNull()
