@@ -3,12 +3,17 @@ and returns what came back; their SQL says what was written."""
 
 from __future__ import annotations
 
+import re
+import struct
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from seqloom.operators import pairing, ranking, regions, splitting, tabular
 from seqloom.plans import queries as q
 from seqloom.plans.frame import SeqFrame
-from seqloom.plans.queries import query
+from seqloom.plans.queries import _long, query
 from seqloom.schema import ORD
 from seqloom.sources import detect, readers, sinks
 from seqloom.sources.scratch import folder
@@ -70,6 +75,37 @@ def sam_round_trip(spark, sf_dir):
     return readers.read_sam(spark, path).select("id", F.col("flag").cast("long").alias("flag"), "reference_sequence", "position", "cigar", "sequence", "quality")
 
 
+def _bam(batches):
+    """Alignments as the bytes of a BAM file, in blocks of 20,000 bytes that records may cross."""
+    names = [f"chr{i}" for i in range(5)]
+    data = b"BAM\x01" + struct.pack("<ii", 0, len(names)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", 1 << 28) for n in names)
+    rows = []
+    for batch in batches:
+        for r in batch.itertuples(index=False):
+            ops = [(int(n), o) for n, o in re.findall(r"(\d+)(\D)", r.cigar)]
+            bases = [readers.NIBBLES.index(c) for c in r.sequence] + [0] * (len(r.sequence) % 2)
+            body = struct.pack("<iiBBHHHiiii", names.index(r.reference_sequence), r.position - 1, len(r.id) + 1, r.mapping_quality, 0, len(ops), r.flag, len(r.sequence), -1, -1, 0)
+            body += r.id.encode() + b"\0" + b"".join(struct.pack("<I", n << 4 | readers.CIGAR.index(o)) for n, o in ops) + bytes(a << 4 | b for a, b in zip(bases[::2], bases[1::2], strict=True)) + b"\xff" * len(r.sequence)
+            rows.append(struct.pack("<i", len(body)) + body)
+    data += b"".join(rows)
+    out = b""
+    for part in [data[k : k + 20_000] for k in range(0, len(data), 20_000)] + [b""]:  # an empty block ends the file
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        raw = c.compress(part) + c.flush()
+        out += b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(raw) + 25) + raw + struct.pack("<II", zlib.crc32(part), len(part))
+    yield pd.DataFrame({"v": [out]})
+
+
+@query("bam_reading", f"WITH {q.ALIGNMENTS} SELECT id, CAST(flag AS BIGINT) AS flag, ref AS reference_sequence, CAST(pos AS BIGINT) AS position, CAST(mapq AS BIGINT) AS mapping_quality, '3S' || CAST(n - 3 AS VARCHAR) || 'M' AS cigar, s AS sequence, repeat('*', length(s)) AS quality FROM alignments WHERE n > 3")
+def bam_reading(spark, sf_dir):
+    """Files of blocks, one for each partition; what separates the rows of a text file is padding here."""
+    path = folder(spark, "bam")
+    a = q.alignments(spark, sf_dir).filter("length > 3").select("id", "flag", "reference_sequence", "position", "mapping_quality", "cigar", "sequence")
+    a.mapInPandas(_bam, "v binary").select(F.col("v").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    b = readers.read_bam(spark, path)
+    return b.select("id", _long("flag").alias("flag"), "reference_sequence", "position", _long("mapping_quality").alias("mapping_quality"), "cigar", "sequence", "quality")
+
+
 @query("sam_references", "SELECT n_name AS name, CAST(n_nationkey * 1000 + 7 AS BIGINT) AS length FROM nation")
 def sam_references(spark, sf_dir):
     path = folder(spark, "sam")
