@@ -60,3 +60,23 @@ def test_sequences(spark, docs, prose, vocabulary):
 
 def test_empty(docs, vocabulary):
     assert packing.pack(docs([])).count() == 0
+
+
+def test_op4_against_the_plain_tokenizer(spark, docs, prose, vocabulary, tmp_path):
+    from seqloom.llm.queries import QUERIES
+
+    rows = [(i, prose(i, i * 37 % 400)) for i in range(50)] + [(None, None), (90, ""), (91, "w\u00f6rter und <|x|> " * 9000)]
+    docs(rows).repartition(4).selectExpr("*", "doc_id as part", "text as ids", "text as before").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_packing"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    assert [t for _, t in got.dtypes] == ["bigint"] * 7
+    plain = tokenizers.Tokenizer.from_file(vocabulary)
+    ids = {i: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    out = sorted(got.collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    at, seen = 0, {}
+    for r in out:
+        assert (r["sequence_id"], r["offset"]) == divmod(at, 2048) and r["start"] == seen.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes()) and len(part) == r["length"] > 0
+        at, seen[r["doc_id"]] = at + r["length"], r["start"] + r["length"]
+    assert seen == {i: len(x) for i, x in ids.items()}

@@ -149,3 +149,23 @@ def test_terms_far_from_the_entity(spark, docs, prose):
         places = [m.start() for m in re.finditer("Quentinovich", text[i])]
         assert [s["start"] for s in found[i]["terms"]] == places and len(places) == 2
     assert all(not found[100 + i]["terms"] for i in range(60))
+
+
+def test_op6_against_brute_force(spark, docs, prose, tmp_path):
+    import hashlib
+
+    from seqloom.llm.queries import QUERIES
+
+    rows = [(i, t) for i, t in enumerate(texts()[:120])] + [(200 + i, f"{prose(i, 20)} Zanzibarian at z@mail.org or 10.1.2.3") for i in range(5)] + [(300 + i, prose(i, 30)) for i in range(30)] + [(None, None), (400, "")]
+    docs(rows).selectExpr("*", "text as spans", "doc_id as key", "text as terms").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op6_pii"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"] and [t for _, t in got.dtypes][1:5] == ["bigint"] * 4
+    terms = brute([(i, t or "") for i, t in rows])
+    want = []
+    for i, t in rows:
+        base = slow(t)
+        counts = [sum(s.startswith(f"{k}:") for s in base.split(",")) for k in PATTERNS]
+        said = [base] * bool(base) + [f"term:{a}:{b}" for a, b in terms[(i, t or "")]]
+        want.append((i, *counts, hashlib.sha256(base.encode()).hexdigest(), ",".join(said)))
+    assert any("term:" in w[-1] for w in want)
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())

@@ -64,3 +64,20 @@ def test_only_null_ids(docs):
 
 def test_empty(docs):
     assert simhash.drop_near_copies(docs([])).count() == 0
+
+
+def test_op9_against_all_pairs(spark, docs, prose, tmp_path):
+    from seqloom.llm.queries import QUERIES
+
+    rows = [(i, prose(i % 40, 200 + i % 40) + (" x" if i % 5 == 0 else "")) for i in range(120)]
+    rows += [(300, None), (301, ""), (None, ""), (302, "one"), (302, "one"), (303, "\u00c9t\u00c9 " * 30_000), (None, rows[7][1]), (304, "a b c"), (305, "A b  C")]
+    docs(rows).selectExpr("*", "doc_id as fp", "text as key", "text as component_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op9_simhash"](spark, str(tmp_path))
+    assert got.columns == ["doc_id", "fingerprint", "component_id"] and [t for _, t in got.dtypes] == ["bigint", "string", "bigint"]
+    prints = [slow(t) for _, t in rows]
+    root, best = roots(prints), {}
+    for (i, _), p in zip(rows, prints, strict=True):
+        if i is not None:
+            best[root[p]] = min(i, best.get(root[p], i))
+    want = [(i, f"{p:016x}", best.get(root[p])) for (i, _), p in zip(rows, prints, strict=True)]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
