@@ -89,13 +89,25 @@ def _masks(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mask[order], changes, np.append(first, len(mask))
 
 
-def _keys(fps: np.ndarray, bits: int) -> np.ndarray:
-    key, code = np.zeros(len(fps), np.int64), _codes(bits)
+def _keys(fps: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The XOR of the codes of each fingerprint's set bits."""
+    key = np.zeros(len(fps), np.int64)
     for i in range(64):
         key ^= np.where(fps >> np.uint64(i) & np.uint64(1), code[i], 0)
     return key
 
 
+@cache
+def _parts(bits: int, fine: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A second code of `fine` bits that deals the points of one key to parts; the flips of _masks, those of
+    one change sorted by how they change the part; those changes."""
+    code = np.random.default_rng([5, bits, fine]).integers(0, 1 << fine, 64)
+    mask, _, first = _masks(bits)
+    part = _keys(mask, code)
+    order = np.lexsort((part, np.repeat(np.arange(len(first) - 1), np.diff(first))))
+    return code, mask[order], part[order]
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links, each component a star around its smallest member."""
     nodes, where = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -118,28 +130,27 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _meet(fps: np.ndarray, key: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between the fingerprints whose points with this key meet."""
-    mask, changes, first = _masks(bits)
-    own = _keys(fps, bits) ^ key
-    at = np.searchsorted(changes, own)
-    counts = np.diff(first)[at]
-    total = int(counts.sum())
-    parts = max(1, 1 << max(0, math.ceil(math.log2(max(1, total / POINTS)))))
+    _, changes, first = _masks(bits)
+    at = np.searchsorted(changes, _keys(fps, _codes(bits)) ^ key)
+    total = int(np.diff(first)[at].sum())
+    fine = max(0, math.ceil(math.log2(max(1, total / POINTS))))
+    code, mask, part_of = _parts(bits, fine)
+    own = _keys(fps, code)
+    # fingerprints of one change and one part of their own: their points of a part come from one run of flips
+    order = np.lexsort((own, at))
+    edges = np.flatnonzero(np.diff(at[order]) | np.diff(own[order])) + 1
+    groups = [(g, int(at[g[0]]), int(own[g[0]])) for g in np.split(order, edges) if len(g)]
     got_a, got_b = [], []
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    for part in range(parts):  # a crowded key is expanded in parts, by a hash of the point
+    for part in range(1 << fine):  # a crowded key is expanded in parts, each point once
         points, owners = [], []
-        for c in np.unique(at):
-            who = np.flatnonzero(at == c)
-            flips = mask[first[c] : first[c + 1]]
-            for k in range(0, len(who), max(1, POINTS // len(flips))):
-                some = who[k : k + max(1, POINTS // len(flips))]
-                p = (fps[some][:, None] ^ flips[None, :]).ravel()
-                o = np.repeat(some, len(flips))
-                if parts > 1:
-                    here = (p * mix >> np.uint64(40)) % np.uint64(parts) == part
-                    p, o = p[here], o[here]
-                points.append(p)
-                owners.append(o)
+        for who, c, mine in groups:
+            lo, hi = (first[c] + np.searchsorted(part_of[first[c] : first[c + 1]], [part ^ mine, (part ^ mine) + 1])).tolist()
+            flips = mask[lo:hi]
+            if len(flips):
+                points.append((fps[who][:, None] ^ flips[None, :]).ravel())
+                owners.append(np.repeat(who, len(flips)))
+        if not points:
+            continue
         p, o = np.concatenate(points), np.concatenate(owners)
         order = np.argsort(p, kind="stable")
         p, o = p[order], o[order]
@@ -148,6 +159,8 @@ def _meet(fps: np.ndarray, key: int, bits: int, radius: int) -> tuple[np.ndarray
         near = np.bitwise_count(a ^ b) <= radius  # the check
         got_a.append(a[near])
         got_b.append(b[near])
+    if not got_a:
+        return fps[:0], fps[:0]
     return _forest(np.concatenate(got_a), np.concatenate(got_b))
 
 
@@ -166,7 +179,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
             x = batch["fp"].to_numpy(np.int64)
             for k in range(0, len(x), 4_000):
                 some = x[k : k + 4_000]
-                keys = _keys(some.view(np.uint64), bits)[:, None] ^ changes[None, :]
+                keys = _keys(some.view(np.uint64), _codes(bits))[:, None] ^ changes[None, :]
                 yield pd.DataFrame({"key": keys.ravel().astype(np.int32), "fp": np.repeat(some, len(changes))})
 
     def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:

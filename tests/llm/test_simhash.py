@@ -81,3 +81,23 @@ def test_op9_against_all_pairs(spark, docs, prose, tmp_path):
             best[root[p]] = min(i, best.get(root[p], i))
     want = [(i, f"{p:016x}", best.get(root[p])) for (i, _), p in zip(rows, prints, strict=True)]
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_a_crowded_key_in_parts_equals_all_pairs(monkeypatch):
+    """Meeting in one part, and in many, finds the same classes as all pairs."""
+    r = np.random.default_rng(7)
+    fps = r.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = [fps[k % 3] ^ sum((np.uint64(1) << np.uint64(b) for b in r.choice(64, r.integers(1, 7), replace=False)), np.uint64(0)) for k in range(150)]
+    fps = np.unique(np.concatenate([fps, np.array(near, np.uint64)]))
+    want = roots(fps.tolist())
+    for points in (1_000_000, 3_000, 200):
+        monkeypatch.setattr(simhash, "POINTS", points)
+        links = [simhash._meet(fps, key, 2, 4) for key in range(4)]
+        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+        low, high = simhash._forest(a, b)
+        mine = dict(zip(high.tolist(), low.tolist(), strict=True))
+        classes, other = {}, {}
+        for x in fps.tolist():
+            classes.setdefault(want[x], set()).add(x)
+            other.setdefault(mine.get(x, x), set()).add(x)
+        assert sorted(map(sorted, classes.values())) == sorted(map(sorted, other.values()))
