@@ -4,8 +4,8 @@ Rules vote good (1), bad (-1) or abstain (0) on every document; expectation-maxi
 counts of vote patterns estimates each rule's confusion with the hidden quality; the posterior
 probability of good quality decides, so no single rule can reject a document by itself.
 
-Plan: one pass takes the features of every text and writes them with what the caller keeps; vote
-patterns are counted (at most 3 ** len(RULES) rows reach the driver, whatever the input), EM runs on
+Plan: one pass takes the features of every text and writes them with the narrow columns that the caller
+keeps, or, where whole documents go on, takes them once more; vote patterns are counted (at most 3 ** len(RULES) rows reach the driver, whatever the input), EM runs on
 those counts, and the posteriors, a table of as many rows, are joined by broadcast. Nothing but the
 pattern counts is shuffled.
 
@@ -165,9 +165,11 @@ def fit(counts: dict[str, int], rounds: int = 100, tolerance: float = 1e-9) -> d
 
 def judge(docs: DataFrame, result: str, text: str = "text", threshold: float = 0.5, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs, all if not given, with a struct column `result` (in place of one of that
-    name): the base features, votes, posterior and kept."""
+    name): the base features, votes, posterior and kept. With `keep`, features are written once; whole
+    documents are measured twice, which costs as much as writing them and takes no disk."""
     kept_columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != result.lower()]
-    scored = written(docs.select(*kept_columns, feature_column(F.col(text)).alias(result)))
+    scored = docs.select(*kept_columns, feature_column(F.col(text)).alias(result))
+    scored = scored if keep is None else written(scored)
     votes, said, p = F.col(result)["votes"], fresh(scored, "_votes"), fresh(scored, "_posterior")
     posterior = fit({r["v"]: r["count"] for r in scored.groupBy(votes.alias("v")).count().collect()})  # at most 3 ** len(RULES) rows
     known = docs.sparkSession.createDataFrame(list(posterior.items()), f"{said} string, {p} double")
