@@ -5,9 +5,9 @@ counts of vote patterns estimates each rule's confusion with the hidden quality;
 probability of good quality decides, so no single rule can reject a document by itself.
 
 Plan: one pass takes the features of every text and writes them with the narrow columns that the caller
-keeps, or, where whole documents go on, takes them once more; vote patterns are counted (at most 3 ** len(RULES) rows reach the driver, whatever the input), EM runs on
-those counts, and the posteriors, a table of as many rows, are joined by broadcast. Nothing but the
-pattern counts is shuffled.
+keeps, or, where whole documents go on, takes them once more; vote patterns are counted (at most
+3 ** len(RULES) rows reach the driver, whatever the input), EM runs on those counts, and the posteriors,
+a table of as many rows, are joined by broadcast. Nothing but the pattern counts is shuffled.
 
 A rule votes only where it can tell. Function words are known for four languages, so many of them speak
 for a text and none of them says nothing.
