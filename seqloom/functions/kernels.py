@@ -36,3 +36,18 @@ def letters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.frombuffer(b"".join(rows), np.uint8), np.cumsum(lengths) - lengths, lengths
     return codes, offsets[:-1] - offsets[0], np.diff(offsets)
+
+
+def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As letters, with the code points of any text."""
+    rows = [t or "" for t in texts.to_pylist()]
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum(lengths) - lengths, lengths
+
+
+def padded(rows: list[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of rows in a matrix, `pad` behind their ends, and their lengths."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.full((len(rows), int(lengths.max(initial=0))), pad, np.uint32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, lengths

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions.bases import IUPAC
 from seqloom.functions.bind import let
-from seqloom.functions.kernels import letters
+from seqloom.functions.kernels import codes, letters, padded
 from seqloom.schema import require
 
 HITS = "array<struct<start:int,end:int,mismatches:int>>"
@@ -238,45 +238,61 @@ def has_within_edits(seq: str | Column, patterns: list[str], k: int, iupac: bool
     return of(_c(seq))
 
 
+#: Rows whose tables of common endings are kept at once.
+TABLES = 256
+
+
 def longest_common_substring(a: str | Column, b: str | Column) -> Column:
-    """The longest, the first in a of those."""
+    """The longest, the first in a of those. A letter of a at a time, for many rows at once: how long a
+    common substring ends at each letter of b."""
 
     @F.pandas_udf("string")
     def of(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = x or "", y or ""
-            yv = np.array(list(y))
-            row, best, end = np.zeros(len(y) + 1, np.int32), 0, 0
-            for i, ch in enumerate(x):
-                new = np.zeros_like(row)
-                new[1:] = np.where(yv == ch, row[:-1] + 1, 0) if len(y) else 0
-                row = new
-                if row.max() > best:
-                    best, end = int(row.max()), i + 1
-            out.append(x[end - best : end])
+        xs, ys = ([t or "" for t in side] for side in (left, right))
+        for k in range(0, len(xs), TABLES):
+            some = xs[k : k + TABLES]
+            x, _ = padded(some, 0)
+            y, _ = padded(ys[k : k + TABLES], 1)  # no letter has these codes, and they differ
+            table = np.zeros((len(some), y.shape[1] + 1), np.int32)
+            best, end = np.zeros(len(some), np.int32), np.zeros(len(some), np.int64)
+            for i in range(x.shape[1]):
+                table[:, 1:] = np.where(y == x[:, i, None], table[:, :-1] + 1, 0)
+                longest = table.max(1)
+                better = longest > best
+                best[better], end[better] = longest[better], i + 1
+            out += [t[e - n : e] for t, e, n in zip(some, end.tolist(), best.tolist(), strict=True)]
         return pd.Series(out)
 
     return of(_c(a), _c(b))
 
 
 def palindromes(seq: str | Column, min_length: int = 4, max_length: int | None = None) -> Column:
-    """array<struct<start, end>> of substrings that read the same backwards, by start, then length."""
+    """array<struct<start, end>> of substrings that read the same backwards, by start, then length. All
+    centres of a batch grow together, as long as their ends agree."""
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def of(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            t, found = t or "", []
-            longest = max_length or len(t)
-            for centre in range(2 * len(t) - 1):
-                a, b = centre // 2, centre // 2 + centre % 2
-                while a >= 0 and b < len(t) and t[a] == t[b] and b - a + 1 <= longest:
-                    if b - a + 1 >= min_length:
-                        found.append((a, b + 1))
-                    a, b = a - 1, b + 1
-            out.append([{"start": a, "end": b} for a, b in sorted(found)])
-        return pd.Series(out)
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def of(texts: pa.Array) -> pa.Array:
+        x, starts, lengths = codes(texts)
+        row = np.repeat(np.arange(len(lengths)), lengths)
+        found = []
+        for step in (0, 1):  # around a letter, and between two
+            a = np.arange(len(x))
+            b, r = a + step, row
+            while len(a):
+                inside = (a >= starts[r]) & (b < (starts + lengths)[r])
+                if max_length:
+                    inside &= b - a < max_length
+                a, b, r = a[inside], b[inside], r[inside]
+                same = x[a] == x[b]
+                a, b, r = a[same], b[same], r[same]
+                long = b - a + 1 >= min_length
+                found.append(np.stack([r[long], a[long] - starts[r[long]], b[long] + 1 - starts[r[long]]]))
+                a, b = a - 1, b + 1
+        r, begin, end = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        order = np.lexsort((end, begin, r))
+        places = pa.StructArray.from_arrays([pa.array(begin[order].astype(np.int32)), pa.array(end[order].astype(np.int32))], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(r, minlength=len(lengths)))]).astype(np.int32)), places)
 
     return of(_c(seq))
 
@@ -284,23 +300,11 @@ def palindromes(seq: str | Column, min_length: int = 4, max_length: int | None =
 def tandem_repeats(seq: str | Column, min_unit: int = 1, max_unit: int = 6, min_repeats: int = 2) -> Column:
     """array<struct<start, end, unit, repeats>>: from left to right, at each place the shortest unit
     that repeats; the scan goes on after the repeat."""
+    units = "|".join(f"(.{{{u}}})\\{u - min_unit + 1}{{{min_repeats - 1},}}" for u in range(min_unit, max_unit + 1))
 
     @F.pandas_udf("array<struct<start:int,end:int,unit:string,repeats:int>>")
     def of(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            t, found, i = t or "", [], 0
-            while i < len(t):
-                for u in range(min_unit, max_unit + 1):
-                    unit, n = t[i : i + u], 1
-                    while len(unit) == u and t[i + n * u : i + (n + 1) * u] == unit:
-                        n += 1
-                    if len(unit) == u and n >= min_repeats:
-                        found.append({"start": i, "end": i + n * u, "unit": unit, "repeats": n})
-                        i += n * u - 1
-                        break
-                i += 1
-            out.append(found)
-        return pd.Series(out)
+        scan = re.compile(units, re.S).finditer
+        return pd.Series([[{"start": m.start(), "end": m.end(), "unit": m[m.lastindex], "repeats": (m.end() - m.start()) // len(m[m.lastindex])} for m in scan(t or "")] for t in texts])
 
     return of(_c(seq))

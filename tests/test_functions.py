@@ -191,3 +191,31 @@ def test_blocks_and_sums(spark):
         assert [r[0] for r in df.select(cut(a, b)).collect()] == [text[a:b], "abc"[a:b], ""]
     got = df.select(bind.let(F.sequence(F.lit(1), F.length("t") + 1), patterns.prefix_sums).alias("s")).collect()
     assert got[1]["s"] == [1, 3, 6, 10] and got[0]["s"][-1] == 4501 * 4502 // 2
+
+
+def test_substrings_of_a_batch_equal_plain_ones(spark):
+    import random
+
+    r = random.Random(11)
+    rows = [("".join(r.choice("ACGé") for _ in range(r.randrange(30))), "".join(r.choice("ACGé") for _ in range(r.randrange(30)))) for _ in range(300)] + [(None, "A"), ("", ""), ("日本日", "本日")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, a string, b string")
+    got = df.select("i", patterns.longest_common_substring("a", "b").alias("c"), patterns.palindromes("a", 2, 9).alias("p"), patterns.tandem_repeats("a", 1, 3, 2).alias("t")).collect()
+    for g in got:
+        a, b = (x or "" for x in rows[g["i"]])
+        pieces = [a[i:j] for i in range(len(a)) for j in range(i + 1, len(a) + 1)]
+        common = [x for x in pieces if x in b]
+        top = max(map(len, common), default=0)
+        assert g["c"] == next((x for x in common if len(x) == top), "")
+        assert [tuple(p) for p in g["p"]] == [(i, j) for i in range(len(a)) for j in range(i + 2, min(len(a), i + 9) + 1) if a[i:j] == a[i:j][::-1]]
+        want, i = [], 0
+        while i < len(a):
+            for u in (1, 2, 3):
+                n = 1
+                while len(a[i : i + u]) == u and a[i + n * u : i + (n + 1) * u] == a[i : i + u]:
+                    n += 1
+                if n >= 2:
+                    want.append((i, i + n * u, a[i : i + u], n))
+                    i += n * u - 1
+                    break
+            i += 1
+        assert [tuple(t) for t in g["t"]] == want
