@@ -100,9 +100,13 @@ def entity(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), plain)
 
 
+#: From a word's first letter or digit to its last: what normal() leaves of it.
+CORE = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
+
+
 def terms_of(text: Column) -> Column:
-    """array<string>: the different terms of a text."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)), normal))
+    """array<string>: the different terms of a text, by one scan for what is left of its words."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({CORE})"), F.lit(1)), F.lower))
 
 
 def word_places(text: Column) -> Column:
