@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seqloom.functions.bind import let
 from seqloom.schema import SeqError, require
 
 #: Largest coordinate that the formats take.
@@ -84,8 +85,12 @@ def gtf_attributes(text: str | Column) -> Column:
         pairs,
         lambda p: F.struct(F.regexp_extract(p, r"^(\S+)", 1).alias("k"), F.regexp_replace(F.trim(F.regexp_extract(p, r"^\S+\s+(.*)$", 1)), '^"|"$', "").alias("v")),
     )
-    keys = F.array_distinct(F.transform(split, lambda x: x["k"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.transform(F.filter(split, lambda x: x["k"] == k), lambda x: x["v"])))
+
+    def of(found: Column) -> Column:
+        keys = F.array_distinct(F.transform(found, lambda x: x["k"]))
+        return let(keys, lambda ks: F.map_from_arrays(ks, F.transform(ks, lambda k: F.transform(F.filter(found, lambda x: x["k"] == k), lambda x: x["v"]))))
+
+    return let(split, of)
 
 
 def gtf_database(attributes: Column) -> Column:
