@@ -2,7 +2,7 @@
 
 Text formats with one record a line are read by Spark's text source and split into columns. FASTA is
 read with records as lines (a separator of two characters), FASTQ of four lines a record by numbering
-lines over splits. FASTQ whose records take any number of lines, and BAM, are streams that only their
+lines over splits, and a JSON document in pieces between opening braces. FASTQ whose records take any number of lines, and BAM, are streams that only their
 start makes readable: their pieces are read in splits, and one task a file walks them in order. No file
 is held whole, but for FASTQ compressed in a way that Spark's text source does not know.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import io
 import itertools
+import json
 import re
 import struct
 import zlib
@@ -444,15 +445,178 @@ def _from_json_rows(rows: DataFrame, fmt: str | None, encoding: str) -> DataFram
     )
 
 
+_JSON_SPACE = " \t\r\n"
+_JSON_TOKEN = re.compile(r'"(?:[^"\\]++|\\.)*+("?)|[\[\]{}]', re.S)
+_JSON_STRING_END = re.compile(r'(?:[^"\\]++|\\.)*+("?)', re.S)
+_JSON_NO_ROWS = re.compile(r'(?<!\\)"sequences"[ \t\r\n]*+:[ \t\r\n]*+(?!\[|null)')
+
+
+def _json_brackets(text: str, inside: bool) -> tuple[list[tuple[int, str, bool]], bool]:
+    """Brackets outside strings: place, bracket, whether it is the value of "sequences"; and whether text ends
+    inside a string. inside: text begins in one."""
+    at, last, found = 0, None, []
+    if inside:
+        m = _JSON_STRING_END.match(text)
+        if not m[1]:
+            return found, True
+        at = m.end()
+    for m in _JSON_TOKEN.finditer(text, at):
+        if m[0][0] != '"':
+            named = m[0] == "[" and last is not None and text[last.end() : m.start()].strip(_JSON_SPACE) == ":" and json.loads(last[0]) == "sequences"
+            found.append((m.start(), m[0], named))
+        elif not m[1]:
+            return found, True
+        else:
+            last = m
+    return found, False
+
+
+def _json_plain(piece: str) -> bool:
+    """Whether a piece that begins outside strings is a flat object and what separates it from the next one."""
+    return "[" not in piece and "]" not in piece and "\\" not in piece and piece.count("}") == 1 and piece.count('"') % 2 == 0 and piece.rfind('"') < piece.find("}")
+
+
+def _json_level(stack: list) -> int:
+    """How many brackets are open around a row; 0 where no rows can be."""
+    if stack and stack[0][0] == "[":
+        return 1
+    return 2 if len(stack) > 1 and stack[1][1] else 0
+
+
+def _json_close(stack: list, bracket: str) -> None:
+    if stack.pop()[0] + bracket not in ("[]", "{}"):
+        raise ParseError("brackets of a JSON document do not match")
+
+
+def _json_splits(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """(file, split, its pieces, each as its place and its text with the bracket before it)."""
+    rows = (x for b in batches for x in zip(b["_name"].tolist(), b["_block"].tolist(), b["value"].tolist(), strict=True))
+    for (name, block), own in itertools.groupby(rows, key=lambda x: x[:2]):
+        yield name, block, ((i, x[2] if block + i == 0 else "{" + x[2]) for i, x in enumerate(own))
+
+
+def _json_rows(pieces: Iterator[tuple[int, str]], block: int, start: int, inside: bool, stack: list, begun: bool) -> Iterator[tuple]:
+    """(`_ord`, block, whole, text) of the rows of a split, or of the parts of those that lie in several. start: what is
+    added to places; inside, stack, begun: what is open where the split begins, and whether the document has begun."""
+
+    def between(text: str, want: str) -> None:
+        if text.strip(_JSON_SPACE) != want:
+            raise ParseError(f"a JSON document has {text.strip(_JSON_SPACE)[:40]!r} where rows are expected")
+
+    def beside(text: str) -> None:
+        if len(stack) == 1 and not level and _JSON_NO_ROWS.search(text):
+            raise ParseError("sequences of a JSON document are no array")
+
+    level = _json_level(stack)
+    row, own, parts = stack[level][2] if level and len(stack) > level else None, False, []
+    for i, text in pieces:
+        if level and len(stack) == level and not inside and _json_plain(text):
+            end = text.index("}") + 1
+            between(text[end:], ",")
+            yield start + i, block, True, text[:end]
+            continue
+        found, ends_inside = _json_brackets(text, inside)
+        # at: what comes before belongs to a row or has been looked at; want: what stands between here and the next row
+        at, want, seen = 0, ",", 0
+        for place, c, named in found:
+            beside(text[seen : place + 1])
+            seen = place + 1
+            if c in "[{":
+                if not stack:
+                    between(text[at:place] + c * begun, "")
+                    begun = True
+                elif len(stack) == level:
+                    between(c, "{")
+                    row, own, at = start + i, True, place
+                stack.append((c, named, start + i))
+                if len(stack) == 1 or len(stack) == 2 and not level:
+                    level = _json_level(stack)
+                    if level == len(stack):
+                        at, want = place + 1, ""
+                continue
+            if not stack:
+                raise ParseError("brackets of a JSON document do not match")
+            if len(stack) == level:
+                between(text[at:place], "")
+            _json_close(stack, c)
+            if row is not None and len(stack) == level:
+                yield row, block, own, "".join(parts) + text[at : place + 1]
+                row, parts, at, want = None, [], place + 1, ","
+            elif len(stack) < level:
+                level, at = 0, place + 1
+            if not stack:
+                at = place + 1
+        beside(text[seen:])
+        inside = ends_inside
+        if row is not None:
+            parts.append(text[at:])
+        elif not stack:
+            between(text[at:], "")
+        elif len(stack) == level:
+            between(text[at:], want)
+    if row is not None:
+        yield row, block, False, "".join(parts)
+
+
 def read_json(spark: SparkSession, path: str, fmt: str | None = None, encoding: str = "phred33") -> DataFrame:
-    """A JSON array of rows, or an object with `sequences`."""
-    kind = T._parse_datatype_string(f"struct<sequences: array<struct<{_JSON_ROW.replace(' ', ':').replace(',:', ',')}>>>")
-    whole = spark.read.text(path, wholetext=True)
-    lead = F.substr(F.ltrim("value"), F.lit(1), F.lit(1))
-    text = F.when(lead == "[", F.concat(F.lit('{"sequences":'), F.col("value"), F.lit("}"))).otherwise(F.col("value"))
-    parsed = whole.select(F.from_json(text, kind, {"mode": "FAILFAST"}).alias("j"))
-    rows = parsed.select(F.posexplode("j.sequences").alias(ORD, "r")).select(F.col(ORD).cast("long"), "r.*")
-    return _from_json_rows(rows, fmt, encoding)
+    """A JSON array of rows, or an object with `sequences`; a document a file, on any number of lines.
+
+    Documents are read in splits, as pieces between opening braces. Whether a piece begins in a string, and in which
+    brackets, depends on all before it: quotes are counted by split, then each split tells which brackets it leaves open
+    and which it closes, and from a line for each split the driver says where each begins. Then rows are cut out and
+    parsed by themselves. What stands beside the rows is read for its brackets only."""
+    lines = spark.read.option("lineSep", "{").text(path)
+    pieces = lines.select("value", F.input_file_name().alias("_name"), F.input_file_block_start().alias("_block"))
+    number = {name: i for i, name in enumerate(sorted(set(lines.inputFiles())))}
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    quotes = pieces.groupBy("_name", "_block").agg(F.sum(F.length(plain) - F.length(F.translate(plain, '"', ""))).alias("n")).collect()
+    inside, odd = {}, dict.fromkeys(number, False)
+    for name, block, n in sorted(quotes):
+        inside[name, block] = odd[name]
+        odd[name] ^= n % 2 == 1
+    if any(odd.values()):
+        raise ParseError("a JSON document ends within a string")
+
+    def brackets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for name, block, own in _json_splits(batches):
+            now, closed, opened, start = inside[name, block], "", [], number[name] * FILE_SPAN + block
+            for i, text in own:
+                if not now and text[:1] == "{" and _json_plain(text):
+                    continue
+                found, now = _json_brackets(text, now)
+                for _, c, named in found:
+                    if c in "[{":
+                        opened.append((c, named, start + i))
+                    elif opened:
+                        _json_close(opened, c)
+                    else:
+                        closed += c
+            yield pd.DataFrame({"name": [name], "block": [block], "closed": [closed], "opened": [json.dumps(opened)]})
+
+    starts, stacks, begun = {}, {name: [] for name in number}, set()
+    for name, block, closed, opened in sorted(pieces.mapInPandas(brackets, "name string, block long, closed string, opened string").collect()):
+        stack = stacks[name]
+        starts[name, block] = inside[name, block], list(stack), name in begun
+        for c in closed:
+            if not stack:
+                raise ParseError("brackets of a JSON document do not match")
+            _json_close(stack, c)
+        stack += json.loads(opened)
+        if stack or closed:
+            begun.add(name)
+    if any(stacks.values()):
+        raise ParseError("a JSON document ends within brackets")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (x for name, block, own in _json_splits(batches) for x in _json_rows(own, block, number[name] * FILE_SPAN + block, starts[name, block][0], list(starts[name, block][1]), starts[name, block][2]))
+        while held := list(itertools.islice(rows, 4096)):
+            yield pd.DataFrame(held, columns=[ORD, "_block", "_whole", "text"])
+
+    rows = pieces.mapInPandas(cut, f"{ORD} long, _block long, _whole boolean, text string")
+    if any((n := _json_level(stack)) and len(stack) > n for _, stack, _ in starts.values()):  # rows in several splits
+        parts = rows.filter("NOT _whole").groupBy(ORD).agg(F.array_sort(F.collect_list(F.struct("_block", "text"))).alias("p"))
+        rows = rows.filter("_whole").select(ORD, "text").union(parts.select(ORD, F.array_join("p.text", "").alias("text")))
+    return _from_json_rows(rows.select(ORD, F.from_json("text", _JSON_ROW, {"mode": "FAILFAST"}).alias("r")).select(ORD, "r.*"), fmt, encoding)
 
 
 def read_jsonl(spark: SparkSession, path: str, fmt: str | None = None, encoding: str = "phred33") -> DataFrame:

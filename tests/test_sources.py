@@ -277,3 +277,29 @@ def test_json_document_is_written_by_a_task(spark, tmp_path):
         assert rows(readers.read_json(spark, str(tmp_path / f"o{meta}")), "id") == [(f"s{i}",) for i in range(300)]
     sinks.write_json(df.limit(0), str(tmp_path / "e"), include_metadata=True)
     assert readers.read_json(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_json_documents_are_read_in_splits(spark, tmp_path):
+    """Rows in several splits, several documents, brackets and quotes in strings; one task a file would hold a document."""
+    odd = ['{"', '}]"', "\\", '\\"}', "a,{b", '"sequences": [{', "[[", "é{}"]
+    data = [{"id": f"{i}{odd[i % 8]}", "sequence": "AC" * (i % 5), "quality": odd[i % 7] * 9, "x": {"sequences": [{"id": "no", odd[i % 3]: [{}]}]}} if i % 4 else {"sequence": "GT", "id": str(i)} for i in range(60)]
+    said = {"a": [{"id": "no"}, [{}]], "sequences": data[30:], "metadata": {"sequences": [{"id": "no"}], "count": 30}}
+    put(tmp_path, "a.json", json.dumps(data[:30]))
+    put(tmp_path, "b.json", "\n" + json.dumps(said, indent=1, ensure_ascii=False) + "\n")
+    put(tmp_path, "c.json", "[ ]")
+    ok = '{"id": "a", "sequence": "AC"}'
+    wrong = [f"[{ok}", f"[{ok},]", f"[{ok}{ok}]", f"[,{ok}]", f"[{ok}]x", f"[{ok}]]", f"[{ok}, 1]", f"[[{ok}]]", f"[{ok}, null]", '{"sequences": [' + ok + "]", '{"sequences": [' + ok + "}]", f"{ok},{ok}", ok[:-3], "hello", '{"sequences": ' + ok + "}", '{"sequences": 5}']
+    sizes = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    try:
+        for key in sizes:
+            spark.conf.set(key, 400)
+        df = readers.read_json(spark, str(tmp_path / "*.json"))
+        assert rows(df, "id", "sequence", "quality") == [(x["id"], x["sequence"], x.get("quality")) for x in data]
+        assert df.select("_ord").distinct().count() == 60
+        assert readers.read_json(spark, str(tmp_path / "a.json")).rdd.getNumPartitions() > 4
+        for text in wrong:
+            with pytest.raises(Exception, match="(JSON|MALFORMED|lacks)"):
+                readers.read_json(spark, put(tmp_path, "w.txt", text)).collect()
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
