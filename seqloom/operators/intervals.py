@@ -19,19 +19,20 @@ def merge_overlapping(df: DataFrame) -> DataFrame:
     """Unions of intervals that overlap or touch, by chromosome; other columns are those of the first.
     Gaps and islands: an island begins where no interval before reaches. Order is needed inside bins only;
     how far earlier bins reach and how many islands begin there are sums over the small table of bins, so
-    a chromosome is the work of many tasks."""
-    key = ["chromosome", "_bin"]
-    binned = df.withColumn("_bin", F.floor(F.col("start") / BIN))
-    earlier = W.partitionBy("chromosome").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    reach = binned.groupBy(*key).agg(F.max("end").alias("_end")).select(*key, F.max("_end").over(earlier).alias("_reach"))
-    order = W.partitionBy(*key).orderBy("start", "end")
+    a chromosome is the work of many tasks. No chromosome is one of its own; intervals without start come
+    after all others and begin an island only where no end is known before, those without end reach nowhere."""
+    # a struct, as structs of nulls are equal in joins
+    binned = df.withColumn("_cell", F.struct("chromosome", F.floor(F.col("start") / BIN).alias("bin")))
+    earlier = W.partitionBy("_cell.chromosome").orderBy(F.asc_nulls_last("_cell.bin")).rowsBetween(W.unboundedPreceding, -1)
+    reach = binned.groupBy("_cell").agg(F.max("end").alias("_end")).select("_cell", F.max("_end").over(earlier).alias("_reach"))
+    order = W.partitionBy("_cell").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     before = F.greatest(F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_reach"))
     begins = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
-    marked = binned.join(reach, key).withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    islands = marked.groupBy(*key).agg(F.max("_island").alias("_n")).select(*key, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    numbered = marked.join(islands, key).withColumn("_island", F.col("_before") + F.col("_island"))
+    marked = binned.join(reach, "_cell").withColumn("_begins", begins).withColumn("_island", F.sum("_begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    islands = marked.groupBy("_cell").agg(F.max("_island").alias("_n")).select("_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    numbered = marked.join(islands, "_cell").withColumn("_island", F.col("_before") + F.col("_island"))
     others = [c for c in df.columns if c not in ("chromosome", "start", "end", "length", "midpoint")]
-    firsts = [F.min_by(c, F.struct("start", "end")).alias(c) for c in others]
+    firsts = [F.min_by(c, F.struct(F.isnull("start"), "start", F.isnull("end"), "end")).alias(c) for c in others]
     out = numbered.groupBy("chromosome", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *firsts).drop("_island")
     if "length" in df.columns:
         out = out.withColumn("length", F.col("end") - F.col("start"))

@@ -98,7 +98,7 @@ ALIGNMENTS = f"""alignments AS (SELECT o, 'aln_' || CAST(o AS VARCHAR) AS id, su
 def beds(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     return li.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(ORD), F.concat(F.lit("c"), (F.col("l_suppkey") % 50).cast("string")).alias("chromosome"), (F.col("l_partkey") * 40).alias("start"), (F.col("l_partkey") * 40 + F.col("l_quantity").cast("long")).alias("end")
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(ORD), F.concat(F.lit("c"), (F.col("l_suppkey") % 50).cast("string")).alias("chromosome"), (F.col("l_partkey") * 40).alias("start"), (F.col("l_partkey") * 40 + F.rint("l_quantity").cast("long")).alias("end")
     )
 
 
