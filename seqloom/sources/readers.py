@@ -2,9 +2,10 @@
 
 Text formats with one record a line are read by Spark's text source and split into columns. FASTA is
 read with records as lines (a separator of two characters), FASTQ of four lines a record by numbering
-lines over splits, and a JSON document in pieces between opening braces. FASTQ whose records take any number of lines, and BAM, are streams that only their
-start makes readable: their pieces are read in splits, and one task a file walks them in order. No file
-is held whole, but for FASTQ compressed in a way that Spark's text source does not know.
+lines over splits, a JSON document in pieces between opening braces. FASTQ whose records take any number
+of lines, and BAM, are streams that only their start makes readable: their pieces are read in splits, and
+one task a file walks them in order. No file is held whole, but for FASTQ compressed in a way that Spark's
+text source does not know.
 """
 
 from __future__ import annotations
